@@ -17,6 +17,7 @@ of language costs SWITCH, so that a sentence of names and figures follows its ne
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -232,7 +233,6 @@ def _runs(cut: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int
 
 def language_stretches(df: DataFrame, model: Model) -> DataFrame:
     """df(transcription_id, text, language) -> one row per stretch with lang, confidence and the label's state."""
-    import pandas as pd
 
     shared = df.sparkSession.sparkContext.broadcast(model)
 

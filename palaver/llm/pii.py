@@ -15,6 +15,7 @@ import hashlib
 import hmac
 import unicodedata
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ EMAIL = [
         r"(?<![\w.+\-%])[A-Za-z0-9][\w\-+]*(?:(?:\.|\s(?:dot|underscore|dash|plus|minus|hyphen)\s)[\w\-+]+)*\s(?:at|@)\s[\w\-]+(?:(?:\sdot\s|\.)[\w\-]+)*+\b(?<=\sdot\s\p{L}+)(?!\s(?:at|dot)\s)", regex.I
     ),
 ]
-PLACE = r"\p{Lu}[\p{L}\-']+(?:[ \-]\p{Lu}[\p{L}\-']+){0,2}"
+PLACE = rf"\p{{Lu}}[\p{{L}}\-']+(?:[ \-](?!(?:{'|'.join([*FEMALE, *MALE, *SHORT])})\b)\p{{Lu}}[\p{{L}}\-']+){{0,2}}"
 ZIP = r"\d{4,5}(?:-\d{3,4})?"
 ST = r"\p{Lu}[\p{L}'\-]+(?:\s\p{Lu}[\p{L}'\-]+){0,2}"
 KIND = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Boulevard|Blvd\.?|Court|Ct\.?|Square|Sq\.?|Way|Place|Pl\.?|Terrace|Crescent|Close|Row|Hill|Walk)"
@@ -111,6 +112,16 @@ def _take(rx, text, free, out, kind, group=0):
             free[a:b] = b"\x01" * (b - a)
 
 
+def _french(around: str) -> bool:
+    """Whether "M." is Monsieur here and no initial."""
+    words = regex.findall(r"[\p{L}'’]+", around.lower())
+    fr = sum(w in FRENCH or w[:2] in ("l'", "d'", "n'", "c'", "j'", "l’", "d’", "n’") for w in words)
+    return fr > sum(w in ENGLISH for w in words)
+
+
+# Frequent words that tell French from English.
+FRENCH = set("le la les des du un une est a vers pas dans pour avec nous vous arrivera encore que qui de et au aux sur il elle".split())
+ENGLISH = set("the is will and should of to with for in out until about take according that we i can did has at who".split())
 _CACHE: dict[frozenset, regex.Pattern] = {}
 
 
@@ -140,7 +151,7 @@ def _names(text: str, taken: bytearray, out: list, given: frozenset) -> None:
     for m in TITLE.finditer(text):
         a, b = m.span(1)
         words = m.group(1).split()
-        if words[0] in STOP:
+        if words[0] in STOP or (text[m.start()] == "M" and text[m.start() + 1] in ". " and not _french(text[max(0, a - 40) : b + 60])):
             continue
         add(a, a + len(words[0]) if len(words) > 1 and words[-1] in STOP else b)
     for m in _given_rx(given).finditer(text):
@@ -230,7 +241,7 @@ def find(text: str | None, is_name_field: bool = False) -> list[tuple[int, int,
 # Words and endings of organisations, and what stands in a name field for nobody.
 ORG = set("""ltd limited inc incorporated corp corporation co company gmbh ag sa plc llc llp kg bv nv oy ab spa srl group holding holdings freight frt
 logistics log technologies tech consulting research res laboratories labs lab foods fds insurance ins engineering eng manufacturing mfg international
-intl trading trdg brothers bros partners associates services solutions systems bank foundation institute university""".split())
+intl int trading trdg trd cons cnsltg consult hldgs hldg svcs sys ptnrs assoc technology food brothers bros partners associates services solutions systems bank foundation institute university""".split())
 NOBODY = {
     "", "unknown", "unknown speaker", "unassigned", "tbd", "tba", "n/a", "na", "none", "null", "everyone", "everybody", "the team", "team", "all", "anyone",
     "someone", "nobody", "no one", "guest", "guests", "participant", "attendee", "speaker", "user", "me", "us", "unnamed", "anonymous", "test", "?", "-", "--", "...", "various",
@@ -257,7 +268,7 @@ def _name_field(text: str, taken: bytearray, out: list) -> None:
     if not m:
         return
     a, body = m.start(), m.group().rstrip(" ,;/|-–")
-    t = regex.match(r"(?:(?:Dr|Mr|Mrs|Ms|Miss|Prof|Hr|Fr|Herr|Frau|Mme|M|Mlle|Sr|Sra|Srta|Dra|Sig|sig|Dott|dott|dott\.ssa|Sir|Rev|Eng|Ing)\.?\s+)+(?=\p{L}{2}|\p{Lu}\.)", body)
+    t = regex.match(r"(?:(?:Dr|Mr|Mrs|Ms|Miss|Prof|Hr|Fr|Herr|Frau|Mme|Mlle|Sr|Sra|Srta|Dra|Sig|sig|Dott|dott|dott\.ssa|Sir|Rev|Eng|Ing)\.?\s+)+(?=\p{L}{2}|\p{Lu}\.)", body)
     if t:
         a, body = a + t.end(), body[t.end() :]
     body = regex.sub(r"(?:,?\s(?:Jr|Sr|PhD|MD|Esq|II|III)\.?)$|['’]s$", "", body)
@@ -379,7 +390,6 @@ def _replace(kind: str, value: str, pick) -> str:
 
 def find_values(df: DataFrame, text_col: str, is_name_field: bool, keys: list[str]) -> DataFrame:
     """df -> keys, kind, found_text (one row per mention), begin_at, end_at."""
-    import pandas as pd
 
     @F.pandas_udf("array<struct<kind:string,found_text:string,begin_at:int,end_at:int>>")
     def detect(texts: pd.Series) -> pd.Series:
@@ -402,7 +412,6 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rewrite(spark: SparkSession, sf_dir: str, f, out: str) -> DataFrame:
-    import pandas as pd
 
     @F.pandas_udf("string")
     def texts_udf(t: pd.Series) -> pd.Series:

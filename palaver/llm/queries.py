@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import languages, pii, sentences, turns
+from palaver.llm import languages, mixing, names, packing, pii, sentences, spans, splitting, turns
 from palaver.sources.tables import read_once
 
 
@@ -38,10 +38,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": pii.p1_found,
     "p1_masked": pii.p1_masked,
     "p1_surrogates": pii.p1_surrogates,
+    "p2_found": names.p2_found,
+    "p2_classes": names.p2_classes,
+    "p3_found": splitting.p3_found,
+    "p3_pieces": splitting.p3_pieces,
     "p4_found": p4_found,
     "p4_units": p4_units,
     "p5_found": languages.p5_found,
     "p6_found": turns.p6_found,
+    "p7_containers": packing.p7_containers,
+    "p7_fill": packing.p7_fill,
+    "p9_found": spans.p9_found,
+    "p9_share": spans.p9_share,
+    "p8_choice": mixing.p8_choice,
+    "p8_shares": mixing.p8_shares,
 }
 
 ORACLES: dict[str, str] = {}

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 import regex
 
 PAIRS = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‹": "›", "‘": "’", "《": "》"}
@@ -185,7 +186,6 @@ def spans(text: str | None) -> list[tuple[int, int]]:
 
 def sentence_frame(df, key_cols: list[str], text_col: str, num_slices: int | None = None):
     """DataFrame of key_cols plus array<struct<begin_at:int,end_at:int>> ``units``, one row per input row."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     @F.pandas_udf("array<struct<begin_at:int,end_at:int>>")

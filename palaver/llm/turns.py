@@ -14,6 +14,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter, defaultdict
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def fold(name: str) -> str:
     s = s.replace("ø", "o").replace("Ø", "O").replace("æ", "ae").replace("Æ", "Ae").replace("ß", "ss").replace("ł", "l").replace("Ł", "L")
     s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     s = regex.sub(r"[_\s]+", " ", s).casefold().strip()
-    return regex.sub(r"^(?:dr|mr|mrs|ms|prof|hr|fr|mme|m|sr|sra|dra)\.?\s+(?=\S{2})", "", s)
+    return regex.sub(r"^(?:dr|mr|mrs|ms|prof|hr|fr|mme|sr|sra|dra)\.?\s+(?=\S{2})", "", s)
 
 
 def is_heading(label: str) -> bool:
@@ -296,7 +297,6 @@ def cue_label(speaker: str | None, text: str | None) -> tuple[str | None, bool]:
 
 def label_cues(cues: DataFrame) -> DataFrame:
     """cues(meeting_id, pos, start_time, start_seconds, speaker, text) -> (meeting_id, at, pos, label), spoken ones only."""
-    import pandas as pd
 
     @F.pandas_udf("label string, speech boolean")
     def read(speaker: pd.Series, text: pd.Series) -> pd.DataFrame:
@@ -318,7 +318,6 @@ def label_cues(cues: DataFrame) -> DataFrame:
 
 def speaker_map(labelled: DataFrame) -> DataFrame:
     """(meeting_id, label, who): the distinct spellings per meeting are few, whatever the number of cues."""
-    import pandas as pd
 
     @F.pandas_udf("map<string,string>")
     def resolve(labels: pd.Series) -> pd.Series:
@@ -339,7 +338,6 @@ def fold_turns(rows: DataFrame) -> DataFrame:
     partitions. Each partition folds its rows into runs; only its first and last run can join a neighbour's, and those
     two per partition are joined by one small window.
     """
-    import pandas as pd
     from pyspark import TaskContext
 
     def runs(batches):
@@ -397,7 +395,6 @@ def cue_turns(cues: DataFrame) -> DataFrame:
 
 def meeting_turns(meetings: DataFrame) -> DataFrame:
     """meetings(meeting_id, raw_text) -> turns(meeting_id, first_no, last_no) by line numbers."""
-    import pandas as pd
 
     @F.pandas_udf("array<struct<first_no:int,last_no:int>>")
     def read(texts: pd.Series) -> pd.Series:
