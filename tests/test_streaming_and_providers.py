@@ -44,26 +44,24 @@ def test_transcript_files(spark, tmp_path):
     assert [r.raw_text for r in spark.table("files").collect()] == ["a\nb"]
 
 
-def load_model():
-    def f(t):
-        if "bad" in t:
-            raise ValueError("bad text")
-        return t.upper()
-
-    return f
+def test_summaries(spark):
+    def load_model():
+        def f(t):
+            if "bad" in t:
+                raise ValueError("bad text")
+            return t.upper()
 
+        return f
 
-def test_summaries(spark):
     df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None), (4, " ")], "i int, t string")
     got = {r.i: (r.summary, r.error) for r in providers.summaries(df, "t", load_model).collect()}
     assert got == {1: ("OK", None), 2: (providers.FAILED, "bad text"), 3: ("", None), 4: ("", None)}
 
 
-def load_asr():
-    return lambda content, ext: [{"start": 0, "end": 1.5, "text": " Hello world "}] if content else []
-
-
 def test_transcripts(spark):
+    def load_asr():
+        return lambda content, ext: [{"start": 0, "end": 1.5, "text": " Hello world "}] if content else []
+
     df = spark.createDataFrame([("a.mp3", bytearray(b"FAKE"), "MP3"), ("b.xyz", bytearray(b"x"), "xyz"), ("c.wav", bytearray(b""), "wav")], "path string, content binary, ext string")
     got = {r.path: r for r in providers.transcripts(df, load_asr).collect()}
     assert got["a.mp3"].text == "Hello world" and got["a.mp3"].error is None
