@@ -1,11 +1,13 @@
 """Exact stretches of at least MIN_LENGTH characters that documents share.
 
 1. Content-defined chunking: a gear hash rolls over the text (16 characters of memory); a chunk ends where its value is
-   the smallest of some WINDOW neighbouring positions. Insertions shift chunks but do not change others. Any two equal
-   stretches of 200 characters hold the same complete chunk, because 200 - 16 + 1 positions contain at least two such
-   minima and consecutive minima of windows inside the stretch are consecutive in both texts.
+   the smallest of some WINDOW neighbouring positions, so insertions shift chunks but do not change others. A chunk is
+   half as long as WINDOW on average; its digest covers it and the text before it up to REACH characters, since lines of
+   50 characters are common to most documents of this kind and 100 are not. Every window of 200 characters holds exactly
+   one smallest value among its last WINDOW positions, hence one chunk end with its REACH characters: its anchor, the
+   same in every document that holds the window.
 2. Chunks are deduplicated by digest; a digest of two documents is shared. A 200-character window can only be shared if
-   all chunks that its own content determines are. That leaves candidate ranges per document.
+   its anchor is. That leaves candidate ranges per document.
 3. Exact check: of the candidate windows, those chosen by their own hash (1 in SAMPLE) are looked up first. Shared ones
    less than 200 characters apart cover everything between them, so only the windows between a shared and an unshared
    (or no) neighbour are looked up in a second round. The union of shared windows is the result.
@@ -28,8 +30,9 @@ from palaver.sources.tables import table
 
 MIN_LENGTH = 200
 GEAR = 16
-#: (MIN_LENGTH - GEAR + 1) positions hold two minima if WINDOW is at most half of them.
-WINDOW = (MIN_LENGTH - GEAR + 1) // 2
+REACH = 100
+#: The chunk ends within a window of MIN_LENGTH whose REACH characters lie inside it.
+WINDOW = MIN_LENGTH - REACH + 1
 SAMPLE = 16
 #: A hash in more than 1 / HOT of all rows is hot; there are fewer than HOT of them.
 HOT = 1000
@@ -72,37 +75,30 @@ class Prints:
         d = (self.prefix[hi] - self.prefix[lo]) * self.down[lo]
         return _mix(d ^ (hi - lo).astype(U)).view(np.int64)
 
-    def minima(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ends of chunks (offsets of their last character), and first and last window start that select each."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last start of the windows of MIN_LENGTH with the same anchor, and the anchors (offsets of chunk ends)."""
+        if self.n < MIN_LENGTH:
+            z = np.zeros(0, np.int64)
+            return z, z, z
         h, step = self.gear, 1
         while step < GEAR:  # h[i] = sum of gear[i - j] << 4 j over the last GEAR characters
             nxt = h[step:] + (h[:-step] << U(4 * step))
             h, step = nxt, 2 * step
-        h = h >> U(24)  # h[0] belongs to offset GEAR - 1
+        h = h[REACH - GEAR :] >> U(24)  # h[0] belongs to offset REACH - 1
         m = len(h)
-        if m < WINDOW:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        # smallest value, of equals the rightmost, of every window of WINDOW positions (a text holds less than 2^24 positions per block)
-        key = (h << U(24)) | (U((1 << 24) - 1) - (np.arange(m, dtype=U) & U((1 << 24) - 1)))
-        low, w = key, 1
+        # smallest value, of equals the rightmost, of every WINDOW positions (a block has less than 2^24 of them)
+        low, w = (h << U(24)) | (U((1 << 24) - 1) - np.arange(m, dtype=U)), 1
         while 2 * w <= WINDOW:
             low, w = np.minimum(low[: len(low) - w], low[w:]), 2 * w
         low = np.minimum(low[: m - WINDOW + 1], low[WINDOW - w :][: m - WINDOW + 1])
-        change = np.concatenate([[True], low[1:] != low[:-1]])
-        first = np.flatnonzero(change)
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         last = np.append(first[1:], len(low)) - 1
-        pos = (U((1 << 24) - 1) - (low[first] & U((1 << 24) - 1))).astype(np.int64)
-        return pos + GEAR - 1, first + GEAR - 1, last + GEAR - 1
-
-    def chunks(self):
-        """lo, hi (offsets) of the complete chunks, and the first and last start of a window that determines each."""
-        p, y1, y2 = self.minima()
-        lo, hi = p[:-1] + 1, p[1:] + 1
-        # minimum p is selected inside the window starting at s if a selecting window lies within s + GEAR - 1 .. s + MIN_LENGTH - 1
-        s_from = y1 + WINDOW - MIN_LENGTH
-        s_to = y2 - (GEAR - 1)
-        return lo, hi, np.maximum(s_from[:-1], s_from[1:]), np.minimum(s_to[:-1], s_to[1:])
+        return first, last, (U((1 << 24) - 1) - (low[first] & U((1 << 24) - 1))).astype(np.int64) + REACH - 1
+
+    def chunks(self) -> np.ndarray:
+        """Digest of every anchor, in order."""
+        p = self.anchors()[2]
+        return self.digest(p + 1 - REACH, p + 1)
 
     def windows(self, s: np.ndarray) -> np.ndarray:
         return self.digest(s, s + MIN_LENGTH)
@@ -121,23 +117,35 @@ def _blocks(text: str):
         at += BLOCK - MIN_LENGTH + 1
 
 
-def _candidates(pr: Prints, shared: np.ndarray) -> np.ndarray:
-    """Index of the anchor (first determined chunk) of every window start whose determined chunks are all shared, else -1."""
-    lo, hi, s1, s2 = pr.chunks()
-    n = pr.n - MIN_LENGTH + 1
-    if n <= 0 or not len(lo):
-        return np.full(max(n, 0), -1, np.int64)
-    known = np.isin(pr.digest(lo, hi), shared)
-    bad = np.zeros(n + 1, np.int32)
-    a, b = np.clip(s1, 0, n), np.clip(s2 + 1, 0, n)
-    ok = b > a
-    np.add.at(bad, a[ok & ~known], 1)
-    np.add.at(bad, b[ok & ~known], -1)
-    anchor = np.full(n, -1, np.int64)
-    for k in np.flatnonzero(ok & known)[::-1]:
-        anchor[a[k] : b[k]] = k
-    anchor[np.cumsum(bad[:n]) > 0] = -1
-    return anchor
+def _candidates(pr: Prints, shared: np.ndarray):
+    """First start, last start, anchor and digest of the runs of windows whose anchor is shared."""
+    first, last, p = pr.anchors()
+    dig = pr.digest(p + 1 - REACH, p + 1)
+    ok = _member(dig, shared)
+    return first[ok], last[ok], p[ok], dig[ok]
+
+
+def _each(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0]..last[0], first[1]..last[1] and so on, as one array."""
+    n = last - first + 1
+    return np.arange(int(n.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+
+
+def _member(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(sorted_, x)
+    return (at < len(sorted_)) & (sorted_[np.minimum(at, len(sorted_) - 1)] == x)
+
+
+def _frame(columns: list[str], parts: list[tuple]) -> pd.DataFrame:
+    """One frame from tuples of arrays or numbers; the first array of a tuple gives its length."""
+    if not parts:
+        return pd.DataFrame({c: [] for c in columns})
+    n = [next(len(x) for x in p if isinstance(x, np.ndarray)) for p in parts]
+    return pd.DataFrame(
+        {c: np.concatenate([p[j] if isinstance(p[j], np.ndarray) else np.full(m, p[j]) for p, m in zip(parts, n, strict=True)]) for j, c in enumerate(columns)}
+    )
 
 
 def _segments(anchor: np.ndarray) -> list[tuple[int, int, int]]:
@@ -162,47 +170,67 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of the filter that thins out texts before they are shuffled: 1 MB, whatever the number of documents.
+FILTER_BITS = 1 << 23
+
+
+def _thin(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those that are not in ids(doc_id). A filter of fixed size: with very many ids it lets more
+    documents through, never fewer, and the join behind it decides."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = (
+        ids.select(bit.alias("b"))
+        .groupBy((F.col("b") / 64).cast("int").alias("w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+        .collect()  # at most FILTER_BITS / 64 rows
+    )
+    table_ = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words:
+        table_[r.w] = r.v
+    shared = docs.sparkSession.sparkContext.broadcast(table_)
+
+    @F.pandas_udf("boolean")
+    def maybe(b: pd.Series) -> pd.Series:
+        x = b.to_numpy()
+        return pd.Series((shared.value[x >> 6].view(np.uint64) >> (x & 63).astype(U)) & U(1) == 1)
+
+    return docs.where(maybe(bit))
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, begin_at, end_at: the runs of positions in shared stretches, 1-based inclusive."""
     docs = docs.where(F.length("text") >= MIN_LENGTH).select("doc_id", "text")
 
     def chunk(batches):
         for b in batches:
-            ids, hs = [], []
+            out = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
-                parts = []
-                for _, pr in _blocks(t):
-                    lo, hi, _, _ = pr.chunks()
-                    parts.append(pr.digest(lo, hi))
-                u = np.unique(np.concatenate(parts))
-                hs.append(u)
-                ids.append(np.full(len(u), i))
-            yield pd.DataFrame({"h": np.concatenate(hs), "doc_id": np.concatenate(ids)} if hs else {"h": [], "doc_id": []})
-
-    flagged = cut(shared_rows(docs.mapInPandas(chunk, "h long, doc_id long")))
-    flags = flagged.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    none = {"doc_id": [], "s": [], "e": [], "h": [], "rel": []}
+                h = np.unique(np.concatenate([pr.chunks() for _, pr in _blocks(t)]))
+                if len(h):
+                    out.append((h, i))
+            yield _frame(["h", "doc_id"], out)
+
+    flagged = shared_rows(docs.mapInPandas(chunk, "h long, doc_id long"))
+    flags = cut(flagged.groupBy("doc_id").agg(F.collect_list("h").alias("hs")))
+    few = _thin(docs, flags)
 
     def look(batches):
         for b in batches:
             out = []
             for i, t, hs in zip(b["doc_id"], b["text"], b["hs"], strict=True):
-                shared = np.asarray(hs, np.int64)
+                shared = np.sort(np.asarray(hs, np.int64))
                 for at, pr in _blocks(t):
-                    anchor = _candidates(pr, shared)
-                    s = np.flatnonzero(anchor >= 0)
-                    if not len(s):
+                    first_, last_, p, dig = _candidates(pr, shared)
+                    if not len(p):
                         continue
+                    s = _each(first_, last_)
                     d = pr.windows(s)
                     pick = (d & (SAMPLE - 1)) == 0
-                    out.append(pd.DataFrame({"doc_id": i, "s": s[pick] + at, "e": -1, "h": d[pick], "rel": 0}))
-                    lo, hi, _, _ = pr.chunks()
-                    seg = np.asarray(_segments(anchor))
-                    k = seg[:, 2]
-                    out.append(pd.DataFrame({"doc_id": i, "s": seg[:, 0] + at, "e": seg[:, 1] + at, "h": pr.digest(lo[k], hi[k]), "rel": lo[k] - seg[:, 0]}))
-            yield pd.concat(out) if out else pd.DataFrame(none)
-
-    first = cut(docs.join(flags, "doc_id").mapInPandas(look, "doc_id long, s int, e int, h long, rel int"))
+                    out.append((i, s[pick] + at, -1, d[pick], 0))
+                    out.append((i, first_ + at, last_ + at, dig, p - first_))
+            yield _frame(["doc_id", "s", "e", "h", "rel"], out)
+
+    first = cut(few.join(flags, "doc_id").mapInPandas(look, "doc_id long, s int, e int, h long, rel int"))
     hits = cut(shared_rows(first.where("e < 0").select("h", "doc_id", "s")).select("doc_id", "s"))
 
     # windows to look up one by one: candidates that do not lie between two shared samples. Another document may hold
@@ -234,37 +262,31 @@ def covered(docs: DataFrame) -> DataFrame:
 
     asked = todo.mapInPandas(ask, "h long, r1 int, r2 int").groupBy("h").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2"))
     answers = (
-        flagged.join(asked, "h", "left")
+        flags.select("doc_id", F.explode("hs").alias("h")).join(asked, "h")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("h", "r1", "r2")).alias("asked"), F.count("r1").alias("n"))
-        .where("n > 0")
-        .drop("n")
+        .agg(F.collect_list(F.struct("h", "r1", "r2")).alias("asked"))
     )
 
     def answer(batches):
         for b in batches:
             out = []
             for i, t, qs in zip(b["doc_id"], b["text"], b["asked"], strict=True):
-                want = {q["h"]: (q["r1"], q["r2"]) for q in qs if q["r1"] is not None and q["r1"] == q["r1"]}
-                shared = np.asarray([q["h"] for q in qs], np.int64)
+                want = {q["h"]: (q["r1"], q["r2"]) for q in qs}
+                shared = np.sort(np.asarray(list(want), np.int64))
                 for at, pr in _blocks(t):
-                    anchor = _candidates(pr, shared)
-                    lo, hi, _, _ = pr.chunks()
-                    dig = pr.digest(lo, hi)
                     spots = []
-                    for x, y, k in _segments(anchor):
-                        if (r := want.get(int(dig[k]))) is not None:
-                            u, v = max(x, int(lo[k] - r[1])), min(y, int(lo[k] - r[0]))
-                            if u <= v:
-                                spots.append(np.arange(u, v + 1))
+                    for x, y, p, h in zip(*_candidates(pr, shared), strict=True):
+                        u, v = max(x, p - want[h][1]), min(y, p - want[h][0])
+                        if u <= v:
+                            spots.append(np.arange(u, v + 1))
                     if spots:
                         s = np.concatenate(spots)
                         d = pr.windows(s)
                         keep = (d & (SAMPLE - 1)) != 0
-                        out.append(pd.DataFrame({"h": d[keep], "doc_id": i, "s": s[keep] + at}))
-            yield pd.concat(out) if out else pd.DataFrame({"h": [], "doc_id": [], "s": []})
+                        out.append((d[keep], i, s[keep] + at))
+            yield _frame(["h", "doc_id", "s"], out)
 
-    second = cut(docs.join(answers, "doc_id").mapInPandas(answer, "h long, doc_id long, s int"))
+    second = cut(few.join(answers, "doc_id").mapInPandas(answer, "h long, doc_id long, s int"))
     more = shared_rows(second).select("doc_id", "s")
 
     @F.pandas_udf("array<struct<begin_at:int,end_at:int>>")
