@@ -22,14 +22,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.llm.pii import GIVEN_ANY
 from palaver.llm.sentences import spans
 from palaver.sources.tables import read_once
 
 CODES = ["en", "es", "fr", "de", "it", "pt", "ru", "ja", "ko", "zh", "ar", "hi"]
 SAMPLE_PER_LABEL = 120
 SENTENCES_PER_ROW = 8
-LANDMARKS = 240
-RIDGE = 0.3
+LANDMARKS = 480
+RIDGE = 0.1
 SWITCH = 0.3
 GRAMS = (1, 2, 3, 4, 5)
 
@@ -50,6 +51,7 @@ SEED = {
 }
 
 NAMES = regex.compile(r"(?<!^)(?<![.!?]\s)\b\p{Lu}[\p{Ll}\p{M}]+(?:\s\p{Lu}[\p{Ll}\p{M}]+)+|[\p{Latin}\d@._/+%:\-]*[@/\d][\p{Latin}\d@._/+%:\-]*")
+GIVEN = regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(sorted(GIVEN_ANY, key=len, reverse=True))})(?!\p{{L}})")
 LATIN = regex.compile(r"\p{Latin}")
 OTHER = regex.compile(r"[\p{Cyrillic}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Han}\p{Arabic}\p{Devanagari}]")
 
@@ -64,7 +66,7 @@ SCRIPTS = [
 
 def normal(text: str) -> str:
     """Lower case without mail addresses, numbers and names of several words; letters of one's own script stay."""
-    t = NAMES.sub(" ", text)
+    t = GIVEN.sub(" ", NAMES.sub(" ", text))
     if OTHER.search(t):  # Latin words in a text of another script are names or borrowed
         t = LATIN.sub("", t)
     t = regex.sub(r"[^\p{L}\p{M}'’]+", " ", t).strip().lower()
