@@ -63,11 +63,11 @@ def plan(totals: DataFrame, targets: DataFrame, total_tokens: float | None = Non
     can = (F.col("target_share") > 0) & (F.col("max_repeats") > 0) & (F.col("have") > 0)
     every = Window.partitionBy()  # one row per source
     j = j.withColumn("share", F.when(can, F.col("target_share")).otherwise(0.0))
-    j = j.withColumn("share", F.col("share") / F.sum("share").over(every))
-    top = F.min(F.when(F.col("share") > 0, F.col("max_repeats") * F.col("have") / F.col("share"))).over(every)
+    j = j.withColumn("share", F.col("share") / F.nullif(F.sum("share").over(every), F.lit(0.0)))
+    top = F.min(F.col("max_repeats") * F.col("have") / F.when(F.col("share") > 0, F.col("share"))).over(every)
     j = j.withColumn("total", F.least(top, F.lit(total_tokens)) if total_tokens else top)
-    j = j.withColumn("budget", F.floor(F.col("share") * F.col("total") + 1e-6).cast("long"))
-    j = j.withColumn("epochs", F.when(F.col("share") > 0, F.least("max_repeats", F.floor(F.col("budget") / F.col("have")))).otherwise(0).cast("int"))
+    j = j.withColumn("budget", F.coalesce(F.floor(F.col("share") * F.col("total") + 1e-6), F.lit(0)).cast("long"))
+    j = j.withColumn("epochs", F.when(F.col("share") > 0, F.least("max_repeats", F.floor(F.col("budget") / F.when(F.col("have") > 0, F.col("have"))))).otherwise(0).cast("int"))
     return j.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("have")).otherwise(0).cast("long"))
 
 
