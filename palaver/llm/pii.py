@@ -191,11 +191,11 @@ def _label_names(text: str) -> list[tuple[int, int]]:
                 m = rx.match(bare)
                 if m:
                     break
-            for sep, srx in SEPARATOR:
-                s = srx.match(bare, m.end())
-                if s and (lead or sep in (":", "label")) and not is_heading(s.group(1)):
-                    found.append((s.start(1), s.group(1)))
-                    break
+            # of the separators that fit, the one with the shortest label
+            hits = [(s.start(1), s.group(1)) for sep, srx in SEPARATOR if (lead or sep in (":", "label")) and (s := srx.match(bare, m.end()))]
+            hits = [h for h in hits if not is_heading(h[1])]
+            if hits:
+                found.append(min(hits, key=lambda h: len(h[1])))
         for off, raw in found:
             lead_ws = regex.match(r"[\s\-–—\[(<>]*", raw).end()
             body = regex.sub(r"\s*[(\[][^()\[\]]*[)\]]\s*$", "", raw[lead_ws:].rstrip()).rstrip(" ])>")
@@ -235,9 +235,29 @@ def find(text: str | None, is_name_field: bool = False) -> list[tuple[int, int,
             taken[a:b] = b"\x01" * (b - a)
     own = {w for a, b, k in out if k == "name" for w in text[a:b].replace(",", " ").split()[:1] if w[0].isupper() and len(w) > 2 and not w.isupper() and w not in STOP}
     _names(text, taken, out, frozenset(GIVEN_ANY | own))
+    _again(text, taken, out)
     return sorted(out)
 
 
+def _again(text: str, taken: bytearray, out: list) -> None:
+    """Family names of the people found so far where they stand alone, and their full names in capitals."""
+    families, full = set(), set()
+    for a, b, k in out:
+        if k == "name":
+            words = regex.findall(r"[\p{L}\p{M}'’\-]+", text[a:b])
+            if len(words) > 1 and text[a].isupper():
+                families |= {w for w in words if len(w) > 3 and w not in GIVEN_ANY and w not in SHORT and w[0].isupper() and not w.isupper()}
+                full.add(" ".join(words).upper())
+    if not families:
+        return
+    alt = "|".join(regex.escape(x) for x in sorted(full | families | {f.upper() for f in families}, key=len, reverse=True))
+    for m in regex.finditer(rf"{EDGE_L}(?:{alt}){EDGE_R}", text):
+        a, b = m.span()
+        if not any(taken[a:b]):
+            out.append((a, b, "name"))
+            taken[a:b] = b"\x01" * (b - a)
+
+
 # Words and endings of organisations, and what stands in a name field for nobody.
 ORG = set("""ltd limited inc incorporated corp corporation co company gmbh ag sa plc llc llp kg bv nv oy ab spa srl group holding holdings freight frt
 logistics log technologies tech consulting research res laboratories labs lab foods fds insurance ins engineering eng manufacturing mfg international
