@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm.pii import FEMALE, MALE, SHORT, find, is_nobody, is_org
 from palaver.llm.turns import fold
+from palaver.sources.checkpoints import cut
 from palaver.sources.tables import table
 
 Q = 4
@@ -96,68 +97,66 @@ def parsed_values(values: DataFrame) -> DataFrame:
 
 
 def near_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens(token, support) -> (token, better): one edit or swap apart, better supported (ties: the smaller string).
+    """tokens(kind, token, support) -> (kind, token, better): one edit or swap apart, better supported (ties: the smaller string).
 
-    Prefix filter: the 4-grams of a token in order of rarity, the first six of each side joined.
+    Prefix filter: the 4-grams of a token in order of rarity within its kind, the first six of each side joined.
     """
     padded = F.concat(F.lit("##"), F.col("token"), F.lit("$$"))
     grams = tokens.where(F.length("token") >= 3).select(
+        "kind",
         "token",
         "support",
         F.explode(
             F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q))))
         ).alias("gram"),
     )
-    rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    prefix = (
-        grams.join(rarity, "gram")
-        .groupBy("token", "support")
+    rarity = grams.groupBy("kind", "gram").agg(F.count("*").alias("df"))
+    prefix = cut(
+        grams.join(rarity, ["kind", "gram"])
+        .groupBy("kind", "token", "support")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, PREFIX).alias("g"))
-        .select("token", "support", F.explode("g.gram").alias("gram"))
+        .select("kind", "token", "support", F.explode("g.gram").alias("gram"))
     )
-    a = prefix.select("gram", "token", F.col("support").alias("sa"))
-    b = prefix.select("gram", F.col("token").alias("better"), F.col("support").alias("sb"))
+    a = prefix.select("kind", "gram", "token", F.col("support").alias("sa"))
+    b = prefix.select("kind", "gram", F.col("token").alias("better"), F.col("support").alias("sb"))
     letters = lambda c: F.array_sort(F.split(c, ""))
-    hit = a.join(b, "gram").where(
+    hit = a.join(b, ["kind", "gram"]).where(
         (F.abs(F.length("token") - F.length("better")) <= 1)
         & ((F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("better") < F.col("token"))))
         & ((F.col("sa") <= 2) | (F.col("sb") >= 10 * F.col("sa")))
     )
     lev = F.levenshtein("token", "better", 2)
     return hit.where((lev == 1) | ((lev == 2) & (F.length("token") == F.length("better")) & (letters("token") == letters("better")))).select(
-        "token", "better"
+        "kind", "token", "better"
     ).distinct()
 
 
 def classes(values: DataFrame) -> DataFrame:
     """values(value), distinct -> value, class (a string naming the identity)."""
     spark = values.sparkSession
-    from palaver.sources.checkpoints import cut
-
     v = cut(parsed_values(values))
     n = F.broadcast(v.agg(F.count("*").cast("double").alias("n")))  # one row
     family = v.where("kind in ('p', 'o')").groupBy("kind", F.col("last").alias("token")).agg(F.count("*").alias("support"))
-    fam_near = [
-        near_tokens(family.where(F.col("kind") == k).select("token", "support")).withColumn("kind", F.lit(k)) for k in ("p", "o")
-    ]
+    family = cut(family)  # each step is cut: the plans below use it several times
     # given names: those before many families are supported best, the known ones above all; others are corrected towards them
     given = v.where("kind = 'p' and length(first) > 1").groupBy(F.col("first").alias("token")).agg(F.count_distinct("last").alias("families"), F.count("*").alias("support"))
-    known = spark.createDataFrame([(x,) for x in sorted(KNOWN_GIVEN)], "token string")
+    known = spark.createDataFrame([(x,) for x in sorted(KNOWN_GIVEN)], "token string")  # a fixed list
     given = given.join(known.withColumn("k", F.lit(True)), "token", "full").select(
         "token", (F.coalesce("families", F.lit(1)) + F.when(F.col("k"), 1_000_000_000).otherwise(0)).alias("support")
     )
-    given_near = near_tokens(given).withColumn("kind", F.lit("p"))
+    near = cut(near_tokens(family.unionByName(given.withColumn("kind", F.lit("given")))))
+    given_near = near.where("kind = 'given'").drop("kind")
     short = spark.createDataFrame([(s, f) for s, fs in SHORT_OF.items() for f in fs], "first string, to_first string")
 
     # proposals: (value, kind, to_first, to_last, how each token was reached)
     base = v.where("kind in ('p', 'o')").select("value", "kind", "first", "last")
     lasts = base.select("*", F.col("last").alias("to_last"), F.lit("exact").alias("how_last")).unionByName(
-        base.join(fam_near[0].unionByName(fam_near[1]).withColumnRenamed("token", "last"), ["kind", "last"]).select(
+        base.join(near.withColumnRenamed("token", "last"), ["kind", "last"]).select(
             *base.columns, F.col("better").alias("to_last"), F.lit("edit").alias("how_last")
         )
     )
     glued = v.where("kind = 'g'").select("value", F.lit("p").alias("kind"), "first", "last", F.col("last").alias("to_last"), F.lit("exact").alias("how_last"))
-    lasts = lasts.unionByName(glued)
+    lasts = cut(lasts.unionByName(glued))
     exact = lasts.select("*", F.col("first").alias("to_first"), F.lit("exact").alias("how_first"))
     by_short = lasts.where("kind = 'p'").join(F.broadcast(short), "first").select(*lasts.columns, "to_first", F.lit("short").alias("how_first"))
     by_edit = (
@@ -169,6 +168,7 @@ def classes(values: DataFrame) -> DataFrame:
     ids = base.where("kind = 'o' or length(first) > 1").groupBy("kind", F.col("first").alias("to_first"), F.col("last").alias("to_last")).agg(
         F.count("*").alias("support")
     )
+    ids = cut(ids)
     # a given name that is the short form or a misspelling of another of the family is no identity of its own for initials
     own = ids.where("kind = 'p'")
     better = (
@@ -191,7 +191,7 @@ def classes(values: DataFrame) -> DataFrame:
         .select(*lasts.columns, "to_first", F.lit("initial").alias("how_first"))
     )
     proposals = exact.where("kind = 'o' or length(first) > 1").unionByName(by_short).unionByName(by_edit).unionByName(by_initial)
-    proposals = proposals.join(ids, ["kind", "to_first", "to_last"])
+    proposals = cut(proposals.join(ids, ["kind", "to_first", "to_last"]))
 
     # verification: soft similarity of the two tokens, weighted by how rare the identity's tokens are
     df_last = family.select("kind", F.col("token").alias("to_last"), F.col("support").alias("dl"))
@@ -215,7 +215,7 @@ def classes(values: DataFrame) -> DataFrame:
         "to_last",
     )
     best = scored.groupBy("value").agg(F.max_by(F.struct("kind", "to_first", "to_last"), rank).alias("b"))
-    named = best.select("value", F.concat_ws("\u0001", "b.kind", "b.to_first", "b.to_last").alias("class"))
+    named = cut(best).select("value", F.concat_ws("\u0001", "b.kind", "b.to_first", "b.to_last").alias("class"))
     # identities point at identities (a misspelt identity's own correction): follow one more step
     idmap = (
         named.join(base.where("kind = 'o' or length(first) > 1"), "value")
@@ -225,6 +225,7 @@ def classes(values: DataFrame) -> DataFrame:
         .groupBy("class")
         .agg(F.max("to").alias("to"))
     )
+    idmap = cut(idmap)
     step = named.join(idmap, "class", "left").select("value", F.coalesce("to", "class").alias("class"))
     # initials without any full form: those of one family and letter are one
     rest = (
@@ -232,7 +233,7 @@ def classes(values: DataFrame) -> DataFrame:
     )
     fam = family.where("kind = 'p'").select(F.col("token").alias("last"))
     rest = rest.join(fam, "last", "left_semi").select("value", F.concat_ws("\u0001", F.lit("i"), "first", "last").alias("class"))
-    return step.unionByName(rest)
+    return cut(step.unionByName(rest))
 
 
 def all_values(spark: SparkSession, sf_dir: str) -> DataFrame:
