@@ -81,3 +81,11 @@ def format_datetime(ts: Column | str, fmt: str = "human") -> Column:
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
     return F.date_format(T.col(ts), FORMATS[fmt])
+
+
+def normalize_in_text(c: Column | str, anchor_ts: Column | str) -> Column:
+    """The text with every date phrase that can be read replaced by its ISO date; the rest unchanged, null stays null."""
+    t = T.col(c)
+    phrases, parts = F.regexp_extract_all(t, F.lit(FIND), F.lit(1)), F.split(t, FIND)
+    iso = F.transform(phrases, lambda p: F.coalesce(F.date_format(parse_date(p, anchor_ts), FORMATS["date_only"]), p))
+    return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(iso, i), F.lit("")))), "")

@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, fields, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.functions import dates as D
 from palaver.functions import rules as R
 from palaver.functions import text as T
 
@@ -48,8 +49,8 @@ class CleaningConfig:
         return replace(self, **changes)
 
 
-def clean_text(c: Column | str, cfg: CleaningConfig = CleaningConfig()) -> Column:
-    """The cleaned text alone."""
+def clean_text(c: Column | str, cfg: CleaningConfig = CleaningConfig(), anchor: Column | str | None = None) -> Column:
+    """The cleaned text alone. Dates are normalised where an anchor is given to read them against."""
     x = T.col(c)
     for on, step in (
         (cfg.remove_timestamps, T.clean_timestamps),
@@ -59,6 +60,7 @@ def clean_text(c: Column | str, cfg: CleaningConfig = CleaningConfig()) -> Colum
         (cfg.remove_repetitions, T.collapse_repetitions),
         (cfg.normalize_numbers, T.spelled_numbers),
         (cfg.normalize_numbers, T.ordinals),
+        (cfg.normalize_dates and anchor is not None, lambda x: D.normalize_in_text(x, anchor)),
         (cfg.standardize_punctuation, T.punctuation_spacing),
         (cfg.remove_non_ascii, T.ascii_cleanup),
     ):

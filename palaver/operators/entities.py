@@ -139,3 +139,21 @@ def action_totals(actions: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if((F.trim("assignee") != "") & (F.col("assignee") != "Unassigned")).alias("assigned_actions"),
         F.count_if(F.col("priority") == "high").alias("high_priority_count"),
     )
+
+
+def extract_entities(meetings: DataFrame, persons: DataFrame, sents: DataFrame, keys: list[str], text_col: str, anchor: str) -> DataFrame:
+    """One row per meeting: people, dates and action_items as arrays of structs in order; meetings without any have empty arrays."""
+    ppl = people(persons, keys)
+    roles = person_roles(ppl, sents, keys)
+    ppl = ppl.join(roles, [*keys, "name"], "left").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("name", "mentions", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"), "confidence"))).alias("people")
+    )
+    dts = date_entities(meetings, keys, text_col, anchor).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "text", "ts", "normalized", "confidence"))).alias("dates")
+    )
+    acts = action_items(sents, keys)
+    acts = with_deadline(acts.join(meetings.select(*keys, F.col(anchor).alias("_anchor")), keys), "_anchor").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("sent_no", "text", "priority", "verb", "deadline", "confidence", "extraction_method"))).alias("action_items")
+    )
+    out = meetings.select(*keys).join(ppl, keys, "left").join(dts, keys, "left").join(acts, keys, "left")
+    return out.select(*keys, *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("people", "dates", "action_items")])

@@ -101,3 +101,36 @@ def write_tables(frames: dict[str, DataFrame], path: str) -> None:
     """The sheets of a workbook as one Parquet folder each."""
     for name, df in frames.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def document_lines(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line_no, kind, text: what a page writer sets as title, heading, bullet or body; rules and blanks are skipped."""
+    lines = reports.select(*keys, F.posexplode(F.split("report", "\n")).alias("line_no", "text")).where(F.trim("text") != "")
+    t = F.trim("text")
+    skip = F.startswith(t, F.lit("=")) | F.startswith(t, F.lit("-"))
+    symbols = ["📊", "📋", "👥", "🎤", "📌", "📈", "⏰", "🧠", "📄", *SYMBOLS.values()]
+    kind = (
+        F.when(F.endswith(t, F.lit("Report")), "title")
+        .when(F.substring(t, 1, 1).isin(symbols), "heading")
+        .when(F.startswith(t, F.lit("•")), "bullet")
+        .otherwise("body")
+    )
+    return lines.where(~skip).select(*keys, "line_no", kind.alias("kind"), t.alias("text"))
+
+
+def generate_report(joined: DataFrame, keys: list[str], fmt: str, at: Column) -> DataFrame:
+    """keys, success, format, content, filename, mime_type; an unknown format means txt, a null content no success."""
+    fmt = fmt if fmt in ("txt", "json", "html") else "txt"
+    if fmt == "json":
+        r = json_report(joined, keys)
+    else:
+        r = text_report(joined, keys)
+        r = html_report(r, keys) if fmt == "html" else r
+    return r.select(
+        *keys,
+        F.col("report").isNotNull().alias("success"),
+        F.lit(fmt).alias("format"),
+        F.col("report").alias("content"),
+        file_name(at, fmt).alias("filename"),
+        F.lit(EXTENSIONS[fmt]).alias("mime_type"),
+    )

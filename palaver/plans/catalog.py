@@ -613,6 +613,20 @@ def date_context(spark, d):
     return entities.date_context(entities.date_entities(m, ["meeting_id"], "raw_text", "anchor_ts"), spoken(spark, d), ["meeting_id"])
 
 
+@query(f"WITH {_DL} SELECT meeting_id, ord, coalesce(strftime(dt, '%Y-%m-%d'), '') AS iso FROM y WHERE regexp_matches(deadline, {q('(?i)^(?:' + D.PHRASE + ')$')})")
+def dates_in_place(spark, d):
+    x = deadlines(spark, d).where(F.regexp_like("deadline", F.lit(f"(?i)^(?:{D.PHRASE})$")))
+    iso = D.normalize_in_text("deadline", "anchor_ts")
+    return x.select("meeting_id", "ord", F.when(F.col("dt").isNull(), "").otherwise(iso).alias("iso"))
+
+
+@query()
+def extracted_entities(spark, d):
+    m = meetings(spark, d).where("ext not in ('srt', 'vtt') and raw_text is not null")
+    e = entities.extract_entities(m, persons(spark, d), spoken(spark, d), ["meeting_id"], "raw_text", "anchor_ts")
+    return e.select("meeting_id", F.size("people").alias("n_people"), F.size("dates").alias("n_dates"), F.size("action_items").alias("n_actions"), F.to_json("action_items").alias("action_items"))
+
+
 # --- summaries -----------------------------------------------------------------------------------------------------
 
 _STOP = "[" + ", ".join(q(w) for w in R.STOP_WORDS) + "]"
@@ -723,3 +737,25 @@ def report_html(spark, d):
 def first_actions(spark, d):
     w = Window.partitionBy("meeting_id").orderBy("ord")
     return actions(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 10").select("meeting_id", "ord", T.truncate_display("text", 20).alias("shown"))
+
+
+@query(f"""WITH {A}, g AS (SELECT meeting_id, unnest(['Report', '=====', '• ' || text, '', 'x ' || text]) AS text, unnest(range(5)) + ord * 10 AS line_no FROM a WHERE text IS NOT NULL)
+SELECT meeting_id, line_no::INT AS line_no, CASE WHEN text = 'Report' THEN 'title' WHEN starts_with(text, '•') THEN 'bullet' ELSE 'body' END AS kind, trim(text) AS text FROM g WHERE text NOT IN ('', '=====')""")
+def report_line_kinds(spark, d):
+    a = actions(spark, d).where("text is not null")
+    r = a.select("meeting_id", "ord", F.concat(F.lit("Report\n=====\n• "), "text", F.lit("\n\nx "), "text").alias("report"))
+    x = report.document_lines(r, ["meeting_id", "ord"])
+    return x.select("meeting_id", (F.col("line_no") + F.col("ord") * 10).alias("line_no"), "kind", "text")
+
+
+@query()
+def generated_reports(spark, d):
+    m = report_parts(spark, d)
+    return report.generate_report(m, ["meeting_id"], "html", F.lit("2026-01-02 03:04:05").cast("timestamp"))
+
+
+@query()
+def pipeline_report(spark, d):
+    from palaver.plans.pipeline import run_pipeline
+
+    return run_pipeline(meetings(spark, d), persons(spark, d))
