@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from palaver.functions import dates as D
 from palaver.functions import rules as R
 from palaver.functions import text as T
+from palaver.operators.skew import containing
 
 
 def people(names: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,10 +32,11 @@ def roles_in(c):
 
 def person_roles(persons: DataFrame, sents: DataFrame, keys: list[str]) -> DataFrame:
     """keys, name, roles (sorted): roles named in the sentences of the meeting that contain the name."""
-    spoken = sents.withColumn("_roles", roles_in("sentence")).where(F.size("_roles") > 0)
-    hit = persons.select(*keys, "name").distinct().join(spoken, keys).where(F.contains(F.lower("sentence"), F.lower("name")))
-    got = hit.select(*keys, "name", F.explode("_roles").alias("role")).groupBy(*keys, "name").agg(F.array_sort(F.collect_set("role")).alias("roles"))
-    return got
+    spoken = sents.select(*keys, F.lower("sentence").alias("_low"), roles_in("sentence").alias("_roles")).where(F.size("_roles") > 0)
+    names = persons.select(*keys, "name", F.lower("name").alias("_n")).distinct()
+    hit = containing(spoken, names, keys, "_low", "_n")
+    got = hit.select(*keys, "_n", F.explode("_roles").alias("role")).groupBy(*keys, "_n").agg(F.array_sort(F.collect_set("role")).alias("roles"))
+    return names.join(got, [*keys, "_n"]).select(*keys, "name", "roles")
 
 
 def date_entities(df: DataFrame, keys: list[str], text_col: str, anchor: str) -> DataFrame:
@@ -47,9 +49,11 @@ def date_entities(df: DataFrame, keys: list[str], text_col: str, anchor: str) ->
 
 def date_context(found: DataFrame, sents: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos, text, context: the first sentence containing the phrase, empty if none."""
-    hit = found.select(*keys, "pos", "text").join(sents, keys, "left").where(F.contains(F.lower("sentence"), F.lower("text")))
-    first = hit.groupBy(*keys, "pos").agg(F.min_by("sentence", "sent_no").alias("context"))
-    return found.select(*keys, "pos", "text").join(first, [*keys, "pos"], "left").fillna("", ["context"])
+    phrases = found.select(*keys, F.lower("text").alias("_n")).distinct()
+    hit = containing(sents.select(*keys, "sent_no", "sentence", F.lower("sentence").alias("_low")), phrases, keys, "_low", "_n")
+    first = hit.groupBy(*keys, "_n").agg(F.min_by("sentence", "sent_no").alias("context"))
+    f = found.select(*keys, "pos", "text", F.lower("text").alias("_n"))
+    return f.join(first, [*keys, "_n"], "left").select(*keys, "pos", "text", F.coalesce("context", F.lit("")).alias("context"))
 
 
 METHODS = [("imperative_parsing", 0.9), ("modal_detection", 0.7), ("assignment_detection", 0.8), ("keyword_matching", 0.5)]
@@ -84,14 +88,10 @@ def actions_by_method(sents: DataFrame, keys: list[str]) -> DataFrame:
 
 def action_items(sents: DataFrame, keys: list[str]) -> DataFrame:
     """One row per distinct sentence: the first method in order that finds it, with its priority."""
-    w = Window.partitionBy(*keys, "text").orderBy("method_rank", "sent_no")
-    return (
-        actions_by_method(sents, keys)
-        .withColumn("_n", F.row_number().over(w))
-        .where("_n = 1")
-        .drop("_n")
-        .withColumn("priority", T.priority("text"))
-    )
+    # an aggregate, so a sentence repeated in a large share of the rows is reduced before the shuffle
+    found = F.struct("sent_no", "method_rank", "extraction_method", "confidence", "verb")
+    first = actions_by_method(sents, keys).groupBy(*keys, "text").agg(F.min_by(found, F.struct("method_rank", "sent_no")).alias("f"))
+    return first.select(*keys, "f.sent_no", "text", "f.method_rank", "f.extraction_method", "f.confidence", "f.verb", T.priority("text").alias("priority"))
 
 
 def with_deadline(actions: DataFrame, anchor: str) -> DataFrame:
@@ -101,7 +101,7 @@ def with_deadline(actions: DataFrame, anchor: str) -> DataFrame:
 
 def assignees(actions: DataFrame, persons: DataFrame, keys: list[str]) -> DataFrame:
     """keys, sent_no, text, assignee: the person of the meeting named first in the sentence (ties: the longer name, then the smaller)."""
-    hit = actions.select(*keys, "sent_no", "text").join(persons.select(*keys, "name").distinct(), keys).where(F.contains("text", "name"))
+    hit = containing(actions.select(*keys, "sent_no", "text"), persons.select(*keys, "name"), keys, "text", "name")
     best = hit.groupBy(*keys, "sent_no", "text").agg(
         F.min_by("name", F.struct(F.instr("text", F.col("name")), -F.length("name"), "name")).alias("assignee")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import text as T
+from palaver.operators.skew import neighbours, run_starts
 
 
 def contributions(segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -82,11 +83,12 @@ def merge_overlapping(segments: DataFrame, keys: list[str], overlap: float = 30.
     """segments(keys, pos, start, end, text) -> merged(keys, start, end, text, n_merged).
 
     A segment joins the one before it when it starts more than half the overlap before that one's end. The end of the
-    merged one is always the last raw end, so the runs follow from neighbours alone.
+    merged one is always the last raw end, so the runs follow from neighbours alone. Long meetings are cut into slices.
+    A null start or end counts as a break.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    brk = F.coalesce((F.col("start") >= F.lag("end").over(w) - overlap / 2).cast("int"), F.lit(1))
-    run = segments.withColumn("_b", brk).withColumn("_run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = neighbours(segments, keys, "pos", {"_before": "end"})
+    brk = F.coalesce(F.col("start") >= F.col("_before") - overlap / 2, F.lit(True))
+    run = run_starts(s, keys, "pos", brk, "_run")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return (
         run.groupBy(*keys, "_run")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palaver.functions import dates as D
 from palaver.functions import rules as R
 from palaver.functions import text as T
-from palaver.operators import clean, entities, report, sentences, speakers, summarize
+from palaver.operators import clean, entities, report, sentences, skew, speakers, summarize
 from palaver.sources import captions
 from palaver.sources.tables import read_once, table
 
@@ -304,9 +304,9 @@ def parsed_subtitles(spark, d):
 
 @query(f"""WITH {C} SELECT meeting_id, pos, round(end_seconds - start_seconds, 6) AS duration, round(lead(start_seconds) OVER w - end_seconds, 6) AS gap FROM c WINDOW w AS (PARTITION BY meeting_id ORDER BY pos)""")
 def cue_gaps(spark, d):
-    w = Window.partitionBy("meeting_id").orderBy("pos")
-    return cue_table(spark, d).select(
-        "meeting_id", "pos", F.round(F.col("end_seconds") - F.col("start_seconds"), 6).alias("duration"), F.round(F.lead("start_seconds").over(w) - F.col("end_seconds"), 6).alias("gap")
+    n = skew.neighbours(cue_table(spark, d), ["meeting_id"], "pos", {"next_start": "start_seconds"}, back=False)
+    return n.select(
+        "meeting_id", "pos", F.round(F.col("end_seconds") - F.col("start_seconds"), 6).alias("duration"), F.round(F.col("next_start") - F.col("end_seconds"), 6).alias("gap")
     )
 
 
@@ -513,17 +513,17 @@ def _speech(spark, d):
 
 
 @query(f"""WITH {M}, {SENT}, {P}, {C}, x AS (SELECT meeting_id, sentence FROM s UNION ALL SELECT meeting_id, text FROM c UNION ALL SELECT meeting_id, name || ' is our ' || [{', '.join(q(w) for w in _ROLE_WORDS)}][(person_id % {len(_ROLE_WORDS)} + 1)::INT] || '.' FROM p), y AS (SELECT meeting_id, sentence, unnest(list_filter([{_ROLE_CASES}], lambda z: z IS NOT NULL)) AS role FROM x),
-n AS (SELECT DISTINCT meeting_id, name FROM p)
+n AS (SELECT DISTINCT meeting_id, name FROM p WHERE length(name) >= 2)
 SELECT n.meeting_id, n.name, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM n JOIN y ON n.meeting_id = y.meeting_id AND contains(lower(y.sentence), lower(n.name)) GROUP BY ALL""")
 def person_roles(spark, d):
     return entities.person_roles(persons(spark, d), _speech(spark, d), ["meeting_id"]).withColumn("roles", F.array_join("roles", ","))
 
 
 @query(f"""WITH {M}, {SENT}, {P}, {_METHODS}, r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, text ORDER BY method_rank, sent_no) AS k FROM o), u AS (SELECT * FROM r WHERE k = 1),
-n AS (SELECT DISTINCT meeting_id, name FROM p), h AS (SELECT u.meeting_id, u.sent_no, name, row_number() OVER (PARTITION BY u.meeting_id, u.sent_no, u.text ORDER BY strpos(text, name), -length(name), name) AS r FROM u JOIN n ON u.meeting_id = n.meeting_id AND contains(text, name) WHERE name <> '')
+n AS (SELECT DISTINCT meeting_id, name FROM p), h AS (SELECT u.meeting_id, u.sent_no, name, row_number() OVER (PARTITION BY u.meeting_id, u.sent_no, u.text ORDER BY strpos(text, name), -length(name), name) AS r FROM u JOIN n ON u.meeting_id = n.meeting_id AND contains(text, name) WHERE length(name) >= 2)
 SELECT u.meeting_id, u.sent_no::INT AS sent_no, u.text, h.name AS assignee FROM u LEFT JOIN h ON u.meeting_id = h.meeting_id AND u.sent_no = h.sent_no AND h.r = 1""")
 def assignee_from_sentence(spark, d):
-    names = persons(spark, d).where("name <> ''")
+    names = persons(spark, d).where("length(name) >= 2")
     return entities.assignees(entities.action_items(spoken(spark, d), ["meeting_id"]), names, ["meeting_id"])
 
 
