@@ -133,7 +133,7 @@ def _given_rx(given: frozenset) -> regex.Pattern:
         alt, short = ("|".join(regex.escape(x) for x in sorted(g, key=len, reverse=True)) for g in (given, SHORT))
         fam, mid = rf"(?P<fam>{CAP}|\p{{Lu}}\.(?=\W|$))", r"(?:\p{Lu}\.\s)?"
         _CACHE[given] = regex.compile(
-            rf"{EDGE_L}(?:(?P<given>{alt})(?:\s{mid}{fam})?|(?P<given>{short})(?P<short>\s){mid}(?P<fam>{CAP})){EDGE_R}"
+            rf"{EDGE_L}(?:(?P<given>{alt})(?:\s{mid}{fam})?|(?P<given>{short})(?P<short>\s){mid}(?!(?:{alt}){EDGE_R})(?P<fam>{CAP})){EDGE_R}"
         )
     return _CACHE[given]
 

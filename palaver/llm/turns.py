@@ -34,7 +34,7 @@ HEADINGS = {
     "reminder", "note", "notes", "action item", "action", "action items", "next topic", "next step", "next steps", "decision", "question", "answer",
     "summary", "update", "todo", "to do", "follow-up", "follow up", "status", "warning", "info", "ps", "p.s.", "re", "link", "source", "file", "title",
     "transcript", "recording", "duration", "host", "organizer", "open point", "open points", "point", "item", "issue", "risk", "deadline", "important",
-    "fyi", "nb", "aside", "correction", "example", "quote", "background", "context", "minutes", "next meeting", "recap", "conclusion",
+    "fyi", "nb", "small print", "aside", "correction", "example", "quote", "background", "context", "minutes", "next meeting", "recap", "conclusion",
 }
 NOTE = regex.compile(r"\[[^\]\n]*\]|\([^)\n]*\)|<[^>\n]*>|\*[^*\n]*\*|[♪♫♬#]+[^♪♫♬\n]*[♪♫♬]+|[♪♫♬]+|\{[^}\n]*\}")
 TIME = r"\d{1,3}(?::\d{2}){1,2}(?:[.,]\d{1,3})?"
@@ -85,6 +85,13 @@ def looks_like_name(label: str) -> bool:
     return all(t[0].isupper() or t.lower() in ("de", "van", "von", "da", "di", "del", "la", "le", "bin", "al") for t in tokens)
 
 
+def lower_name(label: str) -> bool:
+    """A label typed in lower case throughout: one to three words that only hold letters."""
+    s = ROLE.sub("", label.strip().strip("[]-–> ")).strip()
+    words = s.replace(",", " ").split()
+    return s == s.lower() and 1 <= len(words) <= 3 and not is_heading(s) and all(NAME_TOKEN.match(w) for w in words)
+
+
 def same_speakers(labels: list[str]) -> dict[str, str]:
     """Spelling -> speaker key, for the labels of one meeting (those that are names)."""
     folded = {x: fold(x) for x in labels}
@@ -284,11 +291,9 @@ def cue_label(speaker: str | None, text: str | None) -> tuple[str | None, bool]:
         found, rest = v.group(1), text[v.end() :]
     else:
         m = LABEL.match(text)
-        if m and (looks_like_name(m.group(1)) or (m.group(1) == m.group(1).lower() and 2 <= len(m.group(1).split()) <= 3 and not is_heading(m.group(1)))):
-            label, after = m.group(1), text[m.end() :]
-            if label[:1] == "[" or len(label.split()) > 1 or label[0].isupper():
-                found, rest = label, after
-    if speaker and speaker.strip() and not is_heading(speaker) and (looks_like_name(speaker) or len(speaker.split()) in (1, 2, 3)):
+        if m and (looks_like_name(m.group(1)) or (lower_name(m.group(1)) and len(m.group(1).split()) > 1)):
+            found, rest = m.group(1), text[m.end() :]
+    if speaker and speaker.strip() and (looks_like_name(speaker) or lower_name(speaker)):
         if found is None or not looks_like_name(found):
             rest = text
         found = found if found and looks_like_name(found) and fold(found) == fold(speaker) else speaker
