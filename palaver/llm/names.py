@@ -186,7 +186,7 @@ def classes(values: DataFrame) -> DataFrame:
         .drop("k")
     )
     by_initial = (
-        lasts.where("kind = 'p' and length(first) = 1")
+        lasts.where("kind = 'p' and length(first) = 1 and how_last = 'exact'")
         .join(single, ["first", "to_last"])
         .select(*lasts.columns, "to_first", F.lit("initial").alias("how_first"))
     )

@@ -102,6 +102,7 @@ def _strip_accents(s: str) -> str:
 
 
 GIVEN_ANY = GIVEN | {_strip_accents(x) for x in GIVEN}
+GIVEN_FOLDED = {_strip_accents(x).casefold() for x in GIVEN}
 
 
 def _take(rx, text, free, out, kind, group=0):

@@ -85,11 +85,17 @@ def looks_like_name(label: str) -> bool:
     return all(t[0].isupper() or t.lower() in ("de", "van", "von", "da", "di", "del", "la", "le", "bin", "al") for t in tokens)
 
 
-def lower_name(label: str) -> bool:
-    """A label typed in lower case throughout: one to three words that only hold letters."""
+def lower_name(label: str, given: bool = False) -> bool:
+    """A label typed in lower case throughout: one to three words that only hold letters; given: one is a given name."""
     s = ROLE.sub("", label.strip().strip("[]-–> ")).strip()
     words = s.replace(",", " ").split()
-    return s == s.lower() and 1 <= len(words) <= 3 and not is_heading(s) and all(NAME_TOKEN.match(w) for w in words)
+    if not (s == s.lower() and 1 <= len(words) <= 3 and not is_heading(s) and all(NAME_TOKEN.match(w) for w in words)):
+        return False
+    if not given:
+        return True
+    from palaver.llm.pii import GIVEN_FOLDED
+
+    return any(w in GIVEN_FOLDED for w in fold(s).split())
 
 
 def same_speakers(labels: list[str]) -> dict[str, str]:
@@ -218,9 +224,9 @@ def text_turns(text: str | None) -> list[tuple[int, int]]:
     known = {fold(p) for p in present}
     layouts = {}
     for (lead, sep, tail), labels in tree.items():
-        names = [x for x in labels if looks_like_name(x) or fold(x) in known]
-        known |= {fold(x) for x in names} if len(names) * 2 > len(labels) else set()
         timed = lead in ("[t]", "(t)", "<t>", "t") or sep == "label"
+        names = [x for x in labels if looks_like_name(x) or fold(x) in known or lower_name(x, given=not (timed or lead == ">>"))]
+        known |= {fold(x) for x in names} if len(names) * 2 > len(labels) else set()
         if names and (timed or lead == ">>" or sep == ":") and len(names) * (2 if timed else 5) >= len(labels):
             layouts[lead, sep, tail] = (timed or lead == ">>" or tail, len(names))
     strong = [k for k, (sure, n) in layouts.items() if sure]
@@ -234,9 +240,9 @@ def text_turns(text: str | None) -> list[tuple[int, int]]:
         if not line.strip():
             continue
         hit = next((o for o in sorted(options, key=lambda o: -layouts.get(o[0], (0, 0))[1]) if o[0] in layouts), None)
-        if hit and not best and not looks_like_name(hit[1]) and fold(hit[1]) not in known:
+        if hit and not best and not looks_like_name(hit[1]) and fold(hit[1]) not in known and not lower_name(hit[1], given=True):
             hit = None
-        if hit and best and (is_heading(hit[1]) or (not looks_like_name(hit[1]) and fold(hit[1]) not in known)):
+        if hit and best and not looks_like_name(hit[1]) and fold(hit[1]) not in known and not lower_name(hit[1]):
             hit = None if not hit[2] else (hit[0], "", hit[2], hit[1] + ": " + hit[3], False)
         if hit:
             _, label, t, rest, only = hit
@@ -291,7 +297,7 @@ def cue_label(speaker: str | None, text: str | None) -> tuple[str | None, bool]:
         found, rest = v.group(1), text[v.end() :]
     else:
         m = LABEL.match(text)
-        if m and (looks_like_name(m.group(1)) or (lower_name(m.group(1)) and len(m.group(1).split()) > 1)):
+        if m and (looks_like_name(m.group(1)) or lower_name(m.group(1), given=True)):
             found, rest = m.group(1), text[m.end() :]
     if speaker and speaker.strip() and (looks_like_name(speaker) or lower_name(speaker)):
         if found is None or not looks_like_name(found):

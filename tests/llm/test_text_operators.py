@@ -64,6 +64,9 @@ def test_layouts():
     assert turns.text_turns(">> Ann: Hi [00:02]\n>> Bo: Yes [00:04]\nNote: go on") == [(1, 1), (2, 3)]
     assert turns.text_turns("(00:06) Ann Vane - Hi\n(00:09) Vane, Ann - More") == [(1, 2)]
     assert turns.text_turns("no speaker here\nAnn: hi\nBo: yes") == [(2, 2), (3, 3)]
+    t = "00:02 freya vane> Hi.\n\nAction item: go on\n00:33 ANN LINT> Yes.\n01:09 Freya Vane> No.\n01:30 ann lint> Well.\n01:59 freya vane> Bye."
+    assert turns.text_turns(t) == [(1, 3), (4, 4), (5, 5), (6, 6), (7, 7)]
+    assert turns.cue_label("Small print", "x")[0] is None and turns.cue_label("freya vane", "x")[0] == "freya vane"
     assert turns.text_turns(None) == [] and turns.text_turns("") == []
 
 
