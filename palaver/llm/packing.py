@@ -7,7 +7,8 @@ of a tier are dealt to step groups so that groups differ little in tokens.
 
 Texts are spread over blocks by the hash of their id; a block has at most BLOCK_TEXTS texts on average, so the work of
 one task is bounded and a skewed source does not matter. Only ids and sizes are shuffled. Null and empty texts have no
-tokens and get no container (container_no null). A repeated doc_id counts once.
+tokens and get no container (container_no null), nor has any text one where no capacity is given. A repeated doc_id
+counts once.
 """
 
 from __future__ import annotations
@@ -67,6 +68,9 @@ def pack(sizes: list[tuple[int, int, int]], capacities: list[int]) -> list[tuple
 def containers(sized: DataFrame, capacities: list[int], groups: int = STEP_GROUPS) -> DataFrame:
     """sized(doc_id, n_tokens), one row per text -> doc_id, piece_no, n_tokens, capacity_tokens, block, container_no, step_group."""
     caps = sorted({int(c) for c in capacities if c and c > 0})
+    if not caps:  # no container to put anything in
+        nowhere = [F.lit(None).cast("int").alias(c) for c in ("capacity_tokens", "block", "container_no", "step_group")]
+        return sized.select("doc_id", F.lit(0).alias("piece_no"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), *nowhere)
     top = caps[-1]
     n = sized.agg(F.count("*")).first()[0]
     blocks = max(1, -(-n // BLOCK_TEXTS))
