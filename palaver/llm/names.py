@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.llm.patterns import pat
 from palaver.llm.pii import FEMALE, MALE, SHORT, find, is_nobody, is_org
 from palaver.llm.turns import fold
 from palaver.sources.checkpoints import cut
@@ -61,8 +62,8 @@ def parse(value: str | None) -> tuple[str, str, str] | None:
     if value is None or is_nobody(value):
         return None
     if is_org(value):
-        s = fold(regex.sub(r"[.,&]", lambda m: "" if m.group() == "." else " ", value))
-        words = [w for w in regex.findall(r"[\p{L}\p{N}]+", s) if w != "the"]
+        s = fold(pat(r"[.,&]").sub(lambda m: "" if m.group() == "." else " ", value))
+        words = [w for w in pat(r"[\p{L}\p{N}]+").findall(s) if w != "the"]
         words = [BUSINESS.get(w, w) for w in words if w not in LEGAL]
         kinds = [w for w in words if w in KINDS]
         head = [w for w in words if w not in KINDS]
@@ -73,7 +74,7 @@ def parse(value: str | None) -> tuple[str, str, str] | None:
     name = value[spot[0] : spot[1]]
     comma = name.count(",") == 1
     f = fold(name)
-    words = [w for w in regex.split(r"[\s._]+", f.replace("'", "")) if regex.search(r"\p{L}", w)]
+    words = [w for w in pat(r"[\s._]+").split(f.replace("'", "")) if pat(r"\p{L}").search(w)]
     if len(words) > 2:
         words = [w for w in (words[0], *[x for x in words[1:-1] if len(x) > 1], words[-1])]
     if len(words) == 1:

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.llm.patterns import pat
 from palaver.sources.tables import read_once
 
 # Given names by the gender of their surrogates.
@@ -115,7 +116,7 @@ def _take(rx, text, free, out, kind, group=0):
 
 def _french(around: str) -> bool:
     """Whether "M." is Monsieur here and no initial."""
-    words = regex.findall(r"[\p{L}'’]+", around.lower())
+    words = pat(r"[\p{L}'’]+").findall(around.lower())
     fr = sum(w in FRENCH or w[:2] in ("l'", "d'", "n'", "c'", "j'", "l’", "d’", "n’") for w in words)
     return fr > sum(w in ENGLISH for w in words)
 
@@ -180,10 +181,10 @@ def _label_names(text: str) -> list[tuple[int, int]]:
     for line in text.split("\n"):
         bare = line.rstrip("\r")
         v = VOICE.match(bare)
-        h = regex.match(r"\s*(?:participants|attendees|present)\s*:\s*", bare, regex.I)
+        h = pat(r"(?i)\s*(?:participants|attendees|present)\s*:\s*").match(bare)
         found: list[tuple[int, str]] = []
         if h:
-            for m in regex.finditer(r"[^;|]+", bare[h.end() :]):
+            for m in pat(r"[^;|]+").finditer(bare[h.end() :]):
                 found.append((h.end() + m.start(), m.group()))
         elif v:
             found.append((v.start(1), v.group(1)))
@@ -198,11 +199,11 @@ def _label_names(text: str) -> list[tuple[int, int]]:
             if hits:
                 found.append(min(hits, key=lambda h: len(h[1])))
         for off, raw in found:
-            lead_ws = regex.match(r"[\s\-–—\[(<>]*", raw).end()
-            body = regex.sub(r"\s*[(\[][^()\[\]]*[)\]]\s*$", "", raw[lead_ws:].rstrip()).rstrip(" ])>")
+            lead_ws = pat(r"[\s\-–—\[(<>]*").match(raw).end()
+            body = pat(r"\s*[(\[][^()\[\]]*[)\]]\s*$").sub("", raw[lead_ws:].rstrip()).rstrip(" ])>")
             if not body:
                 continue
-            t = regex.match(r"(?:Dr|Mr|Mrs|Ms|Prof)\.?\s", body)
+            t = pat(r"(?:Dr|Mr|Mrs|Ms|Prof)\.?\s").match(body)
             if t:
                 lead_ws += t.end()
                 body = body[t.end() :]
@@ -214,7 +215,7 @@ def _label_names(text: str) -> list[tuple[int, int]]:
         at += len(line) + 1
     for a, body in lower:
         if fold(body) in names or body.split()[0].capitalize() in GIVEN_ANY or body.split()[0].title() in GIVEN:
-            if all(regex.fullmatch(r"[\p{L}\p{M}'’.\-]+", w) for w in body.split()) and len(body.split()) <= 3:
+            if all(pat(r"[\p{L}\p{M}'’.\-]+").fullmatch(w) for w in body.split()) and len(body.split()) <= 3:
                 spots.append((a, a + len(body)))
     return spots
 
@@ -234,7 +235,9 @@ def find(text: str | None, is_name_field: bool = False) -> list[tuple[int, int,
         if not any(taken[a:b]):
             out.append((a, b, "name"))
             taken[a:b] = b"\x01" * (b - a)
-    own = {w for a, b, k in out if k == "name" for w in text[a:b].replace(",", " ").split()[:1] if w[0].isupper() and len(w) > 2 and not w.isupper() and w not in STOP}
+    # given names of labels that the list does not hold ("Last, First" gives the part behind the comma)
+    labels = (text[a:b] for a, b, k in out if k == "name")
+    own = {w for n in labels for w in n.split(",")[-1].split()[:1] if w[0].isupper() and len(w) > 2 and not w.isupper() and w not in STOP}
     _names(text, taken, out, frozenset(GIVEN_ANY | own))
     _again(text, taken, out)
     return sorted(out)
@@ -245,18 +248,28 @@ def _again(text: str, taken: bytearray, out: list) -> None:
     families, full = set(), set()
     for a, b, k in out:
         if k == "name":
-            words = regex.findall(r"[\p{L}\p{M}'’\-]+", text[a:b])
+            words = pat(r"[\p{L}\p{M}'’\-]+").findall(text[a:b])
             if len(words) > 1 and text[a].isupper():
                 families |= {w for w in words if len(w) > 3 and w not in GIVEN_ANY and w not in SHORT and w[0].isupper() and not w.isupper()}
                 full.add(" ".join(words).upper())
     if not families:
         return
-    alt = "|".join(regex.escape(x) for x in sorted(full | families | {f.upper() for f in families}, key=len, reverse=True))
-    for m in regex.finditer(rf"{EDGE_L}(?:{alt}){EDGE_R}", text):
-        a, b = m.span()
-        if not any(taken[a:b]):
-            out.append((a, b, "name"))
-            taken[a:b] = b"\x01" * (b - a)
+    bad_before, bad_after = "_@.'’-", "_@"
+    for w in sorted(full | families | {f.upper() for f in families}, key=len, reverse=True):
+        a = text.find(w)
+        while a >= 0:
+            b = a + len(w)
+            before, after = text[a - 1 : a], text[b : b + 1]
+            whole = not (before.isalnum() and not _no_case(before)) and before not in tuple(bad_before) and not (after.isalnum() and not _no_case(after)) and after not in tuple(bad_after)
+            if whole and not any(taken[a:b]):
+                out.append((a, b, "name"))
+                taken[a:b] = b"\x01" * (b - a)
+            a = text.find(w, b)
+
+
+def _no_case(c: str) -> bool:
+    """A letter of a script without case: it may touch a Latin name."""
+    return c.isalpha() and c.lower() == c.upper()
 
 
 # Words and endings of organisations, and what stands in a name field for nobody.
@@ -272,30 +285,30 @@ PLACEHOLDER = regex.compile(r"(?:speaker|spk|participant|guest|user|person|calle
 
 
 def is_nobody(name: str | None) -> bool:
-    s = regex.sub(r"\s+", " ", (name or "").strip()).casefold()
-    return s in NOBODY or bool(PLACEHOLDER.match(s)) or not regex.search(r"\p{L}", s)
+    s = pat(r"\s+").sub(" ", (name or "").strip()).casefold()
+    return s in NOBODY or bool(PLACEHOLDER.match(s)) or not pat(r"\p{L}").search(s)
 
 
 def is_org(name: str) -> bool:
-    words = regex.findall(r"[\p{L}\p{M}]+", name.replace(".", "").casefold())
+    words = pat(r"[\p{L}\p{M}]+").findall(name.replace(".", "").casefold())
     return any(w in ORG for w in words[1:])
 
 
 def _name_field(text: str, taken: bytearray, out: list) -> None:
     """What remains of a name field besides mail, phone, number and address is one name, unless it is an organisation."""
     rest = "".join(" " if t else c for c, t in zip(text, taken, strict=True))
-    rest_core = regex.sub(r"\([^()]*\)|<[^<>]*>|\[[^\[\]]*\]", lambda m: " " * len(m.group()), rest)
-    m = regex.search(r"[\p{L}\p{N}].*[\p{L}\p{N}.]|\p{L}", rest_core)
+    rest_core = pat(r"\([^()]*\)|<[^<>]*>|\[[^\[\]]*\]").sub(lambda m: " " * len(m.group()), rest)
+    m = pat(r"[\p{L}\p{N}].*[\p{L}\p{N}.]|\p{L}").search(rest_core)
     if not m:
         return
     a, body = m.start(), m.group().rstrip(" ,;/|-–")
-    t = regex.match(r"(?:(?:Dr|Mr|Mrs|Ms|Miss|Prof|Hr|Fr|Herr|Frau|Mme|Mlle|Sr|Sra|Srta|Dra|Sig|sig|Dott|dott|dott\.ssa|Sir|Rev|Eng|Ing)\.?\s+)+(?=\p{L}{2}|\p{Lu}\.)", body)
+    t = pat(r"(?:(?:Dr|Mr|Mrs|Ms|Miss|Prof|Hr|Fr|Herr|Frau|Mme|Mlle|Sr|Sra|Srta|Dra|Sig|sig|Dott|dott|dott\.ssa|Sir|Rev|Eng|Ing)\.?\s+)+(?=\p{L}{2}|\p{Lu}\.)").match(body)
     if t:
         a, body = a + t.end(), body[t.end() :]
-    body = regex.sub(r"(?:,?\s(?:Jr|Sr|PhD|MD|Esq|II|III)\.?)$|['’]s$", "", body)
-    if body.endswith(".") and not regex.search(r"(?<!\p{L})\p{Lu}\.$", body):
+    body = pat(r"(?:,?\s(?:Jr|Sr|PhD|MD|Esq|II|III)\.?)$|['’]s$").sub("", body)
+    if body.endswith(".") and not pat(r"(?<!\p{L})\p{Lu}\.$").search(body):
         body = body[:-1]
-    if is_nobody(body) or is_org(body) or regex.search(r"\d{3,}", body):
+    if is_nobody(body) or is_org(body) or pat(r"\d{3,}").search(body):
         return
     out.append((a, a + len(body), "name"))
 
@@ -323,11 +336,11 @@ def _entity(kind: str, value: str) -> str:
 
         return fold(value)
     if kind in ("phone", "id_number"):
-        return regex.sub(r"\W", "", value).upper()
+        return pat(r"\W").sub("", value).upper()
     v = value.casefold()
     if kind == "email":
-        v = regex.sub(r"\s?[\[({]?\s?\bat\b\s?[\])}]?\s?(?=[\w\-]+(?:\.|\sdot\s|\s?[\[({]))", "@", v, count=1)
-        v = regex.sub(r"\s?[\[({]?\s?\bdot\b\s?[\])}]?\s?", ".", v)
+        v = pat(r"\s?[\[({]?\s?\bat\b\s?[\])}]?\s?(?=[\w\-]+(?:\.|\sdot\s|\s?[\[({]))").sub("@", v, count=1)
+        v = pat(r"\s?[\[({]?\s?\bdot\b\s?[\])}]?\s?").sub(".", v)
     return v
 
 
@@ -384,7 +397,7 @@ def _replace(kind: str, value: str, pick) -> str:
             s = pick("word", low, (lambda n: pool[n % len(pool)] if n % 97 else pool[n % len(pool)] + "a") if pool else _surname)
             return s.upper() if w.isupper() else s.lower() if w.islower() else s
 
-        return regex.sub(r"[\p{L}\p{M}]+", one, value)
+        return pat(r"[\p{L}\p{M}]+").sub(one, value)
     if kind in ("phone", "id_number"):
         # the same figures in the same places, whatever the separators of this mention
         plain = _entity(kind, value)
@@ -393,17 +406,17 @@ def _replace(kind: str, value: str, pick) -> str:
             return "".join(str((n >> (3 * (i % 20))) % 10) if c.isdigit() else c for i, c in enumerate(plain))
 
         fresh = iter(pick(kind, plain, draw))
-        return "".join(next(fresh) if regex.match(r"\w", c) else c for c in value)
+        return "".join(next(fresh) if pat(r"\w").match(c) else c for c in value)
     if kind == "email":
         local = pick(kind, _entity(kind, value), lambda n: f"{_surname(n)}{n // 9261 % 1000}".lower())
-        dom = regex.search(r"(@|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)", value, regex.I)
+        dom = pat(r"(?i)(@|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)").search(value)
         s = f"{local}{dom.group(1) if dom else '@'}mail.example" if " dot " not in value.casefold() else f"{local} at mail dot example"
         return s.upper() if value.isupper() else s
     # street addresses: the numbers and the capitalised words are replaced, the pattern of the country stays
     fresh = pick(kind, value.casefold(), lambda n: str(n))
     n = int(fresh)
-    s = regex.sub(r"\d", lambda m: str((n >> (m.start() % 50)) % 10), value)
-    return regex.sub(r"(?<=\d[A-Za-z]?,?\s)\p{Lu}[\p{L}\-]+(?=\s\p{Lu})", lambda m: _surname(n), s, count=1)
+    s = pat(r"\d").sub(lambda m: str((n >> (m.start() % 50)) % 10), value)
+    return pat(r"(?<=\d[A-Za-z]?,?\s)\p{Lu}[\p{L}\-]+(?=\s\p{Lu})").sub(lambda m: _surname(n), s, count=1)
 
 
 # --- queries -------------------------------------------------------------------------------------------------------

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pandas as pd
 import regex
 
+from palaver.llm.patterns import pat
+
 PAIRS = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‹": "›", "‘": "’", "《": "》"}
 CLOSERS = "»”“」』）)]›’》\"'"
 CAND = regex.compile(r"(?:[.!?]+|[。！？؟।॥｡…]+)+(?:[   ](?=[»]))?[»”“」』）)\]›’》\"']*")
@@ -103,7 +105,7 @@ def _spans(line: str) -> list[tuple[int, int]]:
         if ch == '"':
             if i and not (line[i - 1].isspace() or line[i - 1] in "(（[«“„-–—:：,，、>"):
                 # a straight quote glued to a letter opens only in scripts without spaces
-                if not regex.match(CJK, line[i - 1]):
+                if not pat(CJK).match(line[i - 1]):
                     at = i + 1
                     continue
             j = line.find('"', i + 1)
@@ -150,7 +152,7 @@ def _line_ends(line: str) -> list[int]:
                 # the quotation closes here: in scripts without letter case an embedded one does not end the sentence
                 rest = line[end:].lstrip()[:1]
                 if line[begin:a].strip() and rest and not (rest.isupper() or rest.islower() or rest.isdigit() or rest in "¿¡\"“«(["):
-                    if not regex.match(rf"{CJK}|\p{{Hangul}}", rest) or not nxt.isspace():
+                    if not pat(rf"{CJK}|\p{{Hangul}}").match(rest) or not nxt.isspace():
                         continue
             elif a >= m.start() and a < end:
                 end = a  # a straight quote that opens behind the mark

@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.llm.patterns import pat
 from palaver.sources.checkpoints import cut
 from palaver.sources.tables import read_once
 
@@ -47,7 +48,7 @@ def has_speech(text: str | None) -> bool:
     """Whether something remains besides notes, times and hesitation sounds."""
     if not text:
         return False
-    rest = NOTE.sub(" ", regex.sub(rf"\[?\(?(?<!\d){TIME}(?!\d)\)?\]?", " ", text)) if text.strip() else ""
+    rest = NOTE.sub(" ", pat(rf"\[?\(?(?<!\d){TIME}(?!\d)\)?\]?").sub(" ", text)) if text.strip() else ""
     return any(w.casefold().strip("'’-") not in HESITATIONS for w in WORD.findall(rest))
 
 
@@ -57,8 +58,8 @@ def has_only_label_words(text: str) -> bool:
 
 def fold(name: str) -> str:
     """Lower case, without accents, roles, brackets, dashes before it and doubled spaces."""
-    s = regex.sub(r"^[\s\-–—>•*]+|[\s:>\-–—]+$", "", name)
-    m = regex.fullmatch(r"[\[(<]+(.*?)[\])>]+(.*)", s)
+    s = pat(r"^[\s\-–—>•*]+|[\s:>\-–—]+$").sub("", name)
+    m = pat(r"[\[(<]+(.*?)[\])>]+(.*)").fullmatch(s)
     if m:
         s = (m.group(1) + m.group(2)).strip()
     s = ROLE.sub("", s)
@@ -67,17 +68,17 @@ def fold(name: str) -> str:
         s = f"{first.strip()} {last.strip()}"
     s = s.replace("ø", "o").replace("Ø", "O").replace("æ", "ae").replace("Æ", "Ae").replace("ß", "ss").replace("ł", "l").replace("Ł", "L")
     s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    s = regex.sub(r"[_\s]+", " ", s).casefold().strip()
-    return regex.sub(r"^(?:dr|mr|mrs|ms|prof|hr|fr|mme|sr|sra|dra)\.?\s+(?=\S{2})", "", s)
+    s = pat(r"[_\s]+").sub(" ", s).casefold().strip()
+    return pat(r"^(?:dr|mr|mrs|ms|prof|hr|fr|mme|sr|sra|dra)\.?\s+(?=\S{2})").sub("", s)
 
 
 def is_heading(label: str) -> bool:
-    low = regex.sub(r"\s+", " ", label.strip().strip("*_#").casefold())
-    return low in HEADINGS or bool(regex.search(r"\d", low))
+    low = pat(r"\s+").sub(" ", label.strip().strip("*_#").casefold())
+    return low in HEADINGS or bool(pat(r"\d").search(low))
 
 
 def looks_like_name(label: str) -> bool:
-    s = regex.sub(r"^[\s\-–—>•]+", "", label).strip()
+    s = pat(r"^[\s\-–—>•]+").sub("", label).strip()
     s = ROLE.sub("", s[1:-1] if s[:1] == "[" and s[-1:] == "]" else s).strip("[] ")
     tokens = s.replace(",", " ").split()
     if not 1 <= len(tokens) <= 4 or is_heading(s) or not all(NAME_TOKEN.match(t) for t in tokens):
@@ -215,9 +216,9 @@ def text_turns(text: str | None) -> list[tuple[int, int]]:
     parsed = [_leaf(x) if x.strip() else [] for x in lines]
     present: list[str] = []
     for x in lines:
-        h = regex.match(r"\s*(?:participants|attendees|present)\s*:\s*(.+)", x, regex.I)
+        h = pat(r"(?i)\s*(?:participants|attendees|present)\s*:\s*(.+)").match(x)
         if h:
-            present += [p.strip() for p in regex.split(r"[;|]|,(?=\s*\p{Lu}\S+\s+\p{Lu})", h.group(1)) if p.strip()]
+            present += [p.strip() for p in pat(r"[;|]|,(?=\s*\p{Lu}\S+\s+\p{Lu})").split(h.group(1)) if p.strip()]
     for options in parsed:
         for leaf, label, *_ in options:
             tree[leaf].append(label)
