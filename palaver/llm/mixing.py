@@ -137,10 +137,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = choose(docs, targets).groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("n_tokens"), F.max("times").alias("most_times")
     )
-    all_ = got.agg(F.sum("n_tokens").alias("all_tokens"))  # one row
+    every = F.sum("n_tokens").over(Window.partitionBy())  # as many rows as mix_target
     return (
         targets.join(got, "source", "left")
         .fillna(0, ["n_docs", "n_tokens", "most_times"])
-        .crossJoin(F.broadcast(all_))
-        .select("source", "target_share", "max_repeats", "n_docs", "n_tokens", F.round(F.col("n_tokens") / F.col("all_tokens"), 6).alias("actual_share"), "most_times")
+        .select(
+            "source", "target_share", "max_repeats", "n_docs", "n_tokens", F.round(F.col("n_tokens") / F.nullif(every, F.lit(0)), 6).alias("actual_share"), "most_times"
+        )
     )

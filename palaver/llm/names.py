@@ -136,7 +136,7 @@ def classes(values: DataFrame) -> DataFrame:
     """values(value), distinct -> value, class (a string naming the identity)."""
     spark = values.sparkSession
     v = cut(parsed_values(values))
-    n = F.broadcast(v.agg(F.count("*").cast("double").alias("n")))  # one row
+    n = float(v.count())
     family = v.where("kind in ('p', 'o')").groupBy("kind", F.col("last").alias("token")).agg(F.count("*").alias("support"))
     family = cut(family)  # each step is cut: the plans below use it several times
     # given names: those before many families are supported best, the known ones above all; others are corrected towards them
@@ -169,7 +169,14 @@ def classes(values: DataFrame) -> DataFrame:
     ids = base.where("kind = 'o' or length(first) > 1").groupBy("kind", F.col("first").alias("to_first"), F.col("last").alias("to_last")).agg(
         F.count("*").alias("support")
     )
-    ids = cut(ids)
+    # with the weights of their tokens: how rare the last and the first token are among the values
+    df_last = family.select("kind", F.col("token").alias("to_last"), F.col("support").alias("dl"))
+    df_first = v.where("kind <> 'g'").groupBy("kind", F.col("first").alias("to_first")).agg(F.count("*").alias("df"))
+    ids = cut(
+        ids.join(df_last, ["kind", "to_last"])
+        .join(df_first, ["kind", "to_first"])
+        .select("kind", "to_first", "to_last", "support", F.log1p(F.lit(n) / F.col("dl")).alias("wl"), F.log1p(F.lit(n) / F.col("df")).alias("wf"))
+    )
     # a given name that is the short form or a misspelling of another of the family is no identity of its own for initials
     own = ids.where("kind = 'p'")
     better = (
@@ -195,16 +202,9 @@ def classes(values: DataFrame) -> DataFrame:
     proposals = cut(proposals.join(ids, ["kind", "to_first", "to_last"]))
 
     # verification: soft similarity of the two tokens, weighted by how rare the identity's tokens are
-    df_last = family.select("kind", F.col("token").alias("to_last"), F.col("support").alias("dl"))
-    df_first = v.where("kind <> 'g'").groupBy("kind", F.col("first").alias("to_first")).agg(F.count("*").alias("dfirst"))
     sim = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in SIM.items() for x in kv]), F.col(c))
-    wl, wf = F.log1p(F.col("n") / F.col("dl")), F.log1p(F.col("n") / F.col("dfirst"))
-    scored = (
-        proposals.join(df_last, ["kind", "to_last"])
-        .join(df_first, ["kind", "to_first"])
-        .crossJoin(n)
-        .withColumn("score", (wl * sim("how_last") + wf * sim("how_first")) / (wl + wf))
-        .where(F.col("score") >= THRESHOLD)
+    scored = proposals.withColumn("score", (F.col("wl") * sim("how_last") + F.col("wf") * sim("how_first")) / (F.col("wl") + F.col("wf"))).where(
+        F.col("score") >= THRESHOLD
     )
     # the identity to stay with: a corrected or lengthened one that exists wins over the value's own spelling
     rank = F.struct(
