@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.functions.rules import WS
 from palaver.llm import languages, mixing, names, packing, pii, sentences, spans, splitting, turns
 from palaver.sources.tables import read_once
 
@@ -54,4 +55,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shares": mixing.p8_shares,
 }
 
-ORACLES: dict[str, str] = {}
+_RUNS = f"regexp_extract_all(t, '[^.!?。！？।؟{WS[1:-1]}]+')"
+
+ORACLES: dict[str, str] = {
+    "p3_found": f"""WITH i AS (
+ SELECT 'meeting.raw_text' AS field_name, meeting_id AS rec_key, 0 AS item_no, max(raw_text) AS t FROM meeting GROUP BY meeting_id
+ UNION ALL SELECT 'processing.chunks', proc_id::VARCHAR, unnest(range(len(c)))::INT, unnest(c) FROM (SELECT proc_id, max(chunks) AS c FROM processing GROUP BY proc_id))
+SELECT i.field_name, rec_key, item_no, CASE WHEN coalesce(list_max(list_transform({_RUNS}, lambda x: length(x))), 0) > max_chars THEN 1 ELSE 0 END AS must_break
+FROM i JOIN size_limit USING (field_name) WHERE length(t) > max_chars""",
+}
