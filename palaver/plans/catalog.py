@@ -759,3 +759,28 @@ def pipeline_report(spark, d):
     from palaver.plans.pipeline import run_pipeline
 
     return run_pipeline(meetings(spark, d), persons(spark, d))
+
+
+@query()
+def report_pdf(spark, d):
+    from palaver.operators import documents
+
+    return documents.render(report.text_report(report_parts(spark, d), ["meeting_id"]), ["meeting_id"], "pdf")
+
+
+@query()
+def dashboards(spark, d):
+    from palaver.operators import documents
+
+    return documents.dashboard(cue_table(spark, d), actions(spark, d), ["meeting_id"])
+
+
+@query(f"""WITH {C}, g AS (SELECT meeting_id, speaker, sum(coalesce({wc('text')}, 0))::BIGINT AS word_count, count(*) AS segment_count FROM c GROUP BY ALL)
+SELECT meeting_id, speaker, word_count, segment_count, round(round(word_count::DOUBLE / segment_count, 4), 1) AS avg_words_per_segment,
+round(round(100.0 * word_count::DOUBLE / greatest(sum(word_count) OVER (PARTITION BY meeting_id), 1), 4), 1) AS contribution_percentage FROM g""")
+def workbook_speakers(spark, d):
+    from palaver.operators import documents
+
+    people = entities.people(persons(spark, d), ["meeting_id"])
+    sums = meetings(spark, d).select("meeting_id", F.col("raw_text").alias("summary"))
+    return documents.workbook(sums, actions(spark, d), people, cue_table(spark, d), ["meeting_id"])["speaker_analysis"]

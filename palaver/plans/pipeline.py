@@ -23,7 +23,7 @@ def plain_texts(meetings: DataFrame) -> DataFrame:
 def run_pipeline(meetings: DataFrame, persons: DataFrame, ratio: float = 0.3) -> DataFrame:
     """meeting_id, report for every meeting; one with a null text gets the empty-state lines.
 
-    Unsupported extensions are left out, as the upload of the original would refuse them.
+    Meetings of unsupported extensions are left out.
     """
     key = ["meeting_id"]
     m = plain_texts(meetings.where(F.col("ext").isin(R.TEXT_EXTENSIONS + R.AUDIO_EXTENSIONS)))

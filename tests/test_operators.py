@@ -112,7 +112,7 @@ def test_dates(spark):
         D.format_datetime("a", "nope")
 
 
-def test_reference_intents(spark):
+def test_stated_intents(spark):
     df = spark.createDataFrame([(1, "The meeting is scheduled for next Friday."), (2, "Let’s talk about cats and dogs."), (3, "Please prepare the slides by Monday."), (4, "Nothing to do here.")], "i int, sentence string")
     df = df.withColumn("sent_no", F.lit(0))
     n = {r.i: r.n for r in df.select("i", F.size(D.find_dates("sentence")).alias("n")).collect()}
