@@ -200,7 +200,9 @@ def _label_names(text: str) -> list[tuple[int, int]]:
                 found.append(min(hits, key=lambda h: len(h[1])))
         for off, raw in found:
             lead_ws = pat(r"[\s\-–—\[(<>]*").match(raw).end()
-            body = pat(r"\s*[(\[][^()\[\]]*[)\]]\s*$").sub("", raw[lead_ws:].rstrip()).rstrip(" ])>")
+            body = raw[lead_ws:].rstrip()
+            body = body[:-1].rstrip() if raw.lstrip(" -–—")[:1] == "[" and body.endswith("]") else body
+            body = pat(r"\s*[(\[][^()\[\]]*[)\]]\s*$").sub("", body).rstrip(" ])>")
             if not body:
                 continue
             t = pat(r"(?:Dr|Mr|Mrs|Ms|Prof)\.?\s").match(body)

@@ -59,9 +59,11 @@ def has_only_label_words(text: str) -> bool:
 def fold(name: str) -> str:
     """Lower case, without accents, roles, brackets, dashes before it and doubled spaces."""
     s = pat(r"^[\s\-–—>•*]+|[\s:>\-–—]+$").sub("", name)
-    m = pat(r"[\[(<]+(.*?)[\])>]+(.*)").fullmatch(s)
-    if m:
-        s = (m.group(1) + m.group(2)).strip()
+    for open_, close in ("[]", "<>", "()"):
+        if s[:1] == open_ and close in s:
+            j = s.rfind(close) if s[-1] == close else s.find(close)
+            s = (s[1:j] + s[j + 1 :]).strip()
+    s = s.strip("<>[] ")
     s = ROLE.sub("", s)
     if s.count(",") == 1:
         last, first = s.split(",")

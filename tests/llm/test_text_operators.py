@@ -73,6 +73,7 @@ def test_layouts():
 def test_same_speakers():
     m = turns.same_speakers(["Ann Vane", "ann vane", "A. Vane", "Ann V.", "Vane, Ann", "Ann", "[Ann Vane]", "Bo Lint"])
     assert len({v for k, v in m.items() if k != "Bo Lint"}) == 1 and m["Bo Lint"] != m["Ann"]
+    assert [turns.fold(x) for x in ("[Ann Vane (HR)]", "[Ann Vane]", "<Ann Vane>", "- Ann Vane (HR)", "[Ann Vane] (HR)", "(Ann Vane)")] == ["ann vane"] * 6
     m = turns.same_speakers(["Ann Vanebrook", "Ann Vanebrok", "Ann Vanebrook (HR)"])
     assert len(set(m.values())) == 1
 
@@ -124,6 +125,7 @@ def test_detection():
     assert values(t) == [("name", "Vane"), ("name", "C. Lint"), ("id_number", "QQ 12 34 56 A"), ("id_number", "X1234567B"), ("id_number", "986-67-4211"), ("id_number", "00 293 050 614")]
     t = "Send it to Flat 4, 36 Salt Lane, Tarn; P.O. Box 12, Puerto Alba 55555; 12 rue Harrow, 13401 Alba; Lindenstraße 5, 10115 Stadt; Calle Sol 8, 30829 Alba."
     assert [k for k, _ in values(t)] == ["address"] * 5
+    assert values("[ROBERT VANE (HR)]: hi") == [("name", "ROBERT VANE")]
     assert values("Mark the page; I hope so; we may go; to be frank") == []
     assert values("我昨天和Katherine Vane谈过。") == [("name", "Katherine Vane")]
 
