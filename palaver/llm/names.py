@@ -15,7 +15,6 @@ one row per map task, since values are made distinct first.
 from __future__ import annotations
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

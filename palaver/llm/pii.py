@@ -39,8 +39,6 @@ GIVEN = set(FEMALE) | set(MALE)
 NOT_AFTER = regex.compile(r"\s+(?:period|the|we|I|our|\d)\b")
 
 DIGITS = "zero|one|two|three|four|five|six|seven|eight|nine|oh|double|triple"
-AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?|\s+at\s+)"
-DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)"
 EMAIL = [
     regex.compile(r"(?<![\w.+\-%])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"),
     regex.compile(r"(?<![\w.+\-%])[A-Za-z0-9][A-Za-z0-9._%+\-]*\s?[\[({]\s?(?:at|AT)\s?[\])}]\s?[A-Za-z0-9\-]+(?:(?:\.|\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?)[A-Za-z0-9\-]+)*(?:\.|\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?)[A-Za-z]{2,}\b"),
@@ -81,7 +79,6 @@ PHONE = [
 ]
 LETTER = r"\p{Latin}\p{M}"
 CAP = rf"\p{{Lu}}[{LETTER}]*[\p{{Ll}}\p{{M}}][{LETTER}]*(?:['’\-]\p{{Lu}}[{LETTER}]+)*"
-FAMILY = rf"(?:{CAP})(?!['’]?[{LETTER}])"
 EDGE_L, EDGE_R = rf"(?<![{LETTER}\d_@.'’\-])", rf"(?![{LETTER}\d_@])"
 # Titles that stand before a family name.
 TITLE_WORDS = """Dr Mr Mrs Ms Prof Hr Fr Hrn M Mme Mlle MM Sr Sra Srta Dra sig Sig sig.ra Sig.ra dott Dott dott.ssa Dott.ssa avv prof Profa

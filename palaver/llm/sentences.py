@@ -18,7 +18,6 @@ import regex
 from palaver.llm.patterns import pat
 
 PAIRS = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‹": "›", "‘": "’", "《": "》"}
-CLOSERS = "»”“」』）)]›’》\"'"
 CAND = regex.compile(r"(?:[.!?]+|[。！？؟।॥｡…]+)+(?:[   ](?=[»]))?[»”“」』）)\]›’》\"']*")
 OPEN = regex.compile(r"[«“„「『（(\[‹《\"]")
 CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}]"

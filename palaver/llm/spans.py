@@ -39,7 +39,6 @@ HOT = 1000
 
 U = np.uint64
 BASE = 0xD1342543DE82EF95
-MASK = (1 << 64) - 1
 _POW: dict[str, np.ndarray] = {}
 
 
@@ -148,15 +147,6 @@ def _frame(columns: list[str], parts: list[tuple]) -> pd.DataFrame:
     )
 
 
-def _segments(anchor: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first start, last start, anchor) of the runs of equal anchors, without -1."""
-    if not len(anchor):
-        return []
-    cut_ = np.flatnonzero(np.diff(anchor)) + 1
-    first, last = np.concatenate([[0], cut_]), np.append(cut_, len(anchor)) - 1
-    return [(int(x), int(y), int(anchor[x])) for x, y in zip(first, last, strict=True) if anchor[x] >= 0]
-
-
 def shared_rows(rows: DataFrame) -> DataFrame:
     """Those rows(h, doc_id, ...) whose h stands in another doc_id too."""
     agg = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("k"))

@@ -52,10 +52,6 @@ def has_speech(text: str | None) -> bool:
     return any(w.casefold().strip("'’-") not in HESITATIONS for w in WORD.findall(rest))
 
 
-def has_only_label_words(text: str) -> bool:
-    return not WORD.search(NOTE.sub(" ", text))
-
-
 def fold(name: str) -> str:
     """Lower case, without accents, roles, brackets, dashes before it and doubled spaces."""
     s = pat(r"^[\s\-–—>•*]+|[\s:>\-–—]+$").sub("", name)
