@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import rules as R
-from palaver.functions import text as T
 from palaver.operators import entities, report, sentences, summarize
 from palaver.sources import captions
 
@@ -46,8 +45,3 @@ def run_pipeline(meetings: DataFrame, persons: DataFrame, ratio: float = 0.3) ->
         .join(summary, key, "left")
     )
     return report.text_report(joined, key)
-
-
-def word_totals(m: DataFrame) -> DataFrame:
-    """meeting_id, total_words of the plain text."""
-    return m.select("meeting_id", F.coalesce(T.word_count("plain_text"), F.lit(0)).alias("total_words"))
