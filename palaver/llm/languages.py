@@ -175,7 +175,6 @@ def train(labelled: list[tuple[str, str]]) -> Model:
 
 def sample(df: DataFrame) -> list[tuple[str, str]]:
     """At most SAMPLE_PER_LABEL rows of each exact code, chosen by the hash of the key (the same on every run)."""
-    from pyspark.sql import Window as W
 
     r = df.where(F.col("language").isin(CODES) & F.col("text").isNotNull()).select(
         "language", F.substring("text", 1, 1500).alias("text"), F.xxhash64("transcription_id").alias("h")
