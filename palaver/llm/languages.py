@@ -149,17 +149,15 @@ def seed_rows() -> tuple[list[str], list[str]]:
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def train(labelled: list[tuple[str, str]]) -> Model:
-    """labelled: (text, code as given), wrong for a part. Sentences of a text keep its label only if the seed model or
-    the majority of the first fit agrees."""
+def train(labelled: list[tuple[list[str], str]]) -> Model:
+    """labelled: (sentences, code as given), wrong for a part. Texts that the last fit gives mostly to another language are
+    left out of the next, as are sentences it places elsewhere with a wide margin."""
     texts, labels = seed_rows()
     n0, doc = len(texts), []
-    for d, (t, c) in enumerate(labelled):
-        cut = spans(t)
-        for a, b in cut[:: max(1, len(cut) // SENTENCES_PER_ROW)][:SENTENCES_PER_ROW]:
-            texts.append(t[a - 1 : b])
-            labels.append(c)
-            doc.append(d)
+    for d, (sents, c) in enumerate(labelled):
+        texts += sents
+        labels += [c] * len(sents)
+        doc += [d] * len(sents)
     model = fit(texts[:n0], labels[:n0])
     for _ in range(3 if doc else 0):
         s = model.scores(texts)
@@ -173,16 +171,26 @@ def train(labelled: list[tuple[str, str]]) -> Model:
     return model
 
 
-def sample(df: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE_PER_LABEL rows of each exact code, chosen by the hash of the key (the same on every run)."""
+def some_sentences(text: str | None) -> list[str]:
+    """At most SENTENCES_PER_ROW sentences, evenly spread over the whole text."""
+    cut = spans(text)
+    return [text[a - 1 : b] for a, b in cut[:: max(1, len(cut) // SENTENCES_PER_ROW)][:SENTENCES_PER_ROW]]
+
+
+def sample(df: DataFrame) -> list[tuple[list[str], str]]:
+    """Sentences of at most SAMPLE_PER_LABEL rows of each exact code, chosen by the hash of the key (the same on every run)."""
+
+    @F.pandas_udf("array<string>")
+    def pick(texts: pd.Series) -> pd.Series:
+        return pd.Series([some_sentences(t) for t in texts])
 
     r = df.where(F.col("language").isin(CODES) & F.col("text").isNotNull()).select(
-        "language", F.substring("text", 1, 1500).alias("text"), F.xxhash64("transcription_id").alias("h")
+        "language", pick("text").alias("sents"), F.xxhash64("transcription_id").alias("h")
     )
-    # the smallest hashes of a label by a bounded aggregate: partial heaps on the map side, no sort of all rows
-    buckets = r.withColumn("slot", F.pmod("h", F.lit(SAMPLE_PER_LABEL)))
-    rows = buckets.groupBy("language", "slot").agg(F.min_by("text", "h").alias("text")).collect()
-    return sorted((x.text, x.language) for x in rows)
+    # one row for each of SAMPLE_PER_LABEL residues of the hash: a bounded aggregate, combined before the shuffle
+    slots = r.withColumn("slot", F.pmod("h", F.lit(SAMPLE_PER_LABEL)))
+    rows = slots.groupBy("language", "slot").agg(F.min_by("sents", "h").alias("sents")).collect()
+    return sorted((x.sents, x.language) for x in rows)
 
 
 def stretches(text: str | None, model: Model) -> list[tuple[int, int, str | None, float]]:

@@ -182,7 +182,7 @@ def test_stretches(model):
 
 def test_wrong_labels_are_outvoted():
     t, y = languages.seed_rows()
-    rows = [(s, c if i % 4 else "hi") for i, (s, c) in enumerate(zip(t, y, strict=True))]
+    rows = [([s], c if i % 4 else "hi") for i, (s, c) in enumerate(zip(t, y, strict=True))]
     m = languages.train(rows)
     assert languages.stretches("The children were waiting for another cup of tea.", m)[0][2] == "en"
 
