@@ -89,3 +89,20 @@ def normalize_in_text(c: Column | str, anchor_ts: Column | str) -> Column:
     phrases, parts = F.regexp_extract_all(t, F.lit(FIND), F.lit(1)), F.split(t, FIND)
     iso = F.transform(phrases, lambda p: F.coalesce(F.date_format(parse_date(p, anchor_ts), FORMATS["date_only"]), p))
     return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(iso, i), F.lit("")))), "")
+
+
+def in_range(c: Column | str, start: Column | None = None, end: Column | None = None) -> Column:
+    """Whether a date lies within the bounds, both inclusive; a missing bound is open, a null date is outside."""
+    x = T.col(c)
+    ok = x.isNotNull()
+    ok = ok if start is None else ok & (x >= start)
+    return F.coalesce(ok if end is None else ok & (x <= end), F.lit(False))
+
+
+def earliest(c: Column | str) -> Column:
+    """Aggregate: the first date, null if there is none."""
+    return F.min(T.col(c))
+
+
+def latest(c: Column | str) -> Column:
+    return F.max(T.col(c))

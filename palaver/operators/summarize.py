@@ -27,7 +27,7 @@ class SummaryConfig:
     quality_threshold: float = 0.5
 
 
-TOKEN = r"([a-z0-9_]{2,})"
+TOKEN = rf"({R.WORD}{{2,}})"
 
 
 def sentence_scores(sents: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,9 +56,12 @@ def sentence_scores(sents: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def key_sentences(scored: DataFrame, keys: list[str], ratio: float = 0.3) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("sent_no"))
+    """The best share of a text's sentences; a text whose sentences all score 0 (no tokens) keeps its first ones."""
+    blank = F.max("score").over(Window.partitionBy(*keys)) == 0
+    scored = scored.withColumn("_tie", F.when(blank, F.col("sent_no")).otherwise(-F.col("sent_no")))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "_tie")
     k = F.when(F.col("n") <= 3, F.col("n")).otherwise(F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(ratio)).cast("int")))
-    return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r", "_tie")
 
 
 def extractive(sents: DataFrame, keys: list[str], ratio: float = 0.3) -> DataFrame:

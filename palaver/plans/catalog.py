@@ -598,7 +598,8 @@ def dates_deduplicated(spark, d):
 
 @query(f"WITH {_DL} SELECT meeting_id, ord, dt FROM y WHERE dt BETWEEN DATE '2026-03-01' AND DATE '2026-06-30'")
 def dates_in_range(spark, d):
-    return deadlines(spark, d).where("dt between date'2026-03-01' and date'2026-06-30'").select("meeting_id", "ord", "dt")
+    inside = D.in_range("dt", F.lit("2026-03-01").cast("date"), F.lit("2026-06-30").cast("date"))
+    return deadlines(spark, d).where(inside).select("meeting_id", "ord", "dt")
 
 
 @query(f"""WITH {M}, {SENT}, t AS (SELECT meeting_id, sent_no, regexp_extract_all(replace(sentence, ' ', '  '), {q(_FIND_RE2.replace(chr(92) + 's+', chr(92) + 's+'))}, 1) AS l FROM s)
@@ -631,13 +632,14 @@ def extracted_entities(spark, d):
 
 _STOP = "[" + ", ".join(q(w) for w in R.STOP_WORDS) + "]"
 _SCORES = f"""{_PROC}, s0 AS (SELECT proc_id, unnest(range(len(l))) AS sent_no, unnest(l) AS sentence, len(l) AS n FROM pr),
-tok AS (SELECT proc_id, sent_no, n, unnest(list_filter(regexp_extract_all(lower(sentence), '[a-z0-9_]{{2,}}'), lambda t: NOT list_contains({_STOP}, t))) AS tok FROM s0),
+tok AS (SELECT proc_id, sent_no, n, unnest(list_filter(regexp_extract_all(lower(sentence), '{W}{{2,}}'), lambda t: NOT list_contains({_STOP}, t))) AS tok FROM s0),
 tf AS (SELECT proc_id, sent_no, n, tok, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT proc_id, tok, count(*) AS df FROM tf GROUP BY ALL),
 w AS (SELECT tf.proc_id, sent_no, n, tf.tok, tf * (ln((1.0 + n)::DOUBLE / (1.0 + df)) + 1.0) AS w FROM tf JOIN df ON tf.proc_id = df.proc_id AND tf.tok = df.tok),
 u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY proc_id, sent_no)) AS u FROM w), ce AS (SELECT proc_id, tok, sum(u) AS c FROM u GROUP BY ALL),
 sc AS (SELECT u.proc_id, sent_no, sum(u * c) / max(n) AS s FROM u JOIN ce ON u.proc_id = ce.proc_id AND u.tok = ce.tok GROUP BY ALL),
 scored AS (SELECT s0.*, round(coalesce(sc.s, 0), 10) AS score FROM s0 LEFT JOIN sc ON s0.proc_id = sc.proc_id AND s0.sent_no = sc.sent_no),
-k AS (SELECT *, row_number() OVER (PARTITION BY proc_id ORDER BY score DESC, sent_no DESC) AS r FROM scored),
+mx AS (SELECT *, max(score) OVER (PARTITION BY proc_id) AS mx FROM scored),
+k AS (SELECT *, row_number() OVER (PARTITION BY proc_id ORDER BY score DESC, CASE WHEN mx = 0 THEN sent_no ELSE -sent_no END) AS r FROM mx),
 top AS (SELECT * FROM k WHERE r <= CASE WHEN n <= 3 THEN n ELSE greatest(1, floor(n * 0.3::DOUBLE)) END)"""
 
 

@@ -139,7 +139,7 @@ def test_centroid_equals_matrix(spark):
 
     from palaver.functions.rules import STOP_WORDS
 
-    toks = [[t for t in re.findall(r"[a-z0-9_]{2,}", s.lower()) if t not in STOP_WORDS] for s in sents]
+    toks = [[t for t in re.findall(r"\w{2,}", s.lower()) if t not in STOP_WORDS] for s in sents]
     n = len(sents)
     dfq = {t: sum(t in x for x in toks) for x in toks for t in x}
     vecs = []
@@ -160,6 +160,18 @@ def test_short_texts_whole_and_quality(spark):
     assert [r.q for r in q.select(summarize.quality("o", "s").alias("q")).collect()] == [0.0, 0.0, 1.0, 0.0]
 
 
+def test_texts_without_tokens_keep_their_first_sentences(spark):
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(["a.", "b!", "c?", "d.", "e.", "f.", "g."])], "k int, sent_no int, sentence string")
+    assert summarize.extractive(df, ["k"]).first().summary == "a. b!"
+
+
+def test_range(spark):
+    df = spark.createDataFrame([(1, dt.date(2026, 1, 1)), (2, dt.date(2026, 2, 1)), (3, None)], "i int, d date")
+    lo, hi = F.lit("2026-01-01").cast("date"), F.lit("2026-01-31").cast("date")
+    pick = lambda c: [r.i for r in df.where(c).orderBy("i").collect()]
+    assert pick(D.in_range("d", lo, hi)) == [1] and pick(D.in_range("d", lo)) == [1, 2] and pick(D.in_range("d")) == [1, 2]
+
+
 def test_reports(spark, tmp_path):
     acts = spark.createDataFrame([("m", 1, "b", "low", None, None), ("m", 0, "a", "high", "Ann", "soon"), ("m", 2, "c", "strange", "Unassigned", "")], "meeting_id string, ord int, text string, priority string, assignee string, deadline string")
     lines = report.action_lines(acts, ["meeting_id"]).first().action_lines
