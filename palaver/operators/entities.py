@@ -99,13 +99,18 @@ def with_deadline(actions: DataFrame, anchor: str) -> DataFrame:
     return actions.withColumn("deadline", first).withColumn("deadline_date", D.parse_date("deadline", anchor))
 
 
-def assignees(actions: DataFrame, persons: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, sent_no, text, assignee: the person of the meeting named first in the sentence (ties: the longer name, then the smaller)."""
+def with_assignee(actions: DataFrame, persons: DataFrame, keys: list[str]) -> DataFrame:
+    """actions plus assignee: the person of the meeting named first in the sentence (ties: the longer name, then the smaller)."""
     hit = containing(actions.select(*keys, "sent_no", "text"), persons.select(*keys, "name"), keys, "text", "name")
     best = hit.groupBy(*keys, "sent_no", "text").agg(
         F.min_by("name", F.struct(F.instr("text", F.col("name")), -F.length("name"), "name")).alias("assignee")
     )
-    return actions.select(*keys, "sent_no", "text").join(best, [*keys, "sent_no", "text"], "left")
+    return actions.join(best, [*keys, "sent_no", "text"], "left")
+
+
+def assignees(actions: DataFrame, persons: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sent_no, text, assignee of with_assignee."""
+    return with_assignee(actions.select(*keys, "sent_no", "text"), persons, keys)
 
 
 def high_priority(actions: DataFrame) -> DataFrame:
@@ -143,17 +148,17 @@ def action_totals(actions: DataFrame, keys: list[str]) -> DataFrame:
 
 def extract_entities(meetings: DataFrame, persons: DataFrame, sents: DataFrame, keys: list[str], text_col: str, anchor: str) -> DataFrame:
     """One row per meeting: people, dates and action_items as arrays of structs in order; meetings without any have empty arrays."""
-    ppl = people(persons, keys)
-    roles = person_roles(ppl, sents, keys)
-    ppl = ppl.join(roles, [*keys, "name"], "left").groupBy(*keys).agg(
+    named = people(persons, keys)
+    roles = person_roles(named, sents, keys)
+    ppl = named.join(roles, [*keys, "name"], "left").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("name", "mentions", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"), "confidence"))).alias("people")
     )
     dts = date_entities(meetings, keys, text_col, anchor).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", "text", "ts", "normalized", "confidence"))).alias("dates")
     )
-    acts = action_items(sents, keys)
+    acts = with_assignee(action_items(sents, keys), named, keys)
     acts = with_deadline(acts.join(meetings.select(*keys, F.col(anchor).alias("_anchor")), keys), "_anchor").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("sent_no", "text", "priority", "verb", "deadline", "confidence", "extraction_method"))).alias("action_items")
+        F.array_sort(F.collect_list(F.struct("sent_no", "text", "priority", "assignee", "verb", "deadline", "confidence", "extraction_method"))).alias("action_items")
     )
     out = meetings.select(*keys).join(ppl, keys, "left").join(dts, keys, "left").join(acts, keys, "left")
     return out.select(*keys, *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("people", "dates", "action_items")])

@@ -27,9 +27,9 @@ def run_pipeline(meetings: DataFrame, persons: DataFrame, ratio: float = 0.3) ->
     key = ["meeting_id"]
     m = plain_texts(meetings.where(F.col("ext").isin(R.TEXT_EXTENSIONS + R.AUDIO_EXTENSIONS)))
     sents = sentences.explode_sentences(m, key, "plain_text")
-    acts = entities.with_deadline(entities.action_items(sents, key).join(m.select(*key, "anchor_ts"), key), "anchor_ts")
-    acts = acts.select(*key, F.col("sent_no").alias("ord"), "text", "priority", F.lit(None).cast("string").alias("assignee"), "deadline")
     people = entities.people(persons, key)
+    acts = entities.with_assignee(entities.action_items(sents, key), people, key).join(m.select(*key, "anchor_ts"), key)
+    acts = entities.with_deadline(acts, "anchor_ts").select(*key, F.col("sent_no").alias("ord"), "text", "priority", "assignee", "deadline")
     roles = entities.person_roles(people, sents, key)
     people = people.join(roles, [*key, "name"], "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
     dates = entities.date_entities(m, key, "plain_text", "anchor_ts").where("ts is not null")
