@@ -710,7 +710,8 @@ def report_parts(spark, d):
     lines = report.action_lines(actions(spark, d), ["meeting_id"])
     dates = deadlines(spark, d).where("dt is not null").groupBy("meeting_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("• "), F.col("dt").cast("string")))), "\n").alias("date_lines"))
     proc = read_once(spark, d, "processing", ["proc_id", "meeting_id", "sentence_list"]).where("sentence_list is not null")
-    sums = proc.groupBy("meeting_id").agg(F.min_by(F.array_join(F.slice("sentence_list", 1, 1), " "), "proc_id").alias("summary"))
+    lists = proc.groupBy("meeting_id").agg(F.min_by("sentence_list", "proc_id").alias("sentence_list"))
+    sums = summarize.extractive(lists.select("meeting_id", F.posexplode("sentence_list").alias("sent_no", "sentence")), ["meeting_id"]).select("meeting_id", "summary")
     return (
         m.select("meeting_id", F.concat(F.lit("Meeting "), "meeting_id").alias("title"), F.col("raw_text").alias("transcript"))
         .join(part, "meeting_id", "left")

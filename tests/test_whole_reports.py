@@ -1,10 +1,15 @@
 """Reports and entities hold everything the operators find."""
 
 import datetime as dt
+import os
+
+import pytest
 
 from palaver.operators import entities, sentences
+from palaver.plans import catalog
 from palaver.plans.pipeline import run_pipeline
 
+DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TEXT = "Ann Lee will send the draft by Friday. Please review the plan."
 
 
@@ -22,3 +27,11 @@ def test_assignees_reach_report_and_entities(spark):
     sents = sentences.explode_sentences(meetings, ["meeting_id"], "raw_text")
     got = entities.extract_entities(meetings, persons, sents, ["meeting_id"], "raw_text", "anchor_ts").first().action_items
     assert [(a.text, a.assignee) for a in got] == [("Ann Lee will send the draft by Friday.", "Ann Lee"), ("Please review the plan.", None)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_report_summary_is_of_the_whole_list(spark):
+    meeting_of = catalog.read_once(spark, DIR, "processing", ["proc_id", "meeting_id"])
+    want = {r.meeting_id: r.summary for r in catalog.extractive_summary(spark, DIR).join(meeting_of, "proc_id").collect()}
+    got = {r.meeting_id: r.summary for r in catalog.report_parts(spark, DIR).where("summary is not null").collect()}
+    assert got and got == {m: want[m] for m in got} and set(got) == set(want)
