@@ -38,7 +38,7 @@ def classify(text: str) -> list[tuple[str, str]]:
     out = []
     for line in text.split("\n"):
         t = line.strip(" ")
-        if not t or t[0] in "=-":
+        if not t or set(t) in ({"="}, {"-"}):
             continue
         kind = "title" if t.endswith("Report") else "heading" if t.startswith(symbols) else "bullet" if t[0] == "•" else "body"
         out.append((kind, t))

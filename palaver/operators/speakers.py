@@ -14,11 +14,15 @@ from palaver.functions import text as T
 from palaver.operators.skew import neighbours, run_starts
 
 
-def contributions(segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """segments(keys, speaker, text) -> per speaker: word_count, segment_count, avg_words_per_segment, contribution_percentage."""
+def contributions(segments: DataFrame, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """segments(keys, speaker, text) -> per speaker: word_count, segment_count, avg_words_per_segment, contribution_percentage.
+
+    With an order column also first, its least value.
+    """
     keys = keys or []
+    first = [F.min(order).alias("first")] if order else []
     per = segments.groupBy(*keys, "speaker").agg(
-        F.sum(F.coalesce(T.word_count("text"), F.lit(0))).alias("word_count"), F.count("*").alias("segment_count")
+        F.sum(F.coalesce(T.word_count("text"), F.lit(0))).alias("word_count"), F.count("*").alias("segment_count"), *first
     )
     total = F.sum("word_count").over(Window.partitionBy(*keys))
     return per.withColumn("avg_words_per_segment", F.round(F.col("word_count") / F.col("segment_count"), 4)).withColumn(

@@ -703,37 +703,68 @@ def report_action_lines(spark, d):
     return report.action_lines(actions(spark, d), ["meeting_id"])
 
 
-def report_parts(spark, d):
+def report_time():
+    """Queries repeat, so their reports bear a fixed time."""
+    return F.lit("2026-01-02 03:04:05").cast("timestamp")
+
+
+def report_segments(spark, d):
+    """Stored cues of a meeting, or the segments of its text where there are none."""
+    from palaver.plans.pipeline import spoken_segments
+
+    stored = cue_table(spark, d).select("meeting_id", F.col("pos").alias("ord"), "speaker", "text")
+    own = spoken_segments(meetings(spark, d))
+    return stored.unionByName(own.join(stored.select("meeting_id").distinct(), "meeting_id", "left_anti"))
+
+
+def report_parts(spark, d, lists=False):
+    """One row per meeting; with lists also what the JSON report holds as arrays."""
+    from palaver.plans.pipeline import details
+
+    key = ["meeting_id"]
     m = meetings(spark, d)
+    acts, segments = actions(spark, d), report_segments(spark, d)
     people = read_once(spark, d, "person", ["person_id", "meeting_id", "name", "mentions", "roles"])
-    part = report.participants(people, ["meeting_id"])
-    lines = report.action_lines(actions(spark, d), ["meeting_id"])
-    dates = deadlines(spark, d).where("dt is not null").groupBy("meeting_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("• "), F.col("dt").cast("string")))), "\n").alias("date_lines"))
+    part = report.participants(people, key)
+    lines = report.action_lines(acts, key)
+    due = deadlines(spark, d).where("dt is not null")
+    dates = due.groupBy("meeting_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("• "), F.col("dt").cast("string")))), "\n").alias("date_lines"))
     proc = read_once(spark, d, "processing", ["proc_id", "meeting_id", "sentence_list"]).where("sentence_list is not null")
     lists = proc.groupBy("meeting_id").agg(F.min_by("sentence_list", "proc_id").alias("sentence_list"))
     sums = summarize.extractive(lists.select("meeting_id", F.posexplode("sentence_list").alias("sent_no", "sentence")), ["meeting_id"]).select("meeting_id", "summary")
-    return (
-        m.select("meeting_id", F.concat(F.lit("Meeting "), "meeting_id").alias("title"), F.col("raw_text").alias("transcript"))
+    joined = (
+        m.select("meeting_id", F.concat(F.lit("Meeting "), "meeting_id").alias("title"), F.col("raw_text").alias("transcript"), details().alias("metadata"))
         .join(part, "meeting_id", "left")
         .join(lines, "meeting_id", "left")
         .join(dates, "meeting_id", "left")
         .join(sums, "meeting_id", "left")
+        .join(report.speaker_analysis(segments, key), key, "left")
+        .join(report.priority_analysis(acts, key), key, "left")
     )
+    if lists:
+        for each in (
+            report.listed(people.withColumns({"name": F.coalesce("name", F.lit("Unknown")), "mentions": F.coalesce("mentions", F.lit(0))}), key, "name", ["name", "roles", "mentions"], "participant_list"),
+            report.listed(acts, key, "ord", ["text", "priority", "assignee", "deadline", "extraction_method"], "action_list"),
+            report.listed(due.select(*key, "dt", F.col("deadline").alias("text"), F.col("dt").cast("string").alias("date")).distinct(), key, "dt", ["text", "date"], "date_list"),
+            report.segment_list(segments, key),
+        ):
+            joined = joined.join(each, key, "left")
+    return joined
 
 
 @query()
 def report_text(spark, d):
-    return report.text_report(report_parts(spark, d), ["meeting_id"])
+    return report.text_report(report_parts(spark, d), ["meeting_id"], report_time())
 
 
 @query()
 def report_json(spark, d):
-    return report.json_report(report_parts(spark, d), ["meeting_id"])
+    return report.json_report(report_parts(spark, d, lists=True), ["meeting_id"], report_time())
 
 
 @query()
 def report_html(spark, d):
-    return report.html_report(report.text_report(report_parts(spark, d), ["meeting_id"]), ["meeting_id"])
+    return report.html_report(report.text_report(report_parts(spark, d), ["meeting_id"], report_time()), ["meeting_id"])
 
 
 @query(f"WITH {A} SELECT meeting_id, ord, CASE WHEN length(text) > 20 THEN left(text, 20) || '...' ELSE text END AS shown FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY ord) AS r FROM a) WHERE r <= 10")
@@ -754,21 +785,21 @@ def report_line_kinds(spark, d):
 @query()
 def generated_reports(spark, d):
     m = report_parts(spark, d)
-    return report.generate_report(m, ["meeting_id"], "html", F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    return report.generate_report(m, ["meeting_id"], "html", report_time())
 
 
 @query()
 def pipeline_report(spark, d):
     from palaver.plans.pipeline import run_pipeline
 
-    return run_pipeline(meetings(spark, d), persons(spark, d))
+    return run_pipeline(meetings(spark, d), persons(spark, d), at=report_time())
 
 
 @query()
 def report_pdf(spark, d):
     from palaver.operators import documents
 
-    return documents.render(report.text_report(report_parts(spark, d), ["meeting_id"]), ["meeting_id"], "pdf")
+    return documents.render(report.text_report(report_parts(spark, d), ["meeting_id"], report_time()), ["meeting_id"], "pdf")
 
 
 @query()

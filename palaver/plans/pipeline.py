@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import rules as R
 from palaver.operators import entities, report, sentences, summarize
 from palaver.sources import captions
+from palaver.sources.checkpoints import cut
 
 
 def plain_texts(meetings: DataFrame) -> DataFrame:
@@ -19,17 +20,35 @@ def plain_texts(meetings: DataFrame) -> DataFrame:
     )
 
 
-def run_pipeline(meetings: DataFrame, persons: DataFrame, ratio: float = 0.3) -> DataFrame:
+def spoken_segments(meetings: DataFrame) -> DataFrame:
+    """meetings(meeting_id, ext, raw_text) -> meeting_id, ord, speaker, text: cues of captions, labelled stretches of other texts."""
+    is_caption = F.coalesce(F.col("ext").isin("srt", "vtt"), F.lit(False))
+    cues = captions.cues(meetings.where(is_caption), ["meeting_id"], "raw_text")
+    texts = sentences.speaker_segments(meetings.where(~is_caption), ["meeting_id"], "raw_text")
+    return cues.select("meeting_id", F.col("pos").alias("ord"), "speaker", "text").unionByName(
+        texts.select("meeting_id", F.col("seg_no").alias("ord"), "speaker", "text")
+    )
+
+
+def details() -> Column:
+    """What is known of a meeting besides its text; nulls are left out."""
+    facts = F.map_from_arrays(F.array(F.lit("File type"), F.lit("Date")), F.array("ext", F.date_format("anchor_ts", "yyyy-MM-dd HH:mm")))
+    return F.map_filter(facts, lambda k, v: v.isNotNull())
+
+
+def run_pipeline(meetings: DataFrame, persons: DataFrame, ratio: float = 0.3, at: Column | None = None) -> DataFrame:
     """meeting_id, report for every meeting; one with a null text gets the empty-state lines.
 
-    Meetings of unsupported extensions are left out.
+    Meetings of unsupported extensions are left out. With ``at`` the reports tell when they were made.
     """
     key = ["meeting_id"]
-    m = plain_texts(meetings.where(F.col("ext").isin(R.TEXT_EXTENSIONS + R.AUDIO_EXTENSIONS)))
-    sents = sentences.explode_sentences(m, key, "plain_text")
+    known = meetings.where(F.col("ext").isin(R.TEXT_EXTENSIONS + R.AUDIO_EXTENSIONS))
+    m = plain_texts(known)
+    # sentences and actions are read many times below: cut, so that the plan fits the driver
+    sents = cut(sentences.explode_sentences(m, key, "plain_text"))
     people = entities.people(persons, key)
     acts = entities.with_assignee(entities.action_items(sents, key), people, key).join(m.select(*key, "anchor_ts"), key)
-    acts = entities.with_deadline(acts, "anchor_ts").select(*key, F.col("sent_no").alias("ord"), "text", "priority", "assignee", "deadline")
+    acts = cut(entities.with_deadline(acts, "anchor_ts").select(*key, F.col("sent_no").alias("ord"), "text", "priority", "assignee", "deadline", "extraction_method"))
     roles = entities.person_roles(people, sents, key)
     people = people.join(roles, [*key, "name"], "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
     dates = entities.date_entities(m, key, "plain_text", "anchor_ts").where("ts is not null")
@@ -38,10 +57,12 @@ def run_pipeline(meetings: DataFrame, persons: DataFrame, ratio: float = 0.3) ->
     )
     summary = summarize.extractive(sents, key, ratio).select(*key, "summary")
     joined = (
-        m.select(*key, F.concat(F.lit("Meeting "), F.col("meeting_id")).alias("title"), F.col("plain_text").alias("transcript"))
+        m.select(*key, F.concat(F.lit("Meeting "), F.col("meeting_id")).alias("title"), F.col("plain_text").alias("transcript"), details().alias("metadata"))
         .join(report.participants(people, key), key, "left")
         .join(report.action_lines(acts, key), key, "left")
         .join(date_lines, key, "left")
         .join(summary, key, "left")
+        .join(report.speaker_analysis(spoken_segments(known), key), key, "left")
+        .join(report.priority_analysis(acts, key), key, "left")
     )
-    return report.text_report(joined, key)
+    return report.text_report(joined, key, at)
