@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import rules as R
 from palaver.functions import text as T
+from palaver.sources.checkpoints import cut
 
 STRATEGIES = ["abstractive", "extractive", "hybrid", "map_reduce"]
 
@@ -111,27 +112,50 @@ def hybrid(sents: DataFrame, keys: list[str], ratio: float = 0.3, max_words: int
     )
 
 
-def map_reduce(df: DataFrame, keys: list[str], sents_col: str, cfg: SummaryConfig = SummaryConfig()) -> DataFrame:
-    """Chunks with overlap, each summarised by its extract (ratio 0.5, a success of 0.5), joined by line breaks."""
+def gated(texts: DataFrame, keys: list[str], cfg: SummaryConfig, model=None) -> DataFrame:
+    """texts(keys, text) -> keys, summary, success: the model's summary where its quality reaches the threshold (1), else the extract at 0.5 (0.5).
+
+    model(DataFrame with text) adds summary, as ``providers.summaries`` does. Without one every text is extracted; a text without sentences has no summary.
+    """
+    sents = cut(texts.select(*keys, F.posexplode(T.sentences("text")).alias("sent_no", "sentence")))
+    own = extractive(sents, keys, 0.5).select(*keys, F.col("summary").alias("_own"))
+    if model is None:
+        return own.select(*keys, F.col("_own").alias("summary"), F.lit(0.5).alias("success"))
+    said = model(texts.select(*keys, "text")).select(*keys, F.trim("summary").alias("_said"), quality("text", "summary").alias("_q"))
+    good = F.col("_q") >= cfg.quality_threshold
+    return said.join(own, keys, "left").select(
+        *keys, F.when(good, F.col("_said")).otherwise(F.col("_own")).alias("summary"), F.when(good, 1.0).otherwise(0.5).alias("success")
+    )
+
+
+def map_reduce(df: DataFrame, keys: list[str], sents_col: str, cfg: SummaryConfig = SummaryConfig(), model=None) -> DataFrame:
+    """Chunks with overlap, each summarised (see gated), joined by line breaks; success_rate is the mean over the chunks.
+
+    A joined text over twice max_chunk_tokens is summarised once more as a whole. That pass does not count in
+    success_rate, and if it yields nothing the joined text stands.
+    """
     from palaver.operators.sentences import overlapping_chunks
 
-    chunks = df.select(*keys, F.posexplode(overlapping_chunks(F.col(sents_col), cfg.max_chunk_tokens, cfg.overlap_sentences)).alias("chunk_no", "chunk"))
-    sents = chunks.select(*keys, "chunk_no", F.posexplode(T.sentences("chunk")).alias("sent_no", "sentence"))
-    per = extractive(sents, [*keys, "chunk_no"], 0.5)
-    return per.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "summary"))), lambda x: x["summary"]), "\n").alias("summary"),
+    chunks = df.select(*keys, F.posexplode(overlapping_chunks(F.col(sents_col), cfg.max_chunk_tokens, cfg.overlap_sentences)).alias("chunk_no", "text"))
+    per = gated(chunks, [*keys, "chunk_no"], cfg, model)
+    joined = per.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "summary"))), lambda x: x["summary"]), "\n").alias("_joined"),
         F.count("*").cast("int").alias("chunk_count"),
-        F.lit(0.5).alias("success_rate"),
+        F.avg("success").alias("success_rate"),
     )
+    joined = cut(joined)  # read by the second pass and by the result; the plan of both would not fit the driver
+    long = T.word_count("_joined") * F.lit(1.3) > 2 * cfg.max_chunk_tokens
+    again = gated(joined.where(long).select(*keys, F.col("_joined").alias("text")), keys, cfg, model).select(*keys, F.col("summary").alias("_again"))
+    return joined.join(again, keys, "left").select(*keys, F.coalesce("_again", "_joined").alias("summary"), "chunk_count", "success_rate")
 
 
-def summarize(df: DataFrame, keys: list[str], sents_col: str, cfg: SummaryConfig = SummaryConfig()) -> DataFrame:
-    """Strategy dispatch; results with success under 0.3 or 20 characters or less fall back to the extract at ratio 0.3."""
+def summarize(df: DataFrame, keys: list[str], sents_col: str, cfg: SummaryConfig = SummaryConfig(), model=None) -> DataFrame:
+    """Strategy dispatch, the model serving map_reduce and abstractive; results with success under 0.3 or 20 characters or less fall back to the extract at ratio 0.3."""
     sents = df.select(*keys, F.posexplode(sents_col).alias("sent_no", "sentence"))
     if cfg.strategy == "hybrid":
         return hybrid(sents, keys, cfg.extractive_ratio)
     if cfg.strategy in ("map_reduce", "abstractive"):
-        got = map_reduce(df, keys, sents_col, cfg)
+        got = map_reduce(df, keys, sents_col, cfg, model)
         back = extractive(sents, keys).select(*keys, F.col("summary").alias("_s"))
         weak = (F.col("success_rate") < 0.3) | (F.length("summary") <= 20)
         return got.join(back, keys, "left").withColumn("summary", F.when(weak, F.col("_s")).otherwise(F.col("summary"))).drop("_s")
