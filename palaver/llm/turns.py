@@ -345,13 +345,13 @@ def fold_turns(rows: DataFrame) -> DataFrame:
     """rows(meeting_id, at, pos, who) -> turns(meeting_id, first_no, last_no).
 
     Rows are spread by ranges of (meeting_id, at, pos), so that a meeting with any share of the rows lies in several
-    partitions. Each partition folds its rows into runs; only its first and last run can join a neighbour's, and those
-    two per partition are joined by one small window.
+    partitions. Each partition folds its rows into runs; only its first and last run can join a neighbour's, and the
+    second where the first names nobody and so takes the speaker before it. Those rows are joined by one small window.
     """
     from pyspark import TaskContext
 
     def runs(batches):
-        part, n, cur = TaskContext.get().partitionId(), 0, None
+        part, n, cur, open_ = TaskContext.get().partitionId(), 0, None, True
         for b in batches:
             out = []
             for m, p, w in zip(b["meeting_id"], b["pos"], b["who"], strict=True):
@@ -360,29 +360,32 @@ def fold_turns(rows: DataFrame) -> DataFrame:
                     cur[3] = p
                 else:
                     if cur:
-                        out.append((part, n, *cur, False))
+                        out.append((part, n, *cur, open_, False))
                         n += 1
+                        # a first run that names nobody leaves the one behind it open to the partition before
+                        open_ = n == 1 and cur[1] is None and cur[0] == m
                     cur = [m, w, p, p]
-            yield pd.DataFrame(out, columns=["part", "no", "meeting_id", "who", "first_no", "last_no", "last"])
+            yield pd.DataFrame(out, columns=columns)
         if cur:
-            yield pd.DataFrame([(part, n, *cur, True)], columns=["part", "no", "meeting_id", "who", "first_no", "last_no", "last"])
+            yield pd.DataFrame([(part, n, *cur, open_, True)], columns=columns)
 
-    schema = "part int, no long, meeting_id string, who string, first_no int, last_no int, last boolean"
+    columns = ["part", "no", "meeting_id", "who", "first_no", "last_no", "open", "last"]
+    schema = "part int, no long, meeting_id string, who string, first_no int, last_no int, open boolean, last boolean"
     from pyspark.sql import Window as W
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = rows.repartitionByRange(n, "meeting_id", "at", "pos").sortWithinPartitions("meeting_id", "at", "pos")
     folded = cut(spread.mapInPandas(runs, schema))
-    edge = folded.where("no = 0 or last")
+    edge = folded.where("open or last")
     w = W.orderBy("part", "no")
-    # at most two rows per partition: one task is enough
+    # at most three rows per partition: one task is enough
     spoken = F.last(F.col("who"), True).over(W.partitionBy("meeting_id").orderBy("part", "no").rowsBetween(W.unboundedPreceding, 0))
     e = edge.withColumn("who", spoken).withColumn(
         "new",
         F.when(
             (F.lag("meeting_id").over(w) == F.col("meeting_id"))
             & F.lag("who").over(w).eqNullSafe(F.col("who"))
-            & (F.col("no") == 0),
+            & F.col("open"),
             0,
         ).otherwise(1),
     )
@@ -393,7 +396,7 @@ def fold_turns(rows: DataFrame) -> DataFrame:
         F.min_by("first_no", F.struct("part", "no")).alias("first_no"),
         F.max_by("last_no", F.struct("part", "no")).alias("last_no"),
     )
-    inner = folded.where("not (no = 0 or last)").select("meeting_id", "who", "first_no", "last_no")
+    inner = folded.where("not (open or last)").select("meeting_id", "who", "first_no", "last_no")
     return inner.unionByName(ends.drop("run")).where("who is not null").select("meeting_id", "first_no", "last_no")
 
 
