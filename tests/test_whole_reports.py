@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import re
 
 import pytest
 
@@ -68,3 +69,11 @@ def test_json_has_analytics_and_segments(spark):
     assert list(what["assignee_distribution"].items()) == [("Ann", 1), ("Unassigned", 1)] and what["assigned_actions"] == 1
     assert [(s.get("text"), s["word_count"]) for s in got["speaker_segments"]] == [("u v", 2), ("x y", 2), (None, 0)]
     assert got["metadata"] == {"title": "T"} and got["transcript"] == "t"
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_speaker_lines_hold_their_figures(spark):
+    for r in catalog.QUERIES["speaker_summary_full"](spark, DIR).collect():
+        lines = r.summary.split("\n")
+        assert lines[0] == "Speaker summary" and len(lines) > 1
+        assert all(re.search(r": [0-9]+ words \([0-9.]+%\), [0-9.]+ seconds$", x) for x in lines[1:])
