@@ -1,50 +1,59 @@
 """Spellings of one person or organisation, linked across three fields.
 
-Distinct values are parsed into tokens (case, accents, titles, roles, contact data and order of parts removed). Tokens
-that may be misspelt are joined with better supported ones by a prefix-filtered set-similarity join on their 4-grams:
-one edit or one swap of neighbours changes at most five 4-grams, so two such tokens share one of their six rarest.
-Every value then proposes identities (family, given) or (head, kind of business): as written, by short form, initial or
-corrected token. Proposals are verified by a soft weighted token similarity, in which a token weighs ln(1 + N / df): rare
-tokens (families) count more than common ones (given names, legal forms). The best verified identity is the class.
-
-Only equi-joins on tokens and identities are used; pairs are made last, within classes, as the result demands them.
-Null, empty and placeholder values, bare given names and values without letters belong to no class. A hot name costs
-one row per map task, since values are made distinct first.
+Every distinct value is read as a form of two tokens whose order does not matter (given name and family name, or kind of
+business and head; case, accents, titles, roles, contact data are removed first). Forms are the records of a similarity
+join:
+
+1. Tokens one edit or one swap of neighbours apart are found by a prefix-filtered set-similarity join on 4-grams: such an
+   edit changes at most five 4-grams, so the six rarest of both sides share one. Length and place of the shared gram
+   differ by one at most and are part of the join key, so that a frequent gram is split into small groups.
+2. Two forms are candidates if one token is equal or near and the other is equal, near, a short form or an initial.
+3. A candidate is verified by a soft weighted token similarity: the tokens' similarities, averaged with the weights
+   ln(1 + N / df), df the number of forms with the token. Rare tokens count more: an initial beside a rare family name
+   passes THRESHOLD, one beside a frequent family name or a near token beside a rare different one does not.
+4. Verified near forms are linked, and every short form with the best of the full names it fits; connected components of
+   these links are the classes. Initials join the one component they fit; if they fit several, they only stand with their
+   own spellings.
+
+Nulls, empty and placeholder values, bare given names and values without letters belong to no class. Repeated rows do
+not matter, since values are made distinct first; a hot name costs one row per map task. Empty tables give no rows.
+Pairs are made last, within classes, as the result demands them.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.llm.patterns import pat
-from palaver.llm.pii import FEMALE, MALE, SHORT, find, is_nobody, is_org
+from palaver.llm.pii import find, is_nobody, is_org
 from palaver.llm.turns import fold
 from palaver.sources.checkpoints import cut
 from palaver.sources.tables import table
 
 Q = 4
 PREFIX = Q + 2
-THRESHOLD = 0.75
-SIM = {"exact": 1.0, "short": 0.95, "edit": 0.85, "initial": 0.8}
-
-# Short forms of given names (one short form may serve several names).
-FORMAL = {
-    "abigail": "abby gail", "alexander": "alex sasha sandy xander al lex", "anastasia": "ana stasia nastya anya", "anneliese": "anne anni liesel annie lies",
-    "augustin": "gus augie", "benjamin": "ben benny benji", "bogdan": "bogdi dan", "christopher": "chris kit topher", "cornelius": "neil cory con nils", "deborah": "deb debbie",
-    "dmitri": "dima mitya dimitri", "elizabeth": "liz beth betty eliza lisa liza lizzie ellie", "francisco": "paco pancho frank cisco", "friedrich": "fritz fred friedel", "gabriela": "gabi gaby",
-    "giovanni": "gianni vanni gio nino", "guadalupe": "lupe lupita", "henrietta": "etta hattie hettie henny", "ignacio": "nacho iggy", "johannes": "hannes hans jo", "josephine": "josie jo fina",
-    "katherine": "kate katie kathy kat kitty kit kay", "leopold": "leo poldi", "margaret": "maggie meg peggy greta margie marge rita", "matthew": "matt matty", "michael": "mike mick mickey mikey", "mikhail": "misha mischa",
-    "nathaniel": "nat nate nathan", "philippa": "pippa pip", "rebecca": "becky becca reba", "richard": "dick rick rich ricky richie", "robert": "bob rob bobby robbie bert", "rosalind": "roz ros rosie rosa", "samuel": "sam sammy",
-    "theodore": "ted theo teddy", "thaddeus": "thad tad ted", "tomasz": "tomek tom", "victoria": "vicky tori vicki vic", "wilhelmina": "willa mina billie minnie wilma", "william": "will bill billy willy liam",
-    "zachary": "zach zack zak", "frank": "frankie", "jurgen": "jurg", "marisol": "mari sol", "piotr": "pete peter", "omar": "omi", "priya": "pri", "yusuf": "joe yusef", "idris": "id", "kenji": "ken", "rose": "rosie", "grace": "gracie",
+THRESHOLD = 0.72
+#: Similarity of a short form in the table, of one by rule, and of an initial, to the full given name.
+SHORT_SIM, RULE_SIM, INITIAL_SIM = 0.8, 0.7, 0.5
+
+# Short forms that no rule derives from the full given name.
+IRREGULAR = {
+    "abigail": "gail", "adelaide": "heidi", "agnes": "nessie", "albert": "bert bertie", "alexander": "sandy sasha xander lex", "alexandra": "sandra sasha", "amelia": "millie",
+    "anastasia": "nastya stasia anya", "andrew": "drew", "anneliese": "liesel lies", "anthony": "tony", "antonio": "tonio toni", "augustin": "gus", "barbara": "babs", "beatrice": "trixie", "benedict": "dixie",
+    "bogdan": "dan", "catherine": "kate katie kathy kitty kit", "charles": "chuck", "charlotte": "lottie", "christina": "tina", "christopher": "kit topher", "cornelius": "neil nils con",
+    "daniel": "danny", "dmitri": "dima mitya", "dorothy": "dot dolly", "edward": "ted teddy ned", "eleanor": "nell nora ellie", "elizabeth": "beth betty liz lizzie liza lisa bess",
+    "ernest": "ernie", "eugene": "gene", "evgeny": "zhenya", "ferdinand": "nando", "florence": "flo", "francis": "frank", "francisco": "paco pancho cisco frank", "frances": "fran fanny",
+    "friedrich": "fritz", "gabriela": "gaby", "georgina": "gina", "gerald": "jerry", "giovanni": "gianni vanni nino", "giuseppe": "beppe peppe", "guadalupe": "lupe lupita", "harold": "hal harry",
+    "harriet": "hattie", "helen": "nell", "henrietta": "etta hattie hettie", "henry": "harry hank hal", "ignacio": "nacho", "isabella": "bella", "ivan": "vanya", "jacob": "jake", "james": "jim jimmy jamie",
+    "jacqueline": "jackie", "joachim": "jochen achim", "johannes": "hannes hans", "john": "jack johnny", "jonathan": "jon", "jose": "pepe", "josef": "sepp", "josephine": "fina", "katherine": "kate katie kathy kitty kit kat",
+    "lawrence": "larry", "leopold": "poldi", "luis": "lucho", "margaret": "maggie meg peggy greta marge rita daisy", "maria": "masha mia", "martha": "patty", "mary": "polly molly", "matilda": "tilda tilly",
+    "michael": "mick micky mike mikey", "mikhail": "misha", "natalia": "natasha talia", "nathaniel": "nate nat", "nicholas": "nick klaus", "olga": "olya", "oliver": "noll", "patricia": "trish patsy", "pavel": "pasha",
+    "peter": "pete", "philippa": "pip pippa", "rafael": "rafa", "rebecca": "becky becca", "richard": "dick rick ricky", "robert": "bob bobby bert", "roberto": "beto", "ronald": "ronnie", "rosalind": "roz",
+    "sarah": "sally sadie", "sebastian": "basti", "sergei": "seryozha", "sophia": "sonya", "stephen": "steve", "susan": "suzy", "tatiana": "tanya", "teresa": "tess", "thaddeus": "tad", "theodore": "ted teddy",
+    "thomas": "tom tommy", "tomasz": "tomek", "victoria": "tori vicky", "vladimir": "vova", "wilhelmina": "mina minnie billie willa", "william": "bill billy liam", "zachary": "zack zak",
 }
-SHORT_OF: dict[str, list[str]] = {}
-for _full, _shorts in FORMAL.items():
-    for _s in _shorts.split():
-        SHORT_OF.setdefault(_s, []).append(_full)
-KNOWN_GIVEN = {fold(x) for x in (*FEMALE, *MALE, *SHORT)} | set(FORMAL) | set(SHORT_OF)
 
 # Abbreviated kinds of business and legal forms.
 BUSINESS = {
@@ -56,201 +65,207 @@ KINDS = set(BUSINESS.values()) | {"bank", "institute", "foundation", "university
 LEGAL = set("ltd limited inc incorporated corp corporation co company gmbh ag sa plc llc llp kg bv nv oy ab spa srl".split())
 
 
-def parse(value: str | None) -> tuple[str, str, str] | None:
-    """(kind, first, last): kind 'p' with given (or one letter, or '' where glued) and family; 'o' with business and head."""
+def parse(value: str | None) -> tuple[str, str, str, bool] | None:
+    """(kind, token, token, glued): 'p' with given name (or one letter) and family as typed, 'o' with business and head."""
     if value is None or is_nobody(value):
         return None
     if is_org(value):
         s = fold(pat(r"[.,&]").sub(lambda m: "" if m.group() == "." else " ", value))
         words = [w for w in pat(r"[\p{L}\p{N}]+").findall(s) if w != "the"]
         words = [BUSINESS.get(w, w) for w in words if w not in LEGAL]
-        kinds = [w for w in words if w in KINDS]
         head = [w for w in words if w not in KINDS]
-        return ("o", " ".join(kinds), " ".join(head)) if head else None
+        return ("o", " ".join(w for w in words if w in KINDS), " ".join(head), False) if head else None
     spot = next(((a, b) for a, b, k in find(value, True) if k == "name"), None)
     if spot is None:
         return None
-    name = value[spot[0] : spot[1]]
-    comma = name.count(",") == 1
-    f = fold(name)
+    f = fold(value[spot[0] : spot[1]])
     words = [w for w in pat(r"[\s._]+").split(f.replace("'", "")) if pat(r"\p{L}").search(w)]
     if len(words) > 2:
         words = [w for w in (words[0], *[x for x in words[1:-1] if len(x) > 1], words[-1])]
     if len(words) == 1:
+        # a login such as "avane": letter and family
         w = words[0]
-        return ("g", w[0], w[1:]) if len(w) >= 6 and w not in KNOWN_GIVEN and value.strip() == value.strip().lower() else None
-    given, family = words[0], " ".join(words[1:])
-    # the other way round without a comma: the last word is a given name or an initial, the first is none
-    if not comma and (family in KNOWN_GIVEN or len(family) == 1) and given not in KNOWN_GIVEN and len(given) > 1:
-        given, family = family, given
-    return ("p", given, family)
+        return ("p", w[0], w[1:], True) if len(w) >= 6 and value.strip() == value.strip().lower() else None
+    return ("p", words[0], " ".join(words[1:]), False)
+
+
+def stem(short: str) -> str:
+    """What a short form has in common with the full name: no diminutive ending, no doubled last consonant."""
+    s = pat(r"(?:chen|lein|ita|ito|ie|ey|[iyeoa])$").sub("", short) if len(short) > 3 else short
+    return s[:-1] if len(s) > 2 and s[-1] == s[-2] else s
 
 
 def parsed_values(values: DataFrame) -> DataFrame:
-    """values(value) -> value, kind, first, last (rows of nobody are left out)."""
+    """values(value) -> value, kind, t1 <= t2, glued (rows of nobody are left out)."""
 
-    @F.pandas_udf("kind string, first string, last string")
+    @F.pandas_udf("kind string, t1 string, t2 string, glued boolean")
     def read(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(x) or (None, None, None) for x in v], columns=["kind", "first", "last"])
+        out = []
+        for x in v:
+            p = parse(x)
+            out.append((p[0], *sorted(p[1:3]), p[3]) if p else (None, None, None, None))
+        return pd.DataFrame(out, columns=["kind", "t1", "t2", "glued"])
 
-    return values.withColumn("_p", read("value")).where("_p.kind is not null").select("value", "_p.kind", "_p.first", "_p.last")
+    return values.withColumn("_p", read("value")).where("_p.kind is not null").select("value", "_p.kind", "_p.t1", "_p.t2", "_p.glued")
 
 
 def near_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens(kind, token, support) -> (kind, token, better): one edit or swap apart, better supported (ties: the smaller string).
-
-    Prefix filter: the 4-grams of a token in order of rarity within its kind, the first six of each side joined.
-    """
+    """tokens(kind, token), distinct -> (kind, token, near, sim) for tokens one edit or swap apart, both ways round."""
     padded = F.concat(F.lit("##"), F.col("token"), F.lit("$$"))
-    grams = tokens.where(F.length("token") >= 3).select(
-        "kind",
-        "token",
-        "support",
-        F.explode(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q))))
-        ).alias("gram"),
+    grams = tokens.where(F.length("token") >= 4).select(
+        "kind", "token", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q)))).alias("at", "gram")
     )
     rarity = grams.groupBy("kind", "gram").agg(F.count("*").alias("df"))
     prefix = cut(
         grams.join(rarity, ["kind", "gram"])
-        .groupBy("kind", "token", "support")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, PREFIX).alias("g"))
-        .select("kind", "token", "support", F.explode("g.gram").alias("gram"))
+        .groupBy("kind", "token")
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram", "at"))), 1, PREFIX).alias("g"))  # as many as the token has letters
+        .select("kind", "token", F.length("token").alias("n"), F.explode("g").alias("g"))
+        .select("kind", "token", "n", "g.gram", "g.at")
     )
-    a = prefix.select("kind", "gram", "token", F.col("support").alias("sa"))
-    b = prefix.select("kind", "gram", F.col("token").alias("better"), F.col("support").alias("sb"))
+    around = lambda c: F.sequence(F.col(c) - 1, F.col(c) + 1)
+    b = prefix.select("kind", F.col("token").alias("near"), "gram", F.explode(around("n")).alias("n"), "at")
+    b = b.select("kind", "near", "gram", "n", F.explode(around("at")).alias("at"))
     letters = lambda c: F.array_sort(F.split(c, ""))
-    hit = a.join(b, ["kind", "gram"]).where(
-        (F.abs(F.length("token") - F.length("better")) <= 1)
-        & ((F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("better") < F.col("token"))))
-        & ((F.col("sa") <= 2) | (F.col("sb") >= 10 * F.col("sa")))
+    lev = F.levenshtein("token", "near", 2)
+    swap = (lev == 2) & (F.length("token") == F.length("near")) & (letters("token") == letters("near"))
+    return (
+        prefix.join(b, ["kind", "gram", "n", "at"])
+        .where("token <> near")
+        .where((lev == 1) | swap)
+        .select("kind", "token", "near", (1 - 1 / F.greatest(F.length("token"), F.length("near"))).alias("sim"))
+        .distinct()
     )
-    lev = F.levenshtein("token", "better", 2)
-    return hit.where((lev == 1) | ((lev == 2) & (F.length("token") == F.length("better")) & (letters("token") == letters("better")))).select(
-        "kind", "token", "better"
-    ).distinct()
 
 
-def classes(values: DataFrame) -> DataFrame:
-    """values(value), distinct -> value, class (a string naming the identity)."""
-    spark = values.sparkSession
-    v = cut(parsed_values(values))
-    n = float(v.count())
-    family = v.where("kind in ('p', 'o')").groupBy("kind", F.col("last").alias("token")).agg(F.count("*").alias("support"))
-    family = cut(family)  # each step is cut: the plans below use it several times
-    # given names: those before many families are supported best, the known ones above all; others are corrected towards them
-    given = v.where("kind = 'p' and length(first) > 1").groupBy(F.col("first").alias("token")).agg(F.count_distinct("last").alias("families"), F.count("*").alias("support"))
-    known = spark.createDataFrame([(x,) for x in sorted(KNOWN_GIVEN)], "token string")  # a fixed list
-    given = given.join(known.withColumn("k", F.lit(True)), "token", "full").select(
-        "token", (F.coalesce("families", F.lit(1)) + F.when(F.col("k"), 1_000_000_000).otherwise(0)).alias("support")
+def _halves(forms: DataFrame) -> DataFrame:
+    """Both ways of reading a form: anchor token and the other one."""
+    two = F.array(F.struct(F.col("t1").alias("anchor"), F.col("t2").alias("other")), F.struct(F.col("t2").alias("anchor"), F.col("t1").alias("other")))
+    return forms.select("id", "kind", "n", F.explode(two).alias("h")).select("id", "kind", "n", "h.anchor", "h.other")
+
+
+def _table() -> Column:
+    return F.create_map(*[x for s, fs in SHORT_OF.items() for x in (F.lit(s), F.array(*map(F.lit, fs)))])
+
+
+SHORT_OF: dict[str, list[str]] = {}
+for _full, _shorts in IRREGULAR.items():
+    for _s in _shorts.split():
+        SHORT_OF.setdefault(_s, []).append(_full)
+
+
+def candidates(forms: DataFrame, near: DataFrame) -> DataFrame:
+    """forms(id, kind, t1, t2, n), near(kind, token, near, sim) -> (a, b, how, ...): pairs whose tokens fit, not yet verified.
+
+    how: edit (both better supported or smaller than a), short or initial (b full). Every key of a side holds one form
+    on the asking side, so no group is squared.
+    """
+    h = _halves(forms)
+
+    @F.pandas_udf("string")
+    def stems(t: pd.Series) -> pd.Series:
+        return t.map(stem)
+
+    lasts = h.withColumn("at", F.col("anchor")).withColumn("sa", F.lit(1.0)).unionByName(
+        h.join(near.select("kind", F.col("token").alias("anchor"), F.col("near").alias("at"), F.col("sim").alias("sa")), ["kind", "anchor"])
     )
-    near = cut(near_tokens(family.unionByName(given.withColumn("kind", F.lit("given")))))
-    given_near = near.where("kind = 'given'").drop("kind")
-    short = spark.createDataFrame([(s, f) for s, fs in SHORT_OF.items() for f in fs], "first string, to_first string")
-
-    # proposals: (value, kind, to_first, to_last, how each token was reached)
-    base = v.where("kind in ('p', 'o')").select("value", "kind", "first", "last")
-    lasts = base.select("*", F.col("last").alias("to_last"), F.lit("exact").alias("how_last")).unionByName(
-        base.join(near.withColumnRenamed("token", "last"), ["kind", "last"]).select(
-            *base.columns, F.col("better").alias("to_last"), F.lit("edit").alias("how_last")
+    one = F.length("other") == 1
+    ask = lambda key, how, s: F.struct(F.lit(how).alias("how"), key.alias("key"), F.lit(float(s)).alias("so"))
+    asks = F.when(one, F.array(ask(F.concat(F.lit("i"), "other"), "initial", INITIAL_SIM), ask(F.concat(F.lit("="), "other"), "edit", 1))).otherwise(
+        F.concat(
+            F.array(ask(F.concat(F.lit("="), "other"), "edit", 1)),
+            F.when(F.col("kind") == "p", F.array(ask(F.concat(F.lit("<"), stems("other")), "short", RULE_SIM))).otherwise(F.array()),
+            F.transform(F.coalesce(F.try_element_at(_table(), F.col("other")), F.array()), lambda f: ask(F.concat(F.lit("="), f), "short", SHORT_SIM)),
         )
     )
-    glued = v.where("kind = 'g'").select("value", F.lit("p").alias("kind"), "first", "last", F.col("last").alias("to_last"), F.lit("exact").alias("how_last"))
-    lasts = cut(lasts.unionByName(glued))
-    exact = lasts.select("*", F.col("first").alias("to_first"), F.lit("exact").alias("how_first"))
-    by_short = lasts.where("kind = 'p'").join(F.broadcast(short), "first").select(*lasts.columns, "to_first", F.lit("short").alias("how_first"))
-    by_edit = (
-        lasts.where("kind = 'p'")
-        .join(given_near.select(F.col("token").alias("first"), F.col("better").alias("to_first")), "first")
-        .select(*lasts.columns, "to_first", F.lit("edit").alias("how_first"))
-    )
-    # identities that exist as written, with a full given name; each letter of a family with one given name behind it
-    ids = base.where("kind = 'o' or length(first) > 1").groupBy("kind", F.col("first").alias("to_first"), F.col("last").alias("to_last")).agg(
-        F.count("*").alias("support")
-    )
-    # with the weights of their tokens: how rare the last and the first token are among the values
-    df_last = family.select("kind", F.col("token").alias("to_last"), F.col("support").alias("dl"))
-    df_first = v.where("kind <> 'g'").groupBy("kind", F.col("first").alias("to_first")).agg(F.count("*").alias("df"))
-    ids = cut(
-        ids.join(df_last, ["kind", "to_last"])
-        .join(df_first, ["kind", "to_first"])
-        .select("kind", "to_first", "to_last", "support", F.log1p(F.lit(n) / F.col("dl")).alias("wl"), F.log1p(F.lit(n) / F.col("df")).alias("wf"))
-    )
-    # a given name that is the short form or a misspelling of another of the family is no identity of its own for initials
-    own = ids.where("kind = 'p'")
-    better = (
-        own.select(F.col("to_first").alias("first"), "to_last")
-        .join(F.broadcast(short).unionByName(given_near.select(F.col("token").alias("first"), F.col("better").alias("to_first"))), "first")
-        .join(own.select("to_first", "to_last"), ["to_first", "to_last"], "left_semi")
-        .select(F.col("first").alias("to_first"), "to_last")
-        .distinct()
-    )
-    single = (
-        own.join(better, ["to_first", "to_last"], "left_anti")
-        .groupBy("to_last", F.substring("to_first", 1, 1).alias("first"))
-        .agg(F.max_by("to_first", F.struct("support", "to_first")).alias("to_first"), F.count("*").alias("k"))
-        .where("k = 1")
-        .drop("k")
-    )
-    by_initial = (
-        lasts.where("kind = 'p' and length(first) = 1 and how_last = 'exact'")
-        .join(single, ["first", "to_last"])
-        .select(*lasts.columns, "to_first", F.lit("initial").alias("how_first"))
+    a = lasts.select("kind", F.col("id").alias("a"), F.col("n").alias("na"), "anchor", "other", "at", "sa", F.inline(asks))
+    offers = F.when(one, F.array(F.concat(F.lit("="), "other"))).otherwise(
+        F.when(
+            F.col("kind") == "p",
+            F.concat(
+                F.array(F.concat(F.lit("="), "other"), F.concat(F.lit("i"), F.substring("other", 1, 1))),
+                F.transform(F.sequence(F.lit(2), F.length("other") - 1), lambda k: F.concat(F.lit("<"), F.substring(F.col("other"), 1, k))),
+            ),
+        ).otherwise(F.array(F.concat(F.lit("="), "other")))
     )
-    proposals = exact.where("kind = 'o' or length(first) > 1").unionByName(by_short).unionByName(by_edit).unionByName(by_initial)
-    proposals = cut(proposals.join(ids, ["kind", "to_first", "to_last"]))
+    b = h.where("length(anchor) > 1").select("kind", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("anchor").alias("at"), F.col("other").alias("to"), F.explode(offers).alias("key"))
+    better = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    fits = F.when(F.col("how") == "edit", (F.col("sa") < 1) & better).when(F.col("how") == "short", F.length("to") > F.length("other")).otherwise(True)
+    return a.join(b, ["kind", "at", "key"]).where((F.col("a") != F.col("b")) & fits).select("kind", "a", "b", "nb", "how", "at", "to", "sa", "so")
 
-    # verification: soft similarity of the two tokens, weighted by how rare the identity's tokens are
-    sim = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in SIM.items() for x in kv]), F.col(c))
-    scored = proposals.withColumn("score", (F.col("wl") * sim("how_last") + F.col("wf") * sim("how_first")) / (F.col("wl") + F.col("wf"))).where(
-        F.col("score") >= THRESHOLD
-    )
-    # the identity to stay with: a corrected or lengthened one that exists wins over the value's own spelling
-    rank = F.struct(
-        (F.col("how_first") == "short").cast("int"),
-        (F.col("how_last") == "edit").cast("int") + (F.col("how_first") == "edit").cast("int"),
-        "support",
-        "score",
-        "to_first",
-        "to_last",
-    )
-    best = scored.groupBy("value").agg(F.max_by(F.struct("kind", "to_first", "to_last"), rank).alias("b"))
-    named = cut(best).select("value", F.concat_ws("\u0001", "b.kind", "b.to_first", "b.to_last").alias("class"))
-    # identities point at identities (a misspelt identity's own correction): follow one more step
-    idmap = (
-        named.join(base.where("kind = 'o' or length(first) > 1"), "value")
-        .select(F.concat_ws("\u0001", "kind", "first", "last").alias("class"), F.col("class").alias("to"))
-        .where("class <> to")
-        .distinct()
-        .groupBy("class")
-        .agg(F.max("to").alias("to"))
+
+def verified(cand: DataFrame, forms: DataFrame) -> DataFrame:
+    """Candidates with their score, those below THRESHOLD rejected."""
+    df = _halves(forms).groupBy("kind", F.col("anchor").alias("token")).agg(F.count(F.when(F.length("other") != 1, 1)).alias("df"))
+    n = float(forms.count())
+    weight = lambda c: F.log1p(F.lit(n) / F.greatest(F.col(c), F.lit(1)))
+    w = (
+        cand.join(df.select("kind", F.col("token").alias("at"), weight("df").alias("wa")), ["kind", "at"])
+        .join(df.select("kind", F.col("token").alias("to"), weight("df").alias("wo")), ["kind", "to"])
     )
-    idmap = cut(idmap)
-    step = named.join(idmap, "class", "left").select("value", F.coalesce("to", "class").alias("class"))
-    # initials without any full form: those of one family and letter are one
-    rest = (
-        v.where("kind = 'g' or length(first) = 1").where("kind <> 'o'").join(step.select("value"), "value", "left_anti")
+    return w.withColumn("score", (F.col("wa") * F.col("sa") + F.col("wo") * F.col("so")) / (F.col("wa") + F.col("wo"))).where(F.col("score") >= THRESHOLD)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> (id, root): the smallest id reachable, for every id of an edge. Label propagation until nothing changes."""
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("root")))
+    while True:
+        step = (
+            both.join(label.withColumnRenamed("id", "b"), "b")
+            .groupBy(F.col("a").alias("id"))
+            .agg(F.min("root").alias("other"))
+            .join(label, "id")
+            .select("id", F.least("root", "other").alias("root"), (F.col("other") < F.col("root")).alias("moved"))
+        )
+        step = cut(step)
+        if step.where("moved").isEmpty():
+            return step.select("id", "root")
+        label = step.select("id", "root")
+
+
+def classes(values: DataFrame) -> DataFrame:
+    """values(value[, n]), distinct, n how often -> value, class (the first of its forms)."""
+    if "n" not in values.columns:
+        values = values.withColumn("n", F.lit(1))
+    v = cut(parsed_values(values.select("value")).withColumn("id", F.concat_ws("\u0001", "kind", "t1", "t2")).join(values.select("value", "n"), "value"))
+    forms = cut(v.groupBy("id", "kind", "t1", "t2").agg(F.sum("n").alias("n"), F.min("glued").alias("glued")))
+    tokens = _halves(forms).where("length(anchor) > 1").select("kind", F.col("anchor").alias("token")).distinct()
+    ok = cut(verified(candidates(forms, near_tokens(tokens)), forms))
+    best = Window.partitionBy("a").orderBy(F.desc("score"), F.desc(F.length("to")), F.desc("nb"), "b")
+    short = ok.where("how = 'short'").withColumn("r", F.row_number().over(best)).where("r = 1")
+    links = ok.where("how = 'edit'").select("a", "b").unionByName(short.select("a", "b"))
+    root = components(links)
+    named = forms.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("root"), (F.col("root").isNull() & F.col("glued")).alias("alone"))
+    # initials: the one component they fit
+    fit = (
+        ok.where("how = 'initial'").select(F.col("a"), F.col("b").alias("id"))
+        .join(root, "id", "left")
+        .groupBy("a")
+        .agg(F.min(F.coalesce("root", "id")).alias("lo"), F.max(F.coalesce("root", "id")).alias("hi"))
+        .where("lo = hi")
+        .select(F.col("a").alias("id"), F.col("lo").alias("of"))
     )
-    fam = family.where("kind = 'p'").select(F.col("token").alias("last"))
-    rest = rest.join(fam, "last", "left_semi").select("value", F.concat_ws("\u0001", F.lit("i"), "first", "last").alias("class"))
-    return cut(step.unionByName(rest))
+    of = named.join(fit, "id", "left").where("not alone or of is not null").select("id", F.coalesce("of", "root").alias("class"))
+    return v.select("value", "id").join(of, "id").select("value", "class")
 
 
 def all_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value, n: every spelling of the three fields and in how many meetings it stands."""
     cols = [("person", "name"), ("action_item", "assignee"), ("speaker_stats", "speaker_id")]
     out = None
     for t, c in cols:
-        one = table(spark, sf_dir, t).select(F.col(c).alias("value")).where(F.col("value").isNotNull()).distinct()
+        one = table(spark, sf_dir, t).select(F.col(c).alias("value"), "meeting_id").where(F.col("value").isNotNull())
         out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    return out.distinct().groupBy("value").agg(F.count("*").alias("n"))
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """value, class_id: the identity of every value that means somebody."""
-    return classes(all_values(spark, sf_dir)).select("value", F.xxhash64("class").alias("class_id"))
+    return classes(all_values(spark, sf_dir)).select("value", F.col("class").alias("class_id"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = classes(all_values(spark, sf_dir))
+    c = cut(classes(all_values(spark, sf_dir)))
     a, b = c.select("class", F.col("value").alias("name_a")), c.select("class", F.col("value").alias("name_b"))
-    return a.join(b, "class").where("name_a < name_b").select("name_a", "name_b").distinct()
+    return a.join(b, "class").where("name_a < name_b").select("name_a", "name_b")

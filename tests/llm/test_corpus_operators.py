@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from palaver.llm import mixing, names, packing, spans, tokens
@@ -30,11 +31,8 @@ def test_near_tokens_lose_no_pair(spark):
         i = rnd.randrange(1, len(w) - 1)
         for v in (w[:i] + w[i + 1 :], w[:i] + "z" + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :]):
             toks.setdefault(v, 1)
-    got = {(r.token, r.better) for r in names.near_tokens(spark.createDataFrame([("p", *x) for x in toks.items()], "kind string, token string, support long")).collect()}
-    want = {
-        (a, b) for a, b in itertools.permutations(toks, 2)
-        if one_edit(a, b) and (toks[b] > toks[a] or (toks[b] == toks[a] and b < a)) and (toks[a] <= 2 or toks[b] >= 10 * toks[a])
-    }
+    got = {(r.token, r.near) for r in names.near_tokens(spark.createDataFrame([("p", x) for x in toks], "kind string, token string")).collect()}
+    want = {(a, b) for a, b in itertools.permutations(toks, 2) if one_edit(a, b) and min(len(a), len(b)) >= 4}
     adjacent = {(a, b) for a, b in want if len(a) != len(b) or sum(x != y for x, y in zip(a, b, strict=True)) == 1 or any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))}
     assert adjacent <= got <= want
 
@@ -57,6 +55,43 @@ def test_classes(spark):
     assert names.classes(spark.createDataFrame([], "value string")).count() == 0
 
 
+def _classes(spark, values):
+    return {r.value: r["class"] for r in names.classes(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_misspelling_links_at_any_support(spark, k):
+    ways = ["{} {}", "{} {} (HR)", "Dr. {} {}", "{} {} (Ops)", "{} {} <a@b.example>", "{}  {}", "{}_{}", "{}.{}"]
+    good = [w.format(g, "Lindqvist") for g in ("Anna", "Boris", "Tobias") for w in ways]
+    bad = [w.format(g, "Lindqvst") for g in ("Anna", "Boris", "Tobias") for w in ways[:k]]
+    got = _classes(spark, good + bad)
+    for g in ("Anna", "Boris", "Tobias"):
+        assert len({c for v, c in got.items() if v.removeprefix("Dr. ").startswith(g)}) == 1
+    assert len(set(got.values())) == 3
+
+
+def test_short_forms_by_rule_and_table(spark):
+    for a, b in (("Toby Vanebrook", "Tobias Vanebrook"), ("Jochen Vanebrook", "Joachim Vanebrook"), ("Nell Vanebrook", "Eleanor Vanebrook"), ("Abby Vanebrook", "Abigail Vanebrook")):
+        assert len(set(_classes(spark, [a, b]).values())) == 1
+    got = _classes(spark, ["Jo Vanebrook", "Omar Vanebrook", "A. Vanebrook", "Anna Vanebrook", "Arno Vanebrook"])
+    assert len(set(got.values())) == 5  # an initial that fits two people stands alone
+
+
+def test_chain_of_misspellings_is_one_class(spark):
+    got = _classes(spark, ["Anna Lindqvist", "Anna Lindqvst", "Anna Lindqvt", "Anna Lindqt"])
+    assert len(set(got.values())) == 1
+
+
+def test_verification_rejects(spark, monkeypatch):
+    """An initial beside a frequent family name is too little, beside a rare one it is enough."""
+    values = [f"{g} Smith" for g in ("Carl", "Omar", "Boris", "Tobias", "Ulrik", "Wanda", "Xenia", "Zora", "Edith", "Hugo", "Igor", "Nadja")]
+    values += ["C. Smith", "Carl Vanebrook", "C. Vanebrook"]
+    got = _classes(spark, values)
+    assert got["C. Smith"] != got["Carl Smith"] and got["C. Vanebrook"] == got["Carl Vanebrook"]
+    monkeypatch.setattr(names, "THRESHOLD", 0.0)
+    assert _classes(spark, values)["C. Smith"] == _classes(spark, values)["Carl Smith"]
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "i int, t string")
     n = {r.i: r.n for r in df.select("i", tokens.count_tokens("t").alias("n")).collect()}
