@@ -171,7 +171,7 @@ def _names(text: str, taken: bytearray, out: list, given: frozenset) -> None:
 
 def _label_names(text: str) -> list[tuple[int, int]]:
     """Offsets of the names in speaker labels and lists of participants."""
-    from palaver.llm.turns import HEADINGS, LEAD, SEPARATOR, VOICE, fold, is_heading, looks_like_name
+    from palaver.llm.turns import HEADINGS, VOICE, fold, is_heading, looks_like_name, options
 
     spots, at, names = [], 0, set()
     lower: list[tuple[int, str]] = []
@@ -186,15 +186,9 @@ def _label_names(text: str) -> list[tuple[int, int]]:
         elif v:
             found.append((v.start(1), v.group(1)))
         else:
-            for lead, rx in LEAD:
-                m = rx.match(bare)
-                if m:
-                    break
-            # of the separators that fit, the one with the shortest label
-            hits = [(s.start(1), s.group(1)) for sep, srx in SEPARATOR if (lead or sep in (":", "label")) and (s := srx.match(bare, m.end()))]
-            hits = [h for h in hits if not is_heading(h[1])]
-            if hits:
-                found.append(min(hits, key=lambda h: len(h[1])))
+            # of the places where a label may end, the first whose label is no heading
+            hits = [(x, bare[x:y]) for (head, sep, _), (x, y), *_ in options(bare) if head.strip("-") or sep[:1] == ":" or "§" in sep]
+            found += [h for h in hits if not is_heading(h[1])][:1]
         for off, raw in found:
             lead_ws = pat(r"[\s\-–—\[(<>]*").match(raw).end()
             body = raw[lead_ws:].rstrip()

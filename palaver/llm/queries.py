@@ -47,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_units": p4_units,
     "p5_found": languages.p5_found,
     "p6_found": turns.p6_found,
+    "p6_turns": turns.p6_turns,
     "p7_containers": packing.p7_containers,
     "p7_fill": packing.p7_fill,
     "p9_found": spans.p9_found,

@@ -67,9 +67,36 @@ def test_layouts():
     t = "00:02 freya vane> Hi.\n\nAction item: go on\n00:33 ANN LINT> Yes.\n01:09 Freya Vane> No.\n01:30 ann lint> Well.\n01:59 freya vane> Bye."
     assert turns.text_turns(t) == [(1, 3), (4, 4), (5, 5), (6, 6), (7, 7)]
     assert turns.cue_label("Small print", "x")[0] is None and turns.cue_label("freya vane", "x")[0] == "freya vane"
+    assert turns.cue_label(None, "freya vane: hi")[:2] == ("freya vane", True) and turns.cue_label(None, "freya vane: Hi")[1] is False and turns.cue_label(None, "Freya Vane: hi")[:2] == ("Freya Vane", False)
     assert turns.text_turns(None) == [] and turns.text_turns("") == []
 
 
+UNSEEN = [
+    "{00:10} Tobias ~ hello there\n{00:15} Ann ~ yes\n{00:20} Tobias ~ bye now",
+    "00:10 @Tobias :: hello there\n00:12 @Ann :: yes ok\n00:15 @Tobias :: bye",
+    "10:00 | Tobias => hello there\n10:02 | Ann => fine then\n10:05 | Tobias => bye",
+    "Tobias\thello there\nAnn\tyes indeed\nTobias\tbye\nAnn\tsee you\nTobias\tyes",
+    "[Tobias] hello there\n[Ann] yes\n[Tobias] bye\n[Ann] see you\n[Tobias] yes",
+    "Tobias (00:10) hello there\nAnn (00:12) yes\nTobias (00:15) bye",
+]
+
+
+@pytest.mark.parametrize("text", UNSEEN)
+def test_layouts_are_mined(text):
+    got = turns.read_turns(text)
+    assert [g[:2] for g in got] == [(i, i) for i in range(1, text.count("\n") + 2)]
+    assert [g[2] for g in got[:2]] == ["Tobias", "Ann"] and got[0][4] == "hello there"
+
+
+def test_spoken_turns(spark):
+    t = "[00:01] Ann Vane: Um, hello [noise] there.\nmore words\n[00:12] bo lint (HR): Hm.\n[00:20] Bo Lint: Yes, uh, sure.\n"
+    assert turns.read_turns(t) == [(1, 2, "Ann Vane", 1.0, "hello there. more words"), (4, 4, "Bo Lint", 20.0, "Yes, sure.")]
+    rows = [("m", i, None, float(i), s, x) for i, (s, x) in enumerate([("Ann Vane", "Um, first"), (None, "goes on (laughs)"), ("ANN VANE", "more"), ("Bo Lint", "*noise*"), ("Bo Lint", "yes")])]
+    df = spark.createDataFrame(rows, "meeting_id string, pos int, start_time string, start_seconds double, speaker string, text string")
+    got = sorted(tuple(r) for r in turns.spoken_cue_turns(df).collect())
+    assert got == [("m", 0, 2, 0.0, "Ann Vane", "first goes on more"), ("m", 4, 4, 4.0, "Bo Lint", "yes")]
+
+
 def test_same_speakers():
     m = turns.same_speakers(["Ann Vane", "ann vane", "A. Vane", "Ann V.", "Vane, Ann", "Ann", "[Ann Vane]", "Bo Lint"])
     assert len({v for k, v in m.items() if k != "Bo Lint"}) == 1 and m["Bo Lint"] != m["Ann"]
