@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.pii import GIVEN_ANY
+from palaver.llm.pii import FEMALE, MALE
 from palaver.llm.sentences import spans
 from palaver.sources.tables import read_once
 
@@ -51,7 +51,7 @@ SEED = {
 }
 
 NAMES = regex.compile(r"(?<!^)(?<![.!?]\s)\b\p{Lu}[\p{Ll}\p{M}]+(?:\s\p{Lu}[\p{Ll}\p{M}]+)+|[\p{Latin}\d@._/+%:\-]*[@/\d][\p{Latin}\d@._/+%:\-]*")
-GIVEN = regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(sorted(GIVEN_ANY, key=len, reverse=True))})(?!\p{{L}})")
+GIVEN = regex.compile(r"(?!)")
 LATIN = regex.compile(r"\p{Latin}")
 OTHER = regex.compile(r"[\p{Cyrillic}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Han}\p{Arabic}\p{Devanagari}]")
 

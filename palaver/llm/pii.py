@@ -1,10 +1,15 @@
 """Personal data in free text: detection, typed placeholders and keyed surrogates.
 
 Detectors run in order (email, address, id number, phone, name), each on what the earlier ones left. A found value is
-the value itself, without the words around it. ``redact`` replaces values by typed placeholders; ``surrogate`` replaces
-them by keyed values of the same type, format, letter case and (for names) gender and parts: the same entity of a
-record gets the same surrogate wherever it stands (coreference), two entities never share one and no surrogate equals
-a value of the record (collision checks with a counter in the key).
+the value itself, without the words around it. Names are found in labels, behind titles and initials, by the evidence of
+a name column of the whole corpus (a word before two different family names is a given name) and by context: capitals of
+one script in a row that are no ordinary words of the text, verbs of meeting and of speech around them, forms of address
+in scripts without case. No list of given names is used.
+
+``redact`` replaces values by typed placeholders; ``surrogate`` replaces them by keyed values of the same type, format,
+letter case and (for names) script, gender and parts: the same entity of a record gets the same surrogate wherever it
+stands (coreference), two entities never share one and no surrogate equals a value of the record (collision checks with
+a counter in the key).
 
 Null text gives null and no values; empty text stays empty. Work is linear in the text; nothing is cut or sampled.
 """
@@ -13,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import secrets
 import unicodedata
 
 import pandas as pd
@@ -23,20 +29,17 @@ from pyspark.sql import functions as F
 from palaver.llm.patterns import pat
 from palaver.sources.tables import read_once
 
-# Given names by the gender of their surrogates.
-FEMALE = """Abigail Amara Anastasia Anneliese Chiara Deborah Elizabeth Freya Gabriela Grace Guadalupe Henrietta Hope Ilse Iris
-Josephine Katherine Linh Margaret Marisol May Noor Philippa Priya Rebecca Rosalind Rose Victoria Wilhelmina Yvaine Zoé""".split()
-MALE = """Alexander Augustin Benjamin Bogdan Christopher Cornelius Dale Dmitri Francisco Frank Friedrich Giovanni Idris Ignacio
-Íñigo Johannes Jürgen Kenji Leopold Mark Matthew Michael Mikhail Nathaniel Neil Omar Piotr René Richard Robert Samuel Søren Sven Thaddeus
-Theodore Tomasz William Yusuf Zachary""".split()
-# Short forms, only taken for names in a name field or before a family name.
-SHORT = """Abby Alex Sasha Anne Ana Stasia Nastya Ben Benny Chris Kit Dick Rick Rich Rob Bob Bobby Deb Debbie Dima Mitya Liz Beth Betty Eliza
-Paco Pancho Fritz Gabi Gaby Gianni Lupe Etta Hannes Hans Nacho Joe Josie Jo Kate Katie Kathy Kitty Leo Poldi Maggie Meg Peggy Greta Matt Mike Mick
-Misha Nate Nat Pippa Pip Becky Becca Roz Ros Rosie Sam Sammy Theo Ted Teddy Tomek Tom Vicky Tori Willa Mina Billie Will Bill Billy Zach Zack Zak
-Gus Ali Hal Hattie Liesel Anni Lexi Al Xander Jim Jack Tess Nick Tony Max Ed Fred Joey Dan Dave Steve""".split()
-GIVEN = set(FEMALE) | set(MALE)
-# Words of these spellings, capitalised, that are no names when these follow or stand before.
-NOT_AFTER = regex.compile(r"\s+(?:period|the|we|I|our|\d)\b")
+# Given names that surrogates are drawn from, by gender and script. Detection does not use them.
+FEMALE = """Alice Amina Anna Beatriz Bianca Carla Clara Daniela Elena Emma Eva Farah Fiona Hana Helena Ingrid Irene Jana Julia Karin Laura Leila Lucia
+Maria Marta Mei Mina Nadia Nora Olga Paula Petra Rita Sara Silvia Sofia Tara Teresa Vera Yara""".split()
+MALE = """Adam Ahmed Alan Andrei Anton Bruno Carlos Daniel David Diego Emil Erik Felix Georg Hassan Hugo Ibrahim Ivan Jakob Jan Jonas Jorge
+Karl Kevin Lars Luca Lukas Marco Martin Milan Nils Oscar Pablo Paul Peter Rafael Simon Stefan Thomas Viktor""".split()
+FEMALE_CYRILLIC = "Анна Вера Дарья Елена Ирина Лидия Мария Нина Ольга Полина Софья Тамара".split()
+MALE_CYRILLIC = "Андрей Борис Виктор Глеб Денис Игорь Кирилл Максим Олег Павел Роман Тимур".split()
+# Given names that are also words; alone they are names only where no such word follows.
+ALSO_WORDS = set("""Will Mark May Hope Grace Rose Frank Dale Bill Rich Jack Sue Art Faith Joy June April August Summer Daisy Lily Ivy Ruby Pearl Iris Violet
+Chase Grant Drew Pat Penny Gene Guy Hunter Miles Ray Rob Rusty Sandy Skip Victor Wade Christian Dean Earl Max Sunny""".split())
+NOT_AFTER = regex.compile(r"(?:\s+(?:like|you know|I mean),?)?\s+(?:\p{L}{1,2}-)*(?:period|the|we|you|they|it|this|that|there|someone|I|our|\d)\b")
 
 DIGITS = "zero|one|two|three|four|five|six|seven|eight|nine|oh|double|triple"
 EMAIL = [
@@ -46,7 +49,7 @@ EMAIL = [
         r"(?<![\w.+\-%])[A-Za-z0-9][\w\-+]*(?:(?:\.|\s(?:dot|underscore|dash|plus|minus|hyphen)\s)[\w\-+]+)*\s(?:at|@)\s[\w\-]+(?:(?:\sdot\s|\.)[\w\-]+)*+\b(?<=\sdot\s\p{L}+)(?!\s(?:at|dot)\s)", regex.I
     ),
 ]
-PLACE = rf"\p{{Lu}}[\p{{L}}\-']+(?:[ \-](?!(?:{'|'.join([*FEMALE, *MALE, *SHORT])})\b)\p{{Lu}}[\p{{L}}\-']+){{0,2}}"
+PLACE = r"\p{Lu}[\p{L}\-']+(?:[ \-]\p{Lu}[\p{L}\-']+){0,2}"
 ZIP = r"\d{4,5}(?:-\d{3,4})?"
 ST = r"\p{Lu}[\p{L}'\-]+(?:\s\p{Lu}[\p{L}'\-]+){0,2}"
 KIND = r"(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Lane|Ln\.?|Drive|Dr\.?|Boulevard|Blvd\.?|Court|Ct\.?|Square|Sq\.?|Way|Place|Pl\.?|Terrace|Crescent|Close|Row|Hill|Walk)"
@@ -77,38 +80,51 @@ PHONE = [
     regex.compile(r"(?<![\p{Latin}\d+.\-])0\d{2,4}[ \-/]\d{3,4}[ \-]?\d{3,4}(?!\d)"),
     regex.compile(rf"\b(?:plus |\+)?(?:(?:{DIGITS})[ \-,]+){{6,}}(?:{DIGITS})\b", regex.I),
 ]
-LETTER = r"\p{Latin}\p{M}"
-CAP = rf"\p{{Lu}}[{LETTER}]*[\p{{Ll}}\p{{M}}][{LETTER}]*(?:['’\-]\p{{Lu}}[{LETTER}]+)*"
-EDGE_L, EDGE_R = rf"(?<![{LETTER}\d_@.'’\-])", rf"(?![{LETTER}\d_@])"
+def _cap(script: str) -> str:
+    """A capitalised word of one script, with parts behind apostrophes or hyphens."""
+    one = rf"[\p{{{script}}}\p{{M}}]"
+    return rf"(?=\p{{{script}}})\p{{Lu}}{one}*(?<=[\p{{Ll}}\p{{M}}]){one}*+(?:['’\-](?=\p{{{script}}})\p{{Lu}}{one}++)*+"
+
+
+CAP = f"(?:{'|'.join(_cap(s) for s in ('Latin', 'Cyrillic', 'Greek'))})"
+#: Letters of scripts with case may not touch a name, those of scripts without case may.
+CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+EDGE_L, EDGE_R = rf"(?<![{CASED}\p{{M}}\d_@.'’\-])", rf"(?![{CASED}\p{{M}}\d_@])"
 # Titles that stand before a family name.
 TITLE_WORDS = """Dr Mr Mrs Ms Prof Hr Fr Hrn M Mme Mlle MM Sr Sra Srta Dra sig Sig sig.ra Sig.ra dott Dott dott.ssa Dott.ssa avv prof Profa
 Me Dña Herr Frau Monsieur Madame Señor Señora Senhor Senhora Signor Signora""".split()
 TITLE = regex.compile(
-    rf"(?<![{LETTER}])(?:{'|'.join(regex.escape(x) for x in sorted(TITLE_WORDS, key=len, reverse=True))})\.?\s"
+    rf"(?<![{CASED}])(?:{'|'.join(regex.escape(x) for x in sorted(TITLE_WORDS, key=len, reverse=True))})\.?\s"
     rf"((?:\p{{Lu}}\.\s)?{CAP}(?:\s(?:\p{{Lu}}\.\s)?{CAP})?){EDGE_R}"
 )
-INITIAL = regex.compile(rf"{EDGE_L}(?<!P\.)(\p{{Lu}}\.\s?(?:\p{{Lu}}\.\s?)?{CAP}){EDGE_R}")
+UNIT = regex.compile(rf"{CAP}|\p{{Lu}}\.")
+RUN = regex.compile(rf"{EDGE_L}(?<!P\.)(?:{CAP}|\p{{Lu}}\.)(?:\s(?:{CAP}|\p{{Lu}}\.)|(?<=\.){CAP})*{EDGE_R}")
 NO_FAMILY = {"Box", "Apt", "Street", "Avenue", "Road", "Lane"}
 # Capitalised words that may follow a given name without being a family name.
 STOP = set("""The A An I It We You He She They Is Are Was Will Can Could Should Has Have And Or But So If In On At For From To Of With Who What When
 Where Why How Please Thanks Um Uh Er Hmm Well Reminder Note Ist Hat Und Wir Ich Sie Er Es Das Die Der Wer Wie Am Im Le La Les Il Elle On Nous Je
-El Los Las Lo Yo Ayer Creo Il La Lo I Gli O Os As Eu Monday Tuesday Wednesday Thursday Friday Saturday Sunday""".split())
+El Los Las Lo Yo Ayer Creo Il La Lo I Gli O Os As Eu Ella Ellos Ele Ela Eles Lei Lui Loro Она Он Они Мы Вы Я Это My Our Your His Her Its Their Nobody
+Somebody Someone Everybody Everyone Anyone Siehe Nr No Monday Tuesday Wednesday Thursday Friday Saturday Sunday""".split()) | set(TITLE_WORDS)
 
 
 def _strip_accents(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).replace("ø", "o").replace("Ø", "O")
 
 
-GIVEN_ANY = GIVEN | {_strip_accents(x) for x in GIVEN}
-GIVEN_FOLDED = {_strip_accents(x).casefold() for x in GIVEN}
+STREET = regex.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)\s\d")
 
 
-def _take(rx, text, free, out, kind, group=0):
+def _take(rx, text, taken, out, kind, given=frozenset()):
     for m in rx.finditer(text):
-        a, b = m.span(group)
-        if a < b and not any(free[a:b]):
+        a, b = m.span()
+        if kind == "address" and given:  # a town does not go on into a person's name
+            for w in pat(r"(?<=[\s\-])\p{Lu}[\p{L}'’]+").finditer(text, text.rfind(",", a, b) + 1 or b, b):
+                if w.group() in given and text[w.start() - 2] != ",":
+                    b = w.start() - 1
+                    break
+        if a < b and not any(taken[a:b]):
             out.append((a, b, kind))
-            free[a:b] = b"\x01" * (b - a)
+            taken[a:b] = b"\x01" * (b - a)
 
 
 def _french(around: str) -> bool:
@@ -121,27 +137,50 @@ def _french(around: str) -> bool:
 # Frequent words that tell French from English.
 FRENCH = set("le la les des du un une est a vers pas dans pour avec nous vous arrivera encore que qui de et au aux sur il elle".split())
 ENGLISH = set("the is will and should of to with for in out until about take according that we i can did has at who".split())
-_CACHE: dict[frozenset, regex.Pattern] = {}
-
-
-def _given_rx(given: frozenset) -> regex.Pattern:
-    """A given name with an optional family name or initial behind it, or a short form before a family name."""
-    if given not in _CACHE:
-        if len(_CACHE) > 256:
-            _CACHE.clear()
-        alt, short = ("|".join(regex.escape(x) for x in sorted(g, key=len, reverse=True)) for g in (given, SHORT))
-        fam, mid = rf"(?P<fam>{CAP}|\p{{Lu}}\.(?=\W|$))", r"(?:\p{Lu}\.\s)?"
-        _CACHE[given] = regex.compile(
-            rf"{EDGE_L}(?:(?P<given>{alt})(?:\s{mid}{fam})?|(?P<given>{short})(?P<short>\s){mid}(?!(?:{alt}){EDGE_R})(?P<fam>{CAP})){EDGE_R}"
-        )
-    return _CACHE[given]
+# Verbs of meeting and telling before a name, and verbs of speech behind one.
+BEFORE = regex.compile(
+    r"(?:\b(?:spoke|speak|speaking|talk|talked|talking|met|meet|meeting|work|worked|check|checked|chat|chatted) with|\b(?:spoke|speak|talk|talked|listen|listened) to"
+    r"|\b(?:thank|thanks|thanked|ask|asked|tell|told|call|called|email|emailed|ping|pinged|remind|reminded|contact|contacted|met|invite|invited|named)"
+    r"|\bmit|\bfragt(?:e)?|\bavec|\bhablé con|\bparlato con|\bfalei com|\b[сС])\s$"
+)
+AFTER = regex.compile(
+    r"\s(?:said|says|asked|asks|thinks|thought|told|replied|answered|mentioned|agreed|wrote|called|explained|suggested|lives|works|noted|added|sagte?|meint|meinte|dit|dijo|dice|disse|сказала?|говорит)\b"
+)
+AND = regex.compile(r"(?:,|,? and|,? or| &| und| et| y| e| и)\s$")
+# First words of names of places, words behind a place's or a thing's name, and words of headings.
+NO_PERSON = set("""New North South East West Northern Southern Eastern Western San Santa Saint Los Las Puerto Port Mount Lake Fort Bad Rio Sierra Costa United
+Street Avenue Road Lane Square Park Bridge Station Airport County City State University College School Hospital Church Museum Hotel Building Room Floor Suite Tower Center Centre
+Ticket Invoice Version Action Item Items Next Open Point Points Small Print Meeting Project Team Plan Review Release Department Office Board Committee Ministry Court Act Law Treaty
+Participants Attendees Subject Topic Agenda Attachment Location Date Dear Regards Best Hello Hi Yes No Okay Ok Good Great Happy Thank Call Email Phone Office Flat Apartment Apt Box""".split())
+# Forms of address behind a name in scripts without case, and words before them that are no names.
+HONORIFIC = regex.compile(
+    r"(?<![\p{Han}\p{Katakana}])([\p{Han}]{2,5}|[\p{Katakana}ー・]{2,12})(?=さん|様|氏(?!名)|くん|先生|女士)|(?<!\p{Hangul})(\p{Hangul}{2,4})(?=\s?(?:씨|님)(?!\p{Hangul}{2}))"
+)
+NO_HONORED = set("皆 各位 医者 客 客様 神 王 患者 担当者 社長 部長 課長 奥 娘 息子 学生 担任 大学 会社 고객 선생 사장 부장 과장 팀장 손 대표 여러분".split())
+
 
+LOW = regex.compile(r"(?<![\p{L}\p{M}])\p{Ll}[\p{L}\p{M}]++")
 
-#: Given names that are also words at the start of a sentence.
-ALSO_WORDS = ("Will", "Mark", "May", "Hope", "Grace", "Rose", "Frank", "Dale")
+
+def _free(text: str, out: list) -> str:
+    """The text outside the values found so far."""
+    parts, at = [], 0
+    for a, b, _ in sorted(out):
+        parts.append(text[at:a])
+        at = b
+    return " ".join([*parts, text[at:]])
+
+
+def _word_here(text: str, end: int) -> bool:
+    """Whether what follows, without notes and hesitation, shows a word rather than a name."""
+    from palaver.llm.turns import NOTE, SOUND
+
+    return NOT_AFTER.match(SOUND.sub("", NOTE.sub("", text[end : end + 80]))) is not None
 
 
 def _names(text: str, taken: bytearray, out: list, given: frozenset) -> None:
+    """Names in running text: behind titles, initials before a family name, known given names, and unknown ones by context."""
+
     def add(a: int, b: int) -> None:
         if not any(taken[a:b]):
             out.append((a, b, "name"))
@@ -153,23 +192,85 @@ def _names(text: str, taken: bytearray, out: list, given: frozenset) -> None:
         if words[0] in STOP or (text[m.start()] == "M" and text[m.start() + 1] in ". " and not _french(text[max(0, a - 40) : b + 60])):
             continue
         add(a, a + len(words[0]) if len(words) > 1 and words[-1] in STOP else b)
-    for m in _given_rx(given).finditer(text):
-        a, b = m.span()
-        fam = m.group("fam")
-        if fam and fam.rstrip(".") in STOP:
-            if m.group("short"):
-                continue
-            b = m.end("given")
-        if m.group() in ALSO_WORDS and NOT_AFTER.match(text, b):
+    low: set[str] | None = None
+    for run in RUN.finditer(text):
+        g = run.group()
+        if g not in given and (g in STOP or g in NO_PERSON):
             continue
-        add(a, b)
-    for m in INITIAL.finditer(text):
-        family = m.group(1).split(".")[-1].strip()
-        if family not in NO_FAMILY and family not in STOP:
-            add(*m.span(1))
-
-
-def _label_names(text: str) -> list[tuple[int, int]]:
+        if low is None:
+            low = set(LOW.findall(_free(text, out)))
+        if g.isalpha() and g not in given and g.lower() in low:
+            continue
+        units = [(g, *run.span())] if g.isalpha() else [(m.group(), *m.span()) for m in UNIT.finditer(text, *run.span())]
+        i = 0
+        while i < len(units):
+            w, a, b = units[i]
+            rest = units[i + 1 :]
+            # the family name behind: directly or after initials
+            k = next((j for j, (x, *_) in enumerate(rest) if x[-1] != "."), len(rest))
+            family = rest[k] if k < len(rest) and k < 3 and rest[k][0] not in STOP else None
+            if w[-1] == ".":
+                if family and family[0] not in NO_FAMILY and k < 2 and family[0] not in NO_PERSON:
+                    add(a, family[2])
+                    i += k + 2
+                    continue
+                i += 1
+                continue
+            if w in given:
+                if family and k < 2:
+                    end, step = family[2], k + 2
+                elif rest and k and not text[rest[0][2] : rest[0][2] + 1].isalpha():
+                    end, step = rest[0][2], 2
+                else:
+                    end, step = b, 1
+                if step > 1 or not (w in ALSO_WORDS and _word_here(text, b)) and len(w) > 2:
+                    add(a, end)
+                i += step
+                continue
+            if w in STOP or w in NO_PERSON or w.casefold() in ORG:
+                i += 1
+                continue
+            group = [units[i]]
+            for x in rest:
+                if x[0] in given or x[0] in STOP or x[0] in NO_PERSON or x[0].casefold() in ORG or len(group) == 4:
+                    break
+                group.append(x)
+            words = [x[0] for x in group if x[0][-1] != "."]
+            follows = rest[len(group) - 1][0] if len(group) <= len(rest) else ""
+            plain = any(x.lower() in low for x in words)
+            firm = follows.casefold() in ORG or follows in NO_PERSON or (i and units[i - 1][0] in NO_PERSON)
+            if not plain and not firm:
+                before = text[max(0, a - 24) : a]
+                cue = bool(BEFORE.search(before) or AFTER.match(text, group[-1][2]))
+                if not cue and (glue := AND.search(before)):
+                    # a list goes on: the one before is a name
+                    at = a - len(glue.group())
+                    cue = at > 0 and any(y == at and kind == "name" for _, y, kind in out[-1:])
+                if 2 <= len(words) <= 3 and not _noun_language(low) or cue:
+                    add(a, group[-1][2])
+                    i += len(group)
+                    continue
+            i += 1
+    for m in HONORIFIC.finditer(text):
+        g = 1 if m.group(1) else 2
+        if m.group(g) not in NO_HONORED:
+            add(*m.span(g))
+
+
+def _noun_language(low: set[str]) -> bool:
+    """Whether the text is in a language that capitalises nouns: two capitals in a row prove little there."""
+    return len(low & GERMAN) >= 3
+
+
+# Frequent words that tell German.
+GERMAN = set("der die das und ist nicht wir ich sie für mit auf den dem ein eine von noch wird haben".split())
+
+
+MARKED = regex.compile(r"[:：>|\t\])=~]|\s[-–—]")
+PRESENT = regex.compile(r"\s*(?:participants|attendees|present)\s*:\s*", regex.I)
+
+
+def _label_names(text: str, given: frozenset) -> list[tuple[int, int]]:
     """Offsets of the names in speaker labels and lists of participants."""
     from palaver.llm.turns import HEADINGS, VOICE, fold, is_heading, looks_like_name, options
 
@@ -177,8 +278,11 @@ def _label_names(text: str) -> list[tuple[int, int]]:
     lower: list[tuple[int, str]] = []
     for line in text.split("\n"):
         bare = line.rstrip("\r")
+        if "-->" in bare or not MARKED.search(bare):
+            at += len(line) + 1
+            continue
         v = VOICE.match(bare)
-        h = pat(r"(?i)\s*(?:participants|attendees|present)\s*:\s*").match(bare)
+        h = PRESENT.match(bare)
         found: list[tuple[int, str]] = []
         if h:
             for m in pat(r"[^;|]+").finditer(bare[h.end() :]):
@@ -187,7 +291,7 @@ def _label_names(text: str) -> list[tuple[int, int]]:
             found.append((v.start(1), v.group(1)))
         else:
             # of the places where a label may end, the first whose label is no heading
-            hits = [(x, bare[x:y]) for (head, sep, _), (x, y), *_ in options(bare) if head.strip("-") or sep[:1] == ":" or "§" in sep]
+            hits = [(x, bare[x:y]) for (head, sep, _), (x, y), t, _, only in options(bare) if (t or not only or ":" in sep) and (head.strip("-") or sep[:1] == ":" or t)]
             found += [h for h in hits if not is_heading(h[1])][:1]
         for off, raw in found:
             lead_ws = pat(r"[\s\-–—\[(<>]*").match(raw).end()
@@ -207,43 +311,56 @@ def _label_names(text: str) -> list[tuple[int, int]]:
                 lower.append((at + off + lead_ws, body))
         at += len(line) + 1
     for a, body in lower:
-        if fold(body) in names or body.split()[0].capitalize() in GIVEN_ANY or body.split()[0].title() in GIVEN:
+        if fold(body) in names or body.split()[0].capitalize() in given or body.split()[0].title() in given or len(body.split()) > 1:
             if all(pat(r"[\p{L}\p{M}'’.\-]+").fullmatch(w) for w in body.split()) and len(body.split()) <= 3:
                 spots.append((a, a + len(body)))
     return spots
 
 
-def find(text: str | None, is_name_field: bool = False) -> list[tuple[int, int, str]]:
-    """(begin, end, kind), offsets of code points, in order."""
+def find(text: str | None, is_name_field: bool = False, given: frozenset = frozenset()) -> list[tuple[int, int, str]]:
+    """(begin, end, kind), offsets of code points, in order. given: words known as given names from elsewhere."""
     if not text or not text.strip():
         return []
     taken, out = bytearray(len(text)), []
-    for kind, rxs in (("email", EMAIL), ("address", ADDRESS), ("id_number", ID), ("phone", PHONE)):
-        for rx in rxs:
-            _take(rx, text, taken, out, kind)
+    low = text.lower()
+    digits = pat(r"\d").search(text) is not None
+    spelled = pat(rf"(?:(?:{DIGITS})[ \-,]+){{2}}").search(low) is not None
+    # each detector runs where what it cannot do without is there
+    for rx, needs in zip(EMAIL, ("@" in text, pat(r"[\[({]\s?at\s?[\])}]").search(low), " dot " in low), strict=True):
+        if needs:
+            _take(rx, text, taken, out, "email")
+    if digits:
+        for rx, needs in zip(ADDRESS, ("box" in low, True, True, STREET.search(low), True, "." in low or "ул" in low), strict=True):
+            if needs:
+                _take(rx, text, taken, out, "address", given)
+        for rx in ID:
+            _take(rx, text, taken, out, "id_number")
+    for rx, needs in zip(PHONE, (*[digits] * (len(PHONE) - 1), spelled), strict=True):
+        if needs:
+            _take(rx, text, taken, out, "phone")
     if is_name_field:
         _name_field(text, taken, out)
         return sorted(out)
-    for a, b in _label_names(text):
+    for a, b in _label_names(text, given):
         if not any(taken[a:b]):
             out.append((a, b, "name"))
             taken[a:b] = b"\x01" * (b - a)
-    # given names of labels that the list does not hold ("Last, First" gives the part behind the comma)
+    # given names of labels ("Last, First" gives the part behind the comma)
     labels = (text[a:b] for a, b, k in out if k == "name")
     own = {w for n in labels for w in n.split(",")[-1].split()[:1] if w[0].isupper() and len(w) > 2 and not w.isupper() and w not in STOP}
-    _names(text, taken, out, frozenset(GIVEN_ANY | own))
-    _again(text, taken, out)
+    _names(text, taken, out, given | own)
+    _again(text, taken, out, given | own)
     return sorted(out)
 
 
-def _again(text: str, taken: bytearray, out: list) -> None:
+def _again(text: str, taken: bytearray, out: list, given: frozenset) -> None:
     """Family names of the people found so far where they stand alone, and their full names in capitals."""
     families, full = set(), set()
     for a, b, k in out:
         if k == "name":
             words = pat(r"[\p{L}\p{M}'’\-]+").findall(text[a:b])
             if len(words) > 1 and text[a].isupper():
-                families |= {w for w in words if len(w) > 3 and w not in GIVEN_ANY and w not in SHORT and w[0].isupper() and not w.isupper()}
+                families |= {w for w in words if len(w) > 3 and w not in given and w[0].isupper() and not w.isupper()}
                 full.add(" ".join(words).upper())
     if not families:
         return
@@ -309,13 +426,13 @@ def _name_field(text: str, taken: bytearray, out: list) -> None:
 # --- replacing -----------------------------------------------------------------------------------------------------
 
 
-def redact(text: str | None, is_name_field: bool = False) -> str | None:
+def redact(text: str | None, is_name_field: bool = False, given: frozenset = frozenset()) -> str | None:
     """Typed placeholders, numbered by entity within the record: [NAME_1], [EMAIL_1] ..."""
     if text is None:
         return None
     seen: dict[tuple[str, str], int] = {}
     out, at = [], 0
-    for a, b, kind in find(text, is_name_field):
+    for a, b, kind in find(text, is_name_field, given):
         key = (kind, _entity(kind, text[a:b]))
         n = seen.setdefault(key, 1 + sum(k == kind for k, _ in seen))
         out += [text[at:a], f"[{kind.upper()}_{n}]"]
@@ -341,18 +458,42 @@ def _draw(key: bytes, *parts: str) -> int:
     return int.from_bytes(hmac.new(key, "\x00".join(parts).encode(), hashlib.sha256).digest()[:8], "big")
 
 
-SYLLABLES = "bal cor den fal gri hol jas kel lom mar nor pel quin ros sel tan ul ver wen yar zab".split()
+# Syllables that family names are made of, by script.
+SYLLABLES = {
+    "Latin": "bal cor den fal gri hol jas kel lom mar nor pel quin ros sel tan ul ver wen yar zab".split(),
+    "Cyrillic": "бал вер гор дан зор кал лом мир нов пол рос сел тар чер яр".split(),
+    "Greek": "βαλ γορ δεν καλ λομ μαρ νορ πελ ροσ σελ ταν".split(),
+    "Katakana": "アサ イナ ウエ オダ カワ キタ サト ナカ マツ ヤマ".split(),
+    "Hangul": "강 권 노 류 문 배 서 송 안 윤 조 한".split(),
+    "Han": "安 白 程 方 高 何 江 林 沈 田 吴 叶".split(),
+}
+_SCRIPT = {k: regex.compile(rf"\p{{{k}}}") for k in SYLLABLES}
+
+
+def _script(word: str) -> str:
+    return next((k for k, rx in _SCRIPT.items() if rx.match(word)), "Latin")
 
 
-def _surname(n: int) -> str:
-    return "".join(SYLLABLES[n // len(SYLLABLES) ** i % len(SYLLABLES)] for i in range(3)).capitalize()
+def _surname(n: int, script: str = "Latin", parts: int = 3) -> str:
+    s = SYLLABLES[script]
+    return "".join(s[n // len(s) ** i % len(s)] for i in range(parts)).capitalize()
 
 
-def surrogate(text: str | None, key: bytes, is_name_field: bool = False) -> str | None:
+def _given(n: int, word: str) -> str:
+    """A given name of the same script and, by its ending, gender."""
+    script, female = _script(word), _strip_accents(word).casefold()[-1:] in "aeiyая"
+    pools = {"Latin": (MALE, FEMALE), "Cyrillic": (MALE_CYRILLIC, FEMALE_CYRILLIC)}
+    if script not in pools:
+        return _surname(n, script, 2)
+    pool = pools[script][female]
+    return pool[n % len(pool)] + (_surname(n // len(pool), script, 1).lower() if n % 97 == 0 else "")
+
+
+def surrogate(text: str | None, key: bytes, is_name_field: bool = False, given: frozenset = frozenset()) -> str | None:
     """The text with keyed surrogates in place of every value."""
     if text is None:
         return None
-    spots = find(text, is_name_field)
+    spots = find(text, is_name_field, given)
     real = {_entity(k, text[a:b]) for a, b, k in spots}
     parts_real = {w for a, b, k in spots if k == "name" for w in _entity("name", text[a:b]).replace(".", "").split()}
     chosen: dict[tuple[str, str], str] = {}
@@ -370,25 +511,31 @@ def surrogate(text: str | None, key: bytes, is_name_field: bool = False) -> str
             chosen[kind, entity] = s
         return chosen[kind, entity]
 
+    names = [pat(r"[\p{L}\p{M}]+").findall(text[a:b]) if "," not in text[a:b] else pat(r"[\p{L}\p{M}]+").findall(text[a:b])[::-1] for a, b, k in spots if k == "name"]
+    low = lambda w: _strip_accents(w).casefold()
+    families = {low(w[-1]) for w in names if len(w) > 1 and len(w[-1]) > 1}
+    givens = sorted({low(w[0]) for w in names if len(w[0]) > 1} - families)
     out, at = [], 0
     for a, b, kind in spots:
-        out += [text[at:a], _replace(kind, text[a:b], pick)]
+        out += [text[at:a], _replace(kind, text[a:b], pick, families, givens)]
         at = b
     return "".join([*out, text[at:]])
 
 
-def _replace(kind: str, value: str, pick) -> str:
+def _replace(kind: str, value: str, pick, families: set[str], givens: list[str]) -> str:
     if kind == "name":
 
         def one(m) -> str:
             w = m.group()
             low = _strip_accents(w).casefold()
-            if len(w) == 1:  # an initial takes that of the surrogates drawn for this letter
-                return pick("initial", low, lambda n: f"{chr(65 + n % 26)}")
-            names = {_strip_accents(x).casefold(): pool for pool in (FEMALE, MALE) for x in pool}
-            pool = names.get(low)
-            s = pick("word", low, (lambda n: pool[n % len(pool)] if n % 97 else pool[n % len(pool)] + "a") if pool else _surname)
-            return s.upper() if w.isupper() else s.lower() if w.islower() else s
+            if len(w) == 1 and w.isupper():  # an initial is that of the surrogate of the given name it may stand for
+                full = next((g for g in givens if g[0] == low), None)
+                if full:
+                    return pick("word", full, lambda n: _given(n, full))[0].upper()
+                return pick("initial", low, lambda n: _given(n, w)[0])
+            make = _surname if low in families else _given
+            s = pick("word", low, (lambda n: _surname(n, _script(w), 3 if _script(w) in ("Latin", "Cyrillic", "Greek") else 2)) if make is _surname else (lambda n: _given(n, w)))
+            return s.upper() if w.isupper() and len(w) > 1 else s.lower() if w.islower() else s
 
         return pat(r"[\p{L}\p{M}]+").sub(one, value)
     if kind in ("phone", "id_number"):
@@ -415,23 +562,57 @@ def _replace(kind: str, value: str, pick) -> str:
 # --- queries -------------------------------------------------------------------------------------------------------
 
 
+# Forms of address that may stand before a name in a name field; a name as two capitalised words.
+PERSON_FIELD = r"^\s*(?:(?:Dr|Mr|Mrs|Ms|Miss|Prof|Hr|Fr|Herr|Frau|Mme|Mlle|Sr|Sra|Dra)\.?\s+)*(\p{Lu}[\p{L}\p{M}'’\-]*\p{Ll}[\p{L}\p{M}'’\-]*)[ _]+(?:\p{Lu}\.\s+)?(\p{Lu}[\p{L}\p{M}'’\-]*\p{Ll}[\p{L}\p{M}]*)"
+ORG_FIELD = rf"(?i)(?<!\p{{L}})(?:{'|'.join(sorted(ORG, key=len, reverse=True))}|the|speaker|unknown)(?!\p{{L}})"
+#: A word is a given name if it stands before so many different family names.
+FAMILIES = 2
+
+
+def given_of(name: str) -> tuple[str, str] | None:
+    """(given name, family name) of a value typed as both."""
+    m = pat(PERSON_FIELD).search(name)
+    return None if m is None or pat(ORG_FIELD).search(name) else (m.group(1), m.group(2))
+
+
+def given_names(names: DataFrame) -> DataFrame:
+    """names(name) -> word: given names by the evidence of a whole name column; a hot name costs one row per map task."""
+    two = names.where(F.col("name").rlike(PERSON_FIELD) & ~F.col("name").rlike(ORG_FIELD)).select(
+        F.regexp_extract("name", PERSON_FIELD, 1).alias("word"), F.regexp_extract("name", PERSON_FIELD, 2).alias("family")
+    )
+    return two.distinct().groupBy("word").agg(F.count("*").alias("k")).where(F.col("k") >= FAMILIES).select("word")
+
+
+def with_known(texts: DataFrame, key: str, text_col: str, names: DataFrame) -> DataFrame:
+    """texts(key, text_col) plus known: those words of the text that are given names of the column names.name.
+
+    The words of a text are joined with the evidence, not the evidence sent to every task, so both may grow.
+    """
+    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(r"(\p{Lu}[\p{Lu}\p{Ll}\p{M}]+(?:-\p{Lu}[\p{Lu}\p{Ll}\p{M}]+)*)")))).alias("word"))
+    found = words.join(given_names(names), "word").groupBy(key).agg(F.collect_list("word").alias("known"))  # words of one text
+    return texts.join(found, key, "left")
+
+
 def find_values(df: DataFrame, text_col: str, is_name_field: bool, keys: list[str]) -> DataFrame:
-    """df -> keys, kind, found_text (one row per mention), begin_at, end_at."""
+    """df(keys, text_col[, known]) -> keys, kind, found_text (one row per mention), begin_at, end_at."""
+    known = F.col("known") if "known" in df.columns else F.lit(None).cast("array<string>")
 
     @F.pandas_udf("array<struct<kind:string,found_text:string,begin_at:int,end_at:int>>")
-    def detect(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            [[{"kind": k, "found_text": t[a:b], "begin_at": a + 1, "end_at": b} for a, b, k in find(t, is_name_field)] for t in texts]
-        )
+    def detect(texts: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for t, ws in zip(texts, words, strict=True):
+            spots = find(t, is_name_field, frozenset() if ws is None else frozenset(ws))
+            out.append([{"kind": k, "found_text": t[a:b], "begin_at": a + 1, "end_at": b} for a, b, k in spots])
+        return pd.Series(out)
 
-    return df.select(*keys, F.inline(detect(text_col)))
+    return df.select(*keys, F.inline(detect(text_col, known)))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = read_once(spark, sf_dir, "meeting", ["meeting_id", "raw_text"]).where("raw_text is not null")
     people = read_once(spark, sf_dir, "person", ["person_id", "name"]).where("name is not null")
-    a = find_values(texts, "raw_text", False, ["meeting_id"])
-    b = find_values(people, "name", True, ["person_id"])
+    a = find_values(with_known(texts, "meeting_id", "raw_text", people), "raw_text", False, ["meeting_id"])
+    b = find_values(with_known(people, "person_id", "name", people), "name", True, ["person_id"])
     both = a.select(F.lit("meeting.raw_text").alias("field_name"), F.col("meeting_id").alias("rec_key"), "kind", "found_text").unionByName(
         b.select(F.lit("person.name").alias("field_name"), F.col("person_id").cast("string").alias("rec_key"), "kind", "found_text")
     )
@@ -441,19 +622,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rewrite(spark: SparkSession, sf_dir: str, f, out: str) -> DataFrame:
 
     @F.pandas_udf("string")
-    def texts_udf(t: pd.Series) -> pd.Series:
-        return pd.Series([f(x, False) for x in t], dtype=object)
+    def texts_udf(t: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([f(x, False, frozenset() if ws is None else frozenset(ws)) for x, ws in zip(t, words, strict=True)], dtype=object)
 
     @F.pandas_udf("string")
-    def names_udf(t: pd.Series) -> pd.Series:
-        return pd.Series([f(x, True) for x in t], dtype=object)
+    def names_udf(t: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([f(x, True, frozenset() if ws is None else frozenset(ws)) for x, ws in zip(t, words, strict=True)], dtype=object)
 
-    texts = read_once(spark, sf_dir, "meeting", ["meeting_id", "raw_text"])
     people = read_once(spark, sf_dir, "person", ["person_id", "name"])
+    texts = with_known(read_once(spark, sf_dir, "meeting", ["meeting_id", "raw_text"]), "meeting_id", "raw_text", people)
     return texts.select(
-        F.lit("meeting.raw_text").alias("field_name"), F.col("meeting_id").alias("rec_key"), texts_udf("raw_text").alias(out)
+        F.lit("meeting.raw_text").alias("field_name"), F.col("meeting_id").alias("rec_key"), texts_udf("raw_text", "known").alias(out)
     ).unionByName(
-        people.select(F.lit("person.name").alias("field_name"), F.col("person_id").cast("string").alias("rec_key"), names_udf("name").alias(out))
+        with_known(people, "person_id", "name", people).select(
+            F.lit("person.name").alias("field_name"), F.col("person_id").cast("string").alias("rec_key"), names_udf("name", "known").alias(out)
+        )
     )
 
 
@@ -462,10 +645,7 @@ def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewrite(spark, sf_dir, redact, "masked_text")
 
 
-#: The key of the surrogates is the caller's secret; this one is for the registered query only.
-DEMO_KEY = b"palaver-demo"
-
-
-def p1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with keyed surrogates."""
-    return _rewrite(spark, sf_dir, lambda t, n: surrogate(t, DEMO_KEY, n), "surrogate_text")
+def p1_surrogates(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """Every text with keyed surrogates. The key is the caller's secret; without one a key is drawn for this call."""
+    secret = key or secrets.token_bytes(32)
+    return _rewrite(spark, sf_dir, lambda t, n, g: surrogate(t, secret, n, g), "surrogate_text")

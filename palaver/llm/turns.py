@@ -155,7 +155,8 @@ def display(labels: list[str], speaker: dict[str, str]) -> dict[str, str]:
     """Speaker key -> its best spelling: most words, mixed case, without comma or role, then the smallest."""
     best: dict[str, tuple] = {}
     for x in labels:
-        s = ROLE.sub("", x.strip("[]<>()-–>: \t")).strip()
+        s = x.strip("-–—>•*: \t")
+        s = (s[1:-1] if s[:1] + s[-1:] in ("[]", "()", "<>") else ROLE.sub("", s)).strip("[]<> \t")
         rank = (-min(len(s.split()), 3), s.islower() or s.isupper(), "," in s or "." in s or "_" in s, s)
         if speaker[x] not in best or rank < best[speaker[x]]:
             best[speaker[x]] = rank
@@ -203,6 +204,7 @@ HEAD = regex.compile(rf"(?P<lead>[^\p{{L}}\p{{N}}\n]*+)(?:(?P<time>(?<!\d){TIME}
 GAP = regex.compile(rf"(?:[^\p{{L}}\p{{M}}\p{{N}}\n]|(?<!\d){TIME}(?!\d))+")
 OWN = regex.compile(rf"\s*(?:.*{TIME})?[^\s]*\s*")
 #: Marks that stand inside names, and openers of a role behind a name.
+ANY_TIME = regex.compile(TIME)
 INSIDE = regex.compile(r"[  ]?|['’\-.·_]|[.,] |, ?|[ ]?[(\[]")
 TAIL = regex.compile(rf"\s*[\[(]\s*({TIME})\s*[\])]\s*$")
 CLOSERS = {")": "(", "]": "["}
@@ -210,8 +212,10 @@ CLOSERS = {")": "(", "]": "["}
 
 def _marks(s: str) -> str:
     """A run of marks as a token of the tree: times are one wildcard, white space and kinds of dashes and colons are one."""
-    s = pat(TIME).sub("§", s).replace("–", "-").replace("—", "-").replace("：", ":")
-    return "\t" if s.strip(" ") == "\t" else pat(r"\s+").sub("", s)
+    if s.isascii() and not ANY_TIME.search(s):
+        return "\t" if s.strip(" ") == "\t" else "".join(s.split())
+    s = ANY_TIME.sub("§", s).replace("–", "-").replace("—", "-").replace("：", ":")
+    return "".join(s.split())
 
 
 def options(line: str) -> list[tuple[tuple[str, str, bool], tuple[int, int], str, int, bool]]:
@@ -222,12 +226,14 @@ def options(line: str) -> list[tuple[tuple[str, str, bool], tuple[int, int], str
         return []
     t = h["time"] or ""
     head = _marks(h["lead"]) + ("§" + _marks(h["close"]) if t else "")
-    tail, found, words = TAIL.search(line, at), [], 1
+    tail, found, words = TAIL.search(line, at) if line.rstrip()[-1:] in ")]" else None, [], 1
     for g in GAP.finditer(line, at):
         if words > SLOT_WORDS:
             break
         words += 1
         a, gap = g.start(), g.group()
+        if gap == " ":
+            continue
         # a bracket opened behind the name belongs to the label, and so does the period of an initial
         while gap and (gap[0] in CLOSERS and line.count(CLOSERS[gap[0]], at, a) > line.count(gap[0], at, a) or gap[0] == "." and gap[1:].strip()):
             a, gap = a + 1, gap[1:]
@@ -235,7 +241,7 @@ def options(line: str) -> list[tuple[tuple[str, str, bool], tuple[int, int], str
         gap = OWN.match(gap).group()
         end = a + len(gap)
         ends = end == len(line)
-        own = pat(TIME).search(gap)
+        own = ANY_TIME.search(gap)
         if INSIDE.fullmatch(gap) and not ends or not (ends or gap[-1:].isspace() or gap[-1:] == "：") or (gap.lstrip()[:1] in "-–—" and gap[:1] not in " \t"):
             continue
         sep = _marks(gap)

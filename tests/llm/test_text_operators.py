@@ -141,13 +141,13 @@ def test_cues(spark):
 # --- personal data -------------------------------------------------------------------------------------------------
 
 
-def values(text, field=False):
-    return [(k, text[a:b]) for a, b, k in pii.find(text, field)]
+def values(text, field=False, given=()):
+    return [(k, text[a:b]) for a, b, k in pii.find(text, field, frozenset(given))]
 
 
 def test_detection():
     t = "Reach Robert Vane's desk at r.vane+x@mail.example or robert dot vane at mail dot example, +49 30 23125 606, (265) 555-0158."
-    assert values(t) == [("name", "Robert Vane"), ("email", "r.vane+x@mail.example"), ("email", "robert dot vane at mail dot example"), ("phone", "+49 30 23125 606"), ("phone", "(265) 555-0158")]
+    assert values(t, given=["Robert"]) == [("name", "Robert Vane"), ("email", "r.vane+x@mail.example"), ("email", "robert dot vane at mail dot example"), ("phone", "+49 30 23125 606"), ("phone", "(265) 555-0158")]
     t = "Dr. Vane and C. Lint met on 2026-01-02; QQ 12 34 56 A, X1234567B, 986-67-4211, 00 293 050 614; invoice 45663, version 3.7.1, ticket TCK-98933."
     assert values(t) == [("name", "Vane"), ("name", "C. Lint"), ("id_number", "QQ 12 34 56 A"), ("id_number", "X1234567B"), ("id_number", "986-67-4211"), ("id_number", "00 293 050 614")]
     t = "Send it to Flat 4, 36 Salt Lane, Tarn; P.O. Box 12, Puerto Alba 55555; 12 rue Harrow, 13401 Alba; Lindenstraße 5, 10115 Stadt; Calle Sol 8, 30829 Alba."
@@ -157,6 +157,34 @@ def test_detection():
     assert values("我昨天和Katherine Vane谈过。") == [("name", "Katherine Vane")]
 
 
+def test_names_without_any_list():
+    """Context and scripts only; the words around them stay."""
+    for text, want in (
+        ("I met Tobias Lindqvist yesterday.", ["Tobias Lindqvist"]),
+        ("Please call Fatima Rahman or Hiroshi Tanaka.", ["Fatima Rahman", "Hiroshi Tanaka"]),
+        ("We spoke with Jessica and Brandon about it.", ["Jessica", "Brandon"]),
+        ("Ngozi Okafor lives at the end.", ["Ngozi Okafor"]),
+        ("Ivan Petrov", ["Ivan Petrov"]),
+        ("Иван Петров ушёл.", ["Иван Петров"]),
+        ("Dr. Иванов here", ["Иванов"]),
+        ("昨日、田中太郎さんと話しました。お客様から。", ["田中太郎"]),
+        ("김민수 씨가 왔습니다.", ["김민수"]),
+        ("We deliver to New York and the United States Office.", []),
+        ("Ella dijo que no. Will the plan work? Will like, the plan work?", []),
+    ):
+        assert [v for k, v in values(text) if k == "name"] == want, text
+    assert [text for k, text in [(k, "Grace is out."[a:b]) for a, b, k in pii.find("Grace is out.", False, frozenset({"Grace"}))]] == ["Grace"]
+
+
+def test_given_names_by_evidence(spark):
+    rows = [("Anna Vane",), ("anna vane",), ("Dr. Anna Lint",), ("Omar Vane",), ("Vane Foods Ltd",), (None,), ("",)]
+    names = spark.createDataFrame(rows, "name string")
+    assert [r.word for r in pii.given_names(names).collect()] == ["Anna"]
+    texts = spark.createDataFrame([("m", "Anna is out."), ("n", None), ("o", "")], "k string, t string")
+    got = {r.k: r.known for r in pii.with_known(texts, "k", "t", names).collect()}
+    assert got == {"m": ["Anna"], "n": None, "o": None}
+
+
 def test_name_field():
     assert values("Vane, R. (07700 900501)", True) == [("name", "Vane, R."), ("phone", "07700 900501")]
     assert values("Prof. Iris Vane (HR)", True) == [("name", "Iris Vane")]
@@ -165,8 +193,9 @@ def test_name_field():
 
 
 def test_redact_keeps_the_rest():
+    assert pii.redact("Dr. Иванов here") == "Dr. [NAME_1] here"
     t = "Robert Vane: call 07700 900123, says Robert Vane. Grace: no."
-    assert pii.redact(t) == "[NAME_1]: call [PHONE_1], says [NAME_1]. [NAME_2]: no."
+    assert pii.redact(t, False, frozenset({"Grace"})) == "[NAME_1]: call [PHONE_1], says [NAME_1]. [NAME_2]: no."
     assert pii.redact(None) is None and pii.redact("") == ""
 
 
@@ -177,6 +206,9 @@ def test_surrogates():
     assert "Vane" not in s and "Grace" not in s and "QQ123456A" not in s
     a, b = s.split("] ", 1)[1].split(":")[0].split(" ")
     assert a in pii.MALE and f"{a.upper()} {b.upper()} left." in s
+    assert s.split(" or ")[1][0] == a[0]
+    k = pii.surrogate("Иван Петров и Анна Петрова", b"k")
+    assert all("а" <= c.lower() <= "я" or c == " " for c in k) and k.split()[0] in pii.MALE_CYRILLIC and k.split()[3] in pii.FEMALE_CYRILLIC
     x, y = s.split(": ")[2].split(" and ")[0].split(", ")
     assert x == y.replace(" ", "") and x.startswith("QQ")
 
