@@ -1,9 +1,11 @@
 """Languages of texts and of the stretches of mixed ones, by a string kernel.
 
-Sentences are compared by which n-grams of 2 to 5 characters they contain (presence, not counts; a blended spectrum),
+Sentences are compared by which n-grams of 1 to 5 characters they contain (presence, not counts; a blended spectrum) and
+by the scripts of their letters, each script that holds a fifth of them counting as SCRIPT_MARKS n-grams,
 k(a, b) = |A & B| / sqrt(|A| |B|). Nystroem landmarks turn the kernel into a finite feature map, one-versus-rest
 kernel ridge regression is solved in it, and whole batches are scored by matrix products: the map and the ridge weights
 are multiplied once into one weight per (n-gram, language), so a batch is one sparse presence matrix times that table.
+N-grams are hashed to HASH_BITS bits, all of a batch at once.
 
 The classifier is fitted on at most SEED sentences written below plus SAMPLE_PER_LABEL labelled rows per language (both
 documented bounds). Labels are noisy, therefore fitted repeatedly: texts whose sentences the last fit assigns mostly to
@@ -22,7 +24,6 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm.pii import FEMALE, MALE
 from palaver.llm.sentences import spans
 from palaver.sources.tables import read_once
 
@@ -33,6 +34,8 @@ LANDMARKS = 480
 RIDGE = 0.1
 SWITCH = 0.3
 GRAMS = (1, 2, 3, 4, 5)
+SCRIPT_MARKS = 8
+HASH_BITS = 40
 
 #: Own sentences, a few per language, so that the model exists where a table has few labelled rows.
 SEED = {
@@ -51,97 +54,118 @@ SEED = {
 }
 
 NAMES = regex.compile(r"(?<!^)(?<![.!?]\s)\b\p{Lu}[\p{Ll}\p{M}]+(?:\s\p{Lu}[\p{Ll}\p{M}]+)+|[\p{Latin}\d@._/+%:\-]*[@/\d][\p{Latin}\d@._/+%:\-]*")
-GIVEN = regex.compile(r"(?!)")
 LATIN = regex.compile(r"\p{Latin}")
 OTHER = regex.compile(r"[\p{Cyrillic}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Han}\p{Arabic}\p{Devanagari}]")
+NO_LETTER = regex.compile(r"[^\p{L}\p{M}'’]+")
 
-SCRIPTS = [
-    (n, regex.compile(rf"[{p}]"))
-    for n, p in (
-        ("latin", r"\p{Latin}"), ("cyrillic", r"\p{Cyrillic}"), ("kana", r"\p{Hiragana}\p{Katakana}"), ("hangul", r"\p{Hangul}"),
-        ("han", r"\p{Han}"), ("arabic", r"\p{Arabic}"), ("devanagari", r"\p{Devanagari}"),
-    )
-]
+# First and last code point of the blocks of each script.
+SCRIPTS = {
+    "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)], "cyrillic": [(0x400, 0x52F)], "kana": [(0x3040, 0x30FF)], "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
+    "han": [(0x3400, 0x9FFF), (0xF900, 0xFAFF)], "arabic": [(0x600, 0x77F)], "devanagari": [(0x900, 0x97F)],
+}
+U = np.uint64
 
 
 def normal(text: str) -> str:
     """Lower case without mail addresses, numbers and names of several words; letters of one's own script stay."""
-    t = GIVEN.sub(" ", NAMES.sub(" ", text))
+    t = NAMES.sub(" ", text)
     if OTHER.search(t):  # Latin words in a text of another script are names or borrowed
         t = LATIN.sub("", t)
-    t = regex.sub(r"[^\p{L}\p{M}'’]+", " ", t).strip().lower()
+    t = NO_LETTER.sub(" ", t).strip().lower()
     return f" {t} " if t else ""
 
 
-def grams(text: str) -> set[str]:
-    """n-grams of the normal form, and a few marks for each script that holds a fifth of the letters."""
-    t = normal(text)
-    out = {t[i : i + n] for n in GRAMS for i in range(len(t) - n + 1)}
-    letters = sum(c.isalpha() for c in t) or 1
-    for name, rx in SCRIPTS:
-        if len(rx.findall(t)) * 5 >= letters:
-            out |= {f"\u0000{name}{k}" for k in range(8)}
-    return out
+class Grams:
+    """The different n-grams of each of some texts as hashes: those of text i are ids[at[i]:at[i + 1]], sorted."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray):
+        self.ids, self.at = ids, at
+        self.size = np.diff(at)
+
+    @staticmethod
+    def of(texts: list[str]) -> Grams:
+        low = [normal(t) for t in texts]
+        rows = np.repeat(np.arange(len(low)), [len(t) for t in low])
+        code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        mixed, parts, roll = code.astype(U) * U(0x9E3779B97F4A7C15), [], np.zeros(0, U)
+        for n in range(1, max(GRAMS) + 1):
+            roll = mixed if n == 1 else roll[:-1] * U(0xD1342543DE82EF95) + mixed[n - 1 :]
+            if n in GRAMS:
+                inside = rows[: len(roll)] == rows[n - 1 :]
+                parts.append((rows[: len(roll)][inside], roll[inside] + U(n)))
+        letters = np.maximum(np.bincount(rows[code != 32], minlength=len(low)), 1)
+        for k, blocks in enumerate(SCRIPTS.values()):
+            hit = np.zeros(len(code), bool)
+            for lo, hi in blocks:
+                hit |= (code >= lo) & (code <= hi)
+            own = np.flatnonzero(np.bincount(rows[hit], minlength=len(low)) * 5 >= letters)
+            parts += [(own, np.full(len(own), U(0xA5A5A5A5 + 977 * (k * SCRIPT_MARKS + j)))) for j in range(SCRIPT_MARKS)]
+        row = np.concatenate([p[0] for p in parts]).astype(U)
+        h = np.concatenate([p[1] for p in parts])
+        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> U(32))) >> U(64 - HASH_BITS)
+        both = np.sort((row << U(HASH_BITS)) | h)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        at = np.searchsorted(both, np.arange(len(low) + 1, dtype=U) << U(HASH_BITS))
+        return Grams(both & U((1 << HASH_BITS) - 1), at)
+
+    def some(self, pick: np.ndarray) -> Grams:
+        n = self.size[pick]
+        at = np.concatenate([[0], np.cumsum(n)])
+        return Grams(self.ids[np.arange(at[-1]) - np.repeat(at[:-1] - self.at[pick], n)], at)
+
+    def times(self, index: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """(presence matrix / sqrt(size)) @ table, table having one row per hash of the sorted index."""
+        out = np.zeros((len(self.size), table.shape[1]))
+        step = max(1, (1 << 22) // table.shape[1])  # rows of the table gathered at once
+        begin = 0
+        while begin < len(self.size):
+            end = max(begin + 1, int(np.searchsorted(self.at, self.at[begin] + step, "right")) - 1)
+            ids = self.ids[self.at[begin] : self.at[end]]
+            at = np.minimum(np.searchsorted(index, ids), len(index) - 1)
+            known = index[at] == ids
+            row = np.repeat(np.arange(end - begin), self.size[begin:end])[known]
+            if len(row):
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                out[begin + row[first]] = np.add.reduceat(table[at[known]], first, axis=0)
+            begin = end
+        return out / np.sqrt(np.maximum(self.size, 1))[:, None]
 
 
 class Model:
     """One weight per (n-gram, language); picklable and small (the n-grams of the landmarks)."""
 
-    def __init__(self, index: dict[str, int], table: np.ndarray):
+    def __init__(self, index: np.ndarray, table: np.ndarray):
         self.index, self.table = index, table
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Rows of (presence matrix / sqrt(size)) @ table for a batch."""
-        out = np.zeros((len(texts), self.table.shape[1]))
-        ids, at, sizes = [], [], []
-        get = self.index.get
-        for t in texts:
-            g = grams(t)
-            at.append(len(ids))
-            ids += [i for i in map(get, g) if i is not None]
-            sizes.append(max(len(g), 1))
-        if not ids:
-            return out
-        rows = self.table[np.asarray(ids)]
-        at = np.asarray(at)
-        full = np.append(at[1:], len(ids)) > at
-        out[full] = np.add.reduceat(rows, at[full], axis=0)
-        return out / np.sqrt(np.asarray(sizes))[:, None]
-
-
-def _presence(sets: list[set[str]], index: dict[str, int]) -> np.ndarray:
-    m = np.zeros((len(sets), len(index)), dtype=np.float32)
-    for r, s in enumerate(sets):
-        ids = [index[g] for g in s if g in index]
-        m[r, ids] = 1.0 / np.sqrt(max(len(s), 1))
-    return m
-
-
-def fit(texts: list[str], labels: list[str]) -> Model:
+    def scores(self, texts: list[str] | Grams) -> np.ndarray:
+        return (texts if isinstance(texts, Grams) else Grams.of(texts)).times(self.index, self.table)
+
+
+def fit(texts: list[str] | Grams, labels: list[str]) -> Model:
     """Nystroem map on evenly spread landmarks, then ridge regression against +1 / -1 per language."""
-    sets = [grams(t) for t in texts]
-    keep = [i for i, s in enumerate(sets) if s]
-    sets, labels = [sets[i] for i in keep], [labels[i] for i in keep]
+    g = texts if isinstance(texts, Grams) else Grams.of(texts)
+    keep = np.flatnonzero(g.size > 0)
+    g, labels = g.some(keep), [labels[i] for i in keep]
     by = {c: [i for i, x in enumerate(labels) if x == c] for c in CODES}
     per = max(1, LANDMARKS // len(CODES))
-    marks = [i for c in CODES for i in by[c][:: max(1, len(by[c]) // per)][:per]]
-    index: dict[str, int] = {}
-    for i in marks:
-        for g in sorted(sets[i]):
-            index.setdefault(g, len(index))
-    land = _presence([sets[i] for i in marks], index)
-    kmm = (land @ land.T).astype(np.float64)
-    val, vec = np.linalg.eigh(kmm)
+    marks = np.asarray([i for c in CODES for i in by[c][:: max(1, len(by[c]) // per)][:per]])
+    land = g.some(marks)
+    index = np.sort(land.ids)
+    index = index[np.concatenate([[True], index[1:] != index[:-1]])]
+    table = np.zeros((len(index), len(marks)), np.float32)
+    table[np.searchsorted(index, land.ids), np.repeat(np.arange(len(marks)), land.size)] = np.repeat(1 / np.sqrt(land.size), land.size)
+    val, vec = np.linalg.eigh(land.times(index, table))
     good = val > 1e-6 * val.max()
     root = vec[:, good] / np.sqrt(val[good])  # landmarks -> features
-    phi = np.vstack([_presence(sets[a : a + 512], index) @ land.T for a in range(0, len(sets), 512)]).astype(np.float64) @ root
+    phi = g.times(index, table) @ root
     y = np.full((len(labels), len(CODES)), -1.0)
     y[np.arange(len(labels)), [CODES.index(x) for x in labels]] = 1.0
     weight = np.asarray([1.0 / max(1, len(by[x])) for x in labels])
     weight /= weight.mean()
     a = (phi * weight[:, None]).T @ phi + RIDGE * np.eye(phi.shape[1])
     alpha = np.linalg.solve(a, (phi * weight[:, None]).T @ y)
-    return Model(index, (land.T.astype(np.float64) @ root @ alpha))
+    return Model(index, table.astype(np.float64) @ (root @ alpha))
 
 
 def seed_rows() -> tuple[list[str], list[str]]:
@@ -158,16 +182,17 @@ def train(labelled: list[tuple[list[str], str]]) -> Model:
         texts += sents
         labels += [c] * len(sents)
         doc += [d] * len(sents)
-    model = fit(texts[:n0], labels[:n0])
+    grams = Grams.of(texts)
+    model = fit(grams.some(np.arange(n0)), labels[:n0])
     for _ in range(3 if doc else 0):
-        s = model.scores(texts)
+        s = model.scores(grams)
         given = np.asarray([CODES.index(x) for x in labels])
         whole = np.zeros((len(labelled), len(CODES)))
         np.add.at(whole, np.asarray(doc), s[n0:])
         agree = whole.argmax(1)[np.asarray(doc)] == given[n0:]
         near = s[n0:].max(1) - s[np.arange(n0, len(texts)), given[n0:]] < 0.4
-        ok = [*range(n0), *(n0 + np.flatnonzero(agree & near))]
-        model = fit([texts[i] for i in ok], [labels[i] for i in ok])
+        ok = np.concatenate([np.arange(n0), n0 + np.flatnonzero(agree & near)])
+        model = fit(grams.some(ok), [labels[i] for i in ok])
     return model
 
 
@@ -257,10 +282,17 @@ def language_stretches(df: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read_once(spark, sf_dir, "transcription", ["transcription_id", "text", "language"])
-    found = language_stretches(df, train(sample(df)))
+    return language_stretches(df, train(sample(df)))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # more than one language, or a label that is not exactly the code of the only one
-    return found.where((F.col("n_langs") > 1) | ~F.col("language").eqNullSafe(F.col("lang"))).select(
-        "transcription_id", "begin_at", "lang"
-    )
+    found = _stretches(spark, sf_dir).where((F.col("n_langs") > 1) | ~F.col("language").eqNullSafe(F.col("lang")))
+    return found.select("transcription_id", "begin_at", "lang")
+
+
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """transcription_id, language (the label), n_langs, begin_at, end_at, lang, confidence: every stretch of every text."""
+    return _stretches(spark, sf_dir)

@@ -46,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_units": p4_units,
     "p5_found": languages.p5_found,
+    "p5_stretches": languages.p5_stretches,
     "p6_found": turns.p6_found,
     "p6_turns": turns.p6_turns,
     "p7_containers": packing.p7_containers,
