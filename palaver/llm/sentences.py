@@ -1,8 +1,11 @@
 """Sentence boundaries by cascading tables of break and no-break rules.
 
-A candidate is a run of closing marks with the quotes and brackets closing right behind it. At each candidate the
-tables are asked in order (line layout, abbreviations per language, quotations, defaults); the first rule whose
-``before`` pattern matches what ends at the candidate and whose ``after`` pattern matches what follows decides.
+A candidate is a run of closing marks with the quotes and brackets closing right behind it. At each candidate the tables
+are asked in order (line layout, the table of the language spoken there, common abbreviations, defaults); the first rule
+whose ``before`` pattern matches what ends at the candidate and whose ``after`` pattern matches what follows decides.
+The language is that of the words around the candidate: by script, in Latin script by frequent words of the two
+sentences nearest to it, then of the line, then English. It is only looked for where the tables of different languages
+may disagree, which is where some abbreviation ends at the candidate.
 A line break always ends a sentence, text between a pair of quotes or brackets is never cut.
 
 Null or blank text has no sentences. A text without any mark is one sentence per line. The work is linear in the text.
@@ -55,7 +58,7 @@ TITLES = {
     "ko": ["Dr", "Mr"],
 }
 NUMBERED = {
-    "en": ["No", "Nos", "no", "Fig", "fig", "p", "pp", "Sec", "Vol", "Ch", "Art", "Apt", "Rm", "para", "ca"],
+    "en": ["No", "Nos", "Fig", "fig", "p", "pp", "Sec", "Vol", "Ch", "Art", "Apt", "Rm", "para", "ca"],
     "de": ["Nr", "Abs", "Art", "S", "Bd", "Abb", "Tel", "Kap"],
     "fr": ["art", "p", "pp", "n", "fig", "vol", "chap", "al", "tél"],
     "es": ["núm", "Núm", "pág", "págs", "art", "cap", "fig", "vol", "n.º", "tel"],
@@ -67,20 +70,71 @@ NUMBERED = {
 }
 MONTHS = r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)"
 
+# Words that begin sentences and are no family names, per language.
+STARTERS = {
+    "en": "The A An It We I You They He She This That These Those There Then Here Our Your His Her My Its In On At If When While But And So Or Please Can Could Would Should What Who Where Why How Is Are Was Were Will Let Nobody Someone Everyone No Not Now".split(),
+    "de": "Der Die Das Ein Eine Er Es Wir Ich Ihr Dann Da Hier Aber Und Oder Wenn Wer Was Wo Wie Ist Sind Heute Jetzt Nun".split(),
+    "fr": "Le La Les Un Une Il Elle On Nous Vous Je Tu Ce Cette Mais Et Puis Si Qui Que Est".split(),
+    "es": "El La Los Las Un Una Él Ella Nosotros Yo Pero Y Si Quién Qué Cómo Es Luego Hoy Ayer".split(),
+    "it": "Il Lo La I Gli Le Un Una Lui Lei Noi Io Ma E Poi Se Chi Che Come Oggi".split(),
+    "pt": "O A Os As Um Uma Ele Ela Nós Eu Mas E Depois Se Quem Que Como Hoje".split(),
+    "ru": "Он Она Они Мы Вы Я Это Но И А Если Кто Что Где Как Сегодня Потом".split(),
+}
+# Frequent words that tell a language in Latin script from the others.
+TELLING = {
+    "en": "the and is are was of to for with that this it we you they have has not will be on at from there she he but what can our".split(),
+    "de": "der die das und ist sind nicht wir ich sie für mit auf den dem ein eine von noch wird haben hat im zu es auch aus bei nach oder bis über unter".split(),
+    "fr": "le la les des du un une est et pas pour avec dans nous vous je il elle on que qui ce cette sur au aux sont encore".split(),
+    "es": "el la los las del un una es y no para con en que por se lo ya más hasta está son muy pero nos os".split(),
+    "it": "il lo la gli le un una è e non per con che di del della si sono ancora più ma ci nel alla dal".split(),
+    "pt": "o a os as do da um uma é e não para com em que por se já mais até são muito mas no na nos".split(),
+}
+_TELLS: dict[str, list[str]] = {}
+for _lang, _words in TELLING.items():
+    for _w in _words:
+        _TELLS.setdefault(_w, []).append(_lang)
+SCRIPT_OF = [("ru", regex.compile(r"\p{Cyrillic}")), ("ko", regex.compile(r"\p{Hangul}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")), ("ar", regex.compile(r"\p{Arabic}")), ("hi", regex.compile(r"\p{Devanagari}"))]
+WORDS = regex.compile(r"[\p{Latin}\p{M}]+")
+
+
+def telling(text: str) -> str | None:
+    """The language that most of the words tell, or None where they tell nothing or two languages alike."""
+    for lang, rx in SCRIPT_OF:
+        if len(rx.findall(text)) * 3 >= len(text):
+            return lang
+    votes: dict[str, float] = {}
+    for w in WORDS.findall(text.lower()):
+        for lang in _TELLS.get(w, ()):
+            votes[lang] = votes.get(lang, 0) + 1 / len(_TELLS[w])
+    best = sorted(votes.items(), key=lambda x: -x[1])[:2]
+    return best[0][0] if best and (len(best) == 1 or best[0][1] > best[1][1]) else None
+
+
 LAYOUT = [_r("list-number", False, r"^[ \t]*\d{1,3}\.", r"[ \t]+\S")]
-LANGUAGES = [
-    rule
-    for lang in ("en", "de", "fr", "es", "it", "pt", "ru", "ar", "hi", "ko")
-    for rule in (
-        [_never(lang, TITLES[lang], r"\s+(?!$)")] + ([_never(lang, NUMBERED[lang], r"\s*[\d०-९٠-٩IVX]")] if lang in NUMBERED else [])
-    )
-] + [
-    _r("de-ordinal", False, r"(?<!\d)\d{1,2}\.", rf"\s+{MONTHS}\b"),
-    _r("de-century", False, r"(?<!\d)\d{1,2}\.", r"\s+Jahrhundert"),
+PERSONAL = ["Dr", "Mr", "Mrs", "Ms", "Prof", "St", "Rev", "Gen", "Capt", "Sgt", "Hon"]
+
+
+def _table(lang: str) -> list[Rule]:
+    starts = "|".join(STARTERS.get(lang, [r"(?!)"]))
+    out = [_r(f"{lang}-letter-then-start", True, r"(?<![\p{L}\p{M}\p{N}.])\p{L}\.", rf"\s+(?:{starts})\b(?!\.)")]
+    if lang == "en":
+        out.append(_r("en-title-then-start", True, rf"(?<![\p{{L}}])(?:{'|'.join(PERSONAL)})\.", rf"\s+(?:{starts})\b"))
+        out.append(_r("en-dotted-place", False, r"(?<![\p{L}.])(?:U\.S|U\.K|U\.N|E\.U)\.", rf"\s+(?!(?:{starts})\b)\S"))
+        out.append(_r("en-number-sign", False, r"(?<!\p{L})(?:item|room|ticket|invoice|order|page|line|case|see|file)\s+no\.", r"\s*\d"))
+    if lang in TITLES:
+        out.append(_never(lang, TITLES[lang], r"\s+(?!$)"))
+    if lang in NUMBERED:
+        out.append(_never(lang, NUMBERED[lang], r"\s*[\d०-९٠-٩IVX]"))
+    if lang == "de":
+        out.append(_r("de-ordinal", False, r"(?<!\d)\d{1,2}\.", rf"\s+{MONTHS}\b"))
+        out.append(_r("de-century", False, r"(?<!\d)\d{1,2}\.", r"\s+Jahrhundert"))
+    return out
+
+
+COMMON = [
     _r("letter-chain", False, r"(?<![\p{L}\p{M}\p{N}])\p{L}\.", r"\s?\p{L}\."),
     _r("initial", False, r"(?<![\p{L}\p{M}\p{N}.])\p{Lu}\.", r"\s+\p{Lu}"),
     _r("clock", True, r"\d\s?[ap]\.\s?m\.", r"\s+[\p{Lu}\p{Lo}\"“«¿¡(]"),
-    _r("dotted-place", False, r"(?<![\p{L}.])(?:U\.S|U\.K|U\.N|E\.U)\.", r"\s+(?!(?:The|A|An|It|We|I|You|They|He|She|This|That|There|Our|In|On|If|But|And|So|Please|Can|Could|What|Is|Will|Let|Nobody|Someone|Room|Ticket)\b)\S"),
 ]
 DEFAULTS = [
     _r("cjk-quote-goes-on", False, r"[。！？!?.…｡][»”“」』）)\]›’》\"']+", rf"(?:{CJK}|\p{{Hangul}}|[、，,：:；;])"),
@@ -91,9 +145,32 @@ DEFAULTS = [
     _r("lower", False, r".", r"[\s ]+[\"'“«(\[]*\p{Ll}"),
     _r("space", True, r"[.!?。！？؟।॥…][\s]?[»”“」』）)\]›’》\"']*", r"[\s ]"),
 ]
-TABLES = [*LAYOUT, *LANGUAGES, *DEFAULTS]
-#: The longest text before a candidate that any rule looks at.
-BACK = 24
+#: One cascade per language, and one for candidates that no abbreviation of any language ends at.
+TABLES = {lang: [*LAYOUT, *_table(lang), *COMMON, *DEFAULTS] for lang in ("en", "de", "fr", "es", "it", "pt", "ru", "ja", "ko", "zh", "ar", "hi")}
+PLAIN = [*LAYOUT, *COMMON, *DEFAULTS]
+_ALL = sorted({w for t in (TITLES, NUMBERED) for ws in t.values() for w in ws}, key=len, reverse=True)
+ABBREVIATED = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(regex.escape(w).replace(chr(92) + ' ', r'\s?') for w in _ALL)}|\p{{L}}|\d{{1,2}}|no|U\.S|U\.K|U\.N|E\.U)\.$")
+#: Rules look back over an abbreviation and one word before it; longer than the longest abbreviation by that.
+BACK = max(map(len, _ALL)) + 24
+
+
+_OWNERS: dict[str, list[str]] = {}
+for _t in (TITLES, NUMBERED):
+    for _lang, _ws in _t.items():
+        for _w in _ws:
+            _OWNERS.setdefault(_w.replace(" ", ""), []).append(_lang)
+
+
+def _local(line: str, ends: list[int], end: int, abbreviation: str) -> str:
+    """Language around a candidate: of the sentence it may end and of what follows up to the next mark; where that does not
+    tell, one of the languages that have the abbreviation, by the words of the sentence before or of the line."""
+    nxt = CAND.search(line, end)
+    near = telling(line[ends[-1] if ends else 0 : nxt.start() if nxt else len(line)])
+    if near:
+        return near
+    wide = telling(line[ends[-2] if len(ends) > 1 else 0 : end]) or telling(line) or "en"
+    owners = _OWNERS.get("".join(abbreviation[:-1].split()), [])
+    return wide if not owners or wide in owners else owners[0]
 
 
 def _spans(line: str) -> list[tuple[int, int]]:
@@ -158,7 +235,9 @@ def _line_ends(line: str) -> list[int]:
         text = line[max(0, end - BACK) : end]
         if end > BACK:
             text = "\u0001" + text  # keeps ^ off the cut
-        for rule in TABLES:
+        short = ABBREVIATED.search(text) if text[-1] == "." else None
+        rules = TABLES[_local(line, ends, end, short.group())] if short else PLAIN
+        for rule in rules:
             if rule.before.search(text) and rule.after.match(line, end):
                 if rule.breaks:
                     ends.append(end)

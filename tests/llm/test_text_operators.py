@@ -32,6 +32,15 @@ def test_sentences_joined_by_space(parts):
     assert units(" ".join(parts)) == parts
 
 
+def test_rules_are_those_of_the_language():
+    for text in ("We choose option D. Then we left.", "Call Me. Now we go.", "See plan M. We start.", "He took vitamin C. Then he slept.", "The answer was no. 3 people left.", "It ended at the St. Nobody came."):
+        assert len(units(text)) == 2, text
+    one = ["El informe lo firma D. Then hoy.", "Voir M. Vane demain avec nous.", "See room no. 3 for the plan.", "The U.S. Senate was there.", "Das macht Hr. Vane mit uns.", "The St. Corvin case is open."]
+    assert all(units(x) == [x] for x in one)
+    mixed = "Wir haben z. B. noch nichts. We choose option D. Then we left. Hr. Vane ist nicht da."
+    assert units(mixed) == ["Wir haben z. B. noch nichts.", "We choose option D.", "Then we left.", "Hr. Vane ist nicht da."]
+
+
 def test_scripts_without_spaces():
     parts = ["她说：“够了。我们停下来吧。”然后就离开了会议室。", "费用增加了17.95%，超出了估计。", "没有人相信合同会提前完成……", "那句“到底行不行？”他一直没有回答。"]
     assert units("".join(parts)) == parts
