@@ -1,17 +1,19 @@
 """Exact stretches of at least MIN_LENGTH characters that documents share.
 
-1. Content-defined chunking: a gear hash rolls over the text (16 characters of memory); a chunk ends where its value is
-   the smallest of some WINDOW neighbouring positions, so insertions shift chunks but do not change others. A chunk is
-   half as long as WINDOW on average; its digest covers it and the text before it up to REACH characters, since lines of
-   50 characters are common to most documents of this kind and 100 are not. Every window of 200 characters holds exactly
-   one smallest value among its last WINDOW positions, hence one chunk end with its REACH characters: its anchor, the
-   same in every document that holds the window.
-2. Chunks are deduplicated by digest; a digest of two documents is shared. A 200-character window can only be shared if
-   its anchor is. That leaves candidate ranges per document.
+1. Content-defined chunking: a gear hash rolls over the text (GEAR characters of memory); a cut point is where its value
+   is the smallest of some WINDOW neighbouring positions, so insertions shift cut points but do not change others. A chunk
+   runs from a cut point to the first one at least LEAST characters further, so chunks vary from LEAST to LEAST + WINDOW
+   characters (100 on average) and overlap: one begins at every cut point. Of the MIN_LENGTH - GEAR + 1 positions of a
+   window of MIN_LENGTH characters, the smallest of the first WINDOW begins a chunk that ends within the same window:
+   LEAST + 2 WINDOW fits. That chunk is the window's anchor, the same in every document that holds the window.
+2. Chunks are deduplicated by digest; a digest of two documents is shared. A window can only be shared if its anchor is.
+   That leaves candidate ranges per document.
 3. Exact check: of the candidate windows, those chosen by their own hash (1 in SAMPLE) are looked up first. Shared ones
    less than 200 characters apart cover everything between them, so only the windows between a shared and an unshared
-   (or no) neighbour are looked up in a second round. The union of shared windows is the result.
+   (or no) neighbour are looked up in a second round. The union of shared windows is the result. Windows are compared by
+   128 bits: their rolling hash and 64 bits of a BLAKE2 digest of the characters themselves.
 
+Texts are read twice: once for the digests, which are kept, and once for the texts of documents with shared digests.
 Look-ups aggregate min and max document per hash (combined before the shuffle) and semi-join back; hashes in a large
 part of all rows, of which there can be only few, are joined by broadcast, the others by shuffle. No pairs of documents
 are made and nothing is capped. Copies behave like any other stretch. Null texts, texts shorter than 200 characters and
@@ -20,6 +22,8 @@ tables of one document give no rows; a repeated doc_id is one document. Position
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +33,10 @@ from palaver.sources.checkpoints import cut
 from palaver.sources.tables import table
 
 MIN_LENGTH = 200
-GEAR = 16
-REACH = 100
-#: The chunk ends within a window of MIN_LENGTH whose REACH characters lie inside it.
-WINDOW = MIN_LENGTH - REACH + 1
+GEAR = 12
+WINDOW = 60
+#: A window of MIN_LENGTH has MIN_LENGTH - GEAR + 1 positions; the last WINDOW of them hold a cut point LEAST behind the first.
+LEAST = MIN_LENGTH - GEAR + 1 - 2 * WINDOW
 SAMPLE = 16
 #: A hash in more than 1 / HOT of all rows is hot; there are fewer than HOT of them.
 HOT = 1000
@@ -64,7 +68,7 @@ class Prints:
 
     def __init__(self, text: str):
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.n = len(code)
+        self.n, self.code = len(code), code
         self.gear = _mix(code.astype(U))
         up, self.down = _powers(self.n)
         self.prefix = np.concatenate([[U(0)], np.cumsum(self.gear * up[: self.n], dtype=U)])
@@ -74,34 +78,49 @@ class Prints:
         d = (self.prefix[hi] - self.prefix[lo]) * self.down[lo]
         return _mix(d ^ (hi - lo).astype(U)).view(np.int64)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last start of the windows of MIN_LENGTH with the same anchor, and the anchors (offsets of chunk ends)."""
-        if self.n < MIN_LENGTH:
-            z = np.zeros(0, np.int64)
-            return z, z, z
+    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every WINDOW positions its smallest (of equals the rightmost), and all cut points, as offsets of their last character."""
         h, step = self.gear, 1
-        while step < GEAR:  # h[i] = sum of gear[i - j] << 4 j over the last GEAR characters
-            nxt = h[step:] + (h[:-step] << U(4 * step))
-            h, step = nxt, 2 * step
-        h = h[REACH - GEAR :] >> U(24)  # h[0] belongs to offset REACH - 1
+        while step < GEAR:  # h[i] = sum of gear[i - j] << 5 j over the last GEAR characters
+            more = min(step, GEAR - step)
+            h, step = h[more:] + (h[:-more] << U(5 * more)), step + more
+        h = h >> U(24)  # h[0] belongs to offset GEAR - 1
         m = len(h)
-        # smallest value, of equals the rightmost, of every WINDOW positions (a block has less than 2^24 of them)
-        low, w = (h << U(24)) | (U((1 << 24) - 1) - np.arange(m, dtype=U)), 1
+        low, w = (h << U(24)) | (U((1 << 24) - 1) - np.arange(m, dtype=U)), 1  # a block has less than 2^24 positions
         while 2 * w <= WINDOW:
             low, w = np.minimum(low[: len(low) - w], low[w:]), 2 * w
         low = np.minimum(low[: m - WINDOW + 1], low[WINDOW - w :][: m - WINDOW + 1])
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        last = np.append(first[1:], len(low)) - 1
-        return first, last, (U((1 << 24) - 1) - (low[first] & U((1 << 24) - 1))).astype(np.int64) + REACH - 1
+        at = (U((1 << 24) - 1) - (low & U((1 << 24) - 1))).astype(np.int64) + GEAR - 1
+        return at, at[np.concatenate([[True], at[1:] != at[:-1]])]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last start of the windows of MIN_LENGTH with the same anchor, and begin and end of their chunks."""
+        if self.n < MIN_LENGTH:
+            z = np.zeros(0, np.int64)
+            return z, z, z, z
+        at, points = self.cuts()
+        p = at[: self.n - MIN_LENGTH + 1]  # the smallest of the window's first positions
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        last = np.append(first[1:], len(p)) - 1
+        begin = p[first]
+        end = points[np.searchsorted(points, begin + LEAST)]
+        return first, last, begin, end
 
     def chunks(self) -> np.ndarray:
-        """Digest of every anchor, in order."""
-        p = self.anchors()[2]
-        return self.digest(p + 1 - REACH, p + 1)
+        """Digest of the chunk of every anchor, in order."""
+        _, _, begin, end = self.anchors()
+        return self.digest(begin - GEAR + 1, end + 1)
 
     def windows(self, s: np.ndarray) -> np.ndarray:
         return self.digest(s, s + MIN_LENGTH)
 
+    def proof(self, s: np.ndarray) -> np.ndarray:
+        """64 bits of a digest of the characters of each window, independent of the rolling hash."""
+        raw, size = self.code.tobytes(), self.code.itemsize
+        return np.asarray(
+            [int.from_bytes(hashlib.blake2b(raw[x * size : (x + MIN_LENGTH) * size], digest_size=8).digest(), "little", signed=True) for x in s.tolist()], np.int64
+        )
+
 
 #: Texts beyond this length are taken in blocks that overlap by MIN_LENGTH - 1, so every window lies in one of them.
 BLOCK = 1 << 22
@@ -118,8 +137,8 @@ def _blocks(text: str):
 
 def _candidates(pr: Prints, shared: np.ndarray):
     """First start, last start, anchor and digest of the runs of windows whose anchor is shared."""
-    first, last, p = pr.anchors()
-    dig = pr.digest(p + 1 - REACH, p + 1)
+    first, last, p, end = pr.anchors()
+    dig = pr.digest(p - GEAR + 1, end + 1)
     ok = _member(dig, shared)
     return first[ok], last[ok], p[ok], dig[ok]
 
@@ -147,42 +166,51 @@ def _frame(columns: list[str], parts: list[tuple]) -> pd.DataFrame:
     )
 
 
-def shared_rows(rows: DataFrame) -> DataFrame:
-    """Those rows(h, doc_id, ...) whose h stands in another doc_id too."""
-    agg = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("k"))
-    known = cut(agg.where("lo < hi").select("h", "k"))
+def shared_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Those rows(keys, doc_id, ...) whose keys stand in another doc_id too. rows are read twice: give written ones."""
+    agg = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("k"))
+    known = cut(agg.where("lo < hi").select(*keys, "k"))
     total = known.agg(F.sum("k")).first()[0] or 0
     is_hot = F.col("k") > total / HOT  # so fewer than HOT hashes, whatever the size of the table
-    hot = known.where(is_hot).select("h")
-    rest = known.where(~is_hot).select("h")
-    return rows.join(F.broadcast(hot), "h", "left_semi").unionByName(
-        rows.join(F.broadcast(hot), "h", "left_anti").join(rest, "h", "left_semi")
+    hot = known.where(is_hot).select(*keys)
+    rest = known.where(~is_hot).select(*keys)
+    return rows.join(F.broadcast(hot), keys, "left_semi").unionByName(
+        rows.join(F.broadcast(hot), keys, "left_anti").join(rest, keys, "left_semi")
     )
 
 
-#: Bits of the filter that thins out texts before they are shuffled: 1 MB, whatever the number of documents.
-FILTER_BITS = 1 << 23
+#: Bits of the filter for each document to be kept (one in so many of the others passes by chance), and the least and most
+#: it may have: 32 MB. Beyond 16 million kept documents more of the others pass, at worst all: one shuffle of the texts.
+BITS_PER_DOC = 16
+FILTER_BITS = (1 << 20, 1 << 28)
+PIECE = 1 << 19
 
 
 def _thin(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most of those that are not in ids(doc_id). A filter of fixed size: with very many ids it lets more
-    documents through, never fewer, and the join behind it decides."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = (
-        ids.select(bit.alias("b"))
-        .groupBy((F.col("b") / 64).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-        .collect()  # at most FILTER_BITS / 64 rows
-    )
-    table_ = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words:
-        table_[r.w] = r.v
+    """docs without most of those that are not in ids(doc_id). The filter is sized by the number of ids up to a bound; the
+    join behind it decides."""
+    want = ids.count() * BITS_PER_DOC
+    bits = FILTER_BITS[0]
+    while bits < min(want, FILTER_BITS[1]):
+        bits *= 2
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+
+    def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(PIECE // 8, np.uint8)
+        at = pdf["b"].to_numpy() % PIECE
+        np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "own": [own.tobytes()]})
+
+    parts = ids.select(bit.alias("b")).distinct().withColumn("piece", (F.col("b") / PIECE).cast("int")).groupBy("piece").applyInPandas(pieces, "piece int, own binary")
+    table_ = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():  # at most 512 pieces of 64 KB
+        table_[r.piece * (PIECE // 8) : (r.piece + 1) * (PIECE // 8)] = np.frombuffer(bytes(r.own), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(table_)
 
     @F.pandas_udf("boolean")
     def maybe(b: pd.Series) -> pd.Series:
         x = b.to_numpy()
-        return pd.Series((shared.value[x >> 6].view(np.uint64) >> (x & 63).astype(U)) & U(1) == 1)
+        return pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
 
     return docs.where(maybe(bit))
 
@@ -200,9 +228,9 @@ def covered(docs: DataFrame) -> DataFrame:
                     out.append((h, i))
             yield _frame(["h", "doc_id"], out)
 
-    flagged = shared_rows(docs.mapInPandas(chunk, "h long, doc_id long"))
-    flags = cut(flagged.groupBy("doc_id").agg(F.collect_list("h").alias("hs")))
-    few = _thin(docs, flags)
+    digests = cut(docs.mapInPandas(chunk, "h long, doc_id long"))
+    flags = cut(shared_rows(digests, ["h"]).groupBy("doc_id").agg(F.collect_set("h").alias("hs")))  # digests of one text
+    few = cut(_thin(docs, flags).join(flags, "doc_id"))
 
     def look(batches):
         for b in batches:
@@ -216,12 +244,12 @@ def covered(docs: DataFrame) -> DataFrame:
                     s = _each(first_, last_)
                     d = pr.windows(s)
                     pick = (d & (SAMPLE - 1)) == 0
-                    out.append((i, s[pick] + at, -1, d[pick], 0))
-                    out.append((i, first_ + at, last_ + at, dig, p - first_))
-            yield _frame(["doc_id", "s", "e", "h", "rel"], out)
+                    out.append((i, s[pick] + at, -1, d[pick], 0, pr.proof(s[pick])))
+                    out.append((i, first_ + at, last_ + at, dig, p - first_, 0))
+            yield _frame(["doc_id", "s", "e", "h", "rel", "proof"], out)
 
-    first = cut(few.join(flags, "doc_id").mapInPandas(look, "doc_id long, s int, e int, h long, rel int"))
-    hits = cut(shared_rows(first.where("e < 0").select("h", "doc_id", "s")).select("doc_id", "s"))
+    first = cut(few.mapInPandas(look, "doc_id long, s int, e int, h long, rel int, proof long"))
+    hits = cut(shared_rows(first.where("e < 0").select("h", "proof", "doc_id", "s"), ["h", "proof"]).select("doc_id", "s"))
 
     # windows to look up one by one: candidates that do not lie between two shared samples. Another document may hold
     # the same window where it need not ask itself, so questions are put by anchor: (digest, distance of its begin)
@@ -273,11 +301,11 @@ def covered(docs: DataFrame) -> DataFrame:
                         s = np.concatenate(spots)
                         d = pr.windows(s)
                         keep = (d & (SAMPLE - 1)) != 0
-                        out.append((d[keep], i, s[keep] + at))
-            yield _frame(["h", "doc_id", "s"], out)
+                        out.append((d[keep], i, s[keep] + at, pr.proof(s[keep])))
+            yield _frame(["h", "doc_id", "s", "proof"], out)
 
-    second = cut(few.join(answers, "doc_id").mapInPandas(answer, "h long, doc_id long, s int"))
-    more = shared_rows(second).select("doc_id", "s")
+    second = cut(few.drop("hs").join(answers, "doc_id").mapInPandas(answer, "h long, doc_id long, s int, proof long"))
+    more = shared_rows(second, ["h", "proof"]).select("doc_id", "s")
 
     @F.pandas_udf("array<struct<begin_at:int,end_at:int>>")
     def merge(starts: pd.Series) -> pd.Series:

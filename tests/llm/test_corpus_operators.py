@@ -214,5 +214,26 @@ def _small_blocks(monkeypatch, text):
 
 def test_hot_hash_is_complete(spark):
     rows = spark.createDataFrame([(7, i, i) for i in range(5000)] + [(i + 100, i % 2, 0) for i in range(50)] + [(9, 1, 0), (9, 2, 0)], "h long, doc_id long, s int")
-    got = spans.shared_rows(rows).groupBy("h").agg(F.count("*").alias("n")).collect()
+    got = spans.shared_rows(rows, ["h"]).groupBy("h").agg(F.count("*").alias("n")).collect()
     assert {r.h: r.n for r in got} == {7: 5000, 9: 2}
+
+
+def test_chunks_vary_and_lie_in_their_windows():
+    """Each window holds the chunk of its anchor, and the same window elsewhere has the same one."""
+    import numpy as np
+
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdef ghij\n") for _ in range(3000))
+    first, last, begin, end = spans.Prints(text).anchors()
+    assert first[0] == 0 and last[-1] == 3000 - spans.MIN_LENGTH and (first[1:] == last[:-1] + 1).all()
+    assert (begin - spans.GEAR + 1 >= last).all() and (end < first + spans.MIN_LENGTH).all()
+    assert len(set((end - begin).tolist())) > 20 and (end - begin).min() >= spans.LEAST
+    other = spans.Prints("zz" * 90 + text[500:1500] + "yy" * 90)
+    mine = spans.Prints(text).digest(begin - spans.GEAR + 1, end + 1)
+    inside = (first >= 500) & (last <= 1500 - spans.MIN_LENGTH)
+    assert np.isin(mine[inside], other.chunks()).all()
+
+
+def test_windows_of_equal_rolling_hash_are_told_apart(spark):
+    rows = spark.createDataFrame([(7, 1, 1), (7, 1, 2), (7, 2, 3), (8, 1, 1)], "h long, proof long, doc_id long")
+    assert sorted(r.doc_id for r in spans.shared_rows(rows, ["h", "proof"]).collect()) == [1, 2]
