@@ -147,7 +147,7 @@ DEFAULTS = [
 ]
 #: One cascade per language, and one for candidates that no abbreviation of any language ends at.
 TABLES = {lang: [*LAYOUT, *_table(lang), *COMMON, *DEFAULTS] for lang in ("en", "de", "fr", "es", "it", "pt", "ru", "ja", "ko", "zh", "ar", "hi")}
-PLAIN = [*LAYOUT, *COMMON, *DEFAULTS]
+PLAIN = DEFAULTS
 _ALL = sorted({w for t in (TITLES, NUMBERED) for ws in t.values() for w in ws}, key=len, reverse=True)
 ABBREVIATED = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(regex.escape(w).replace(chr(92) + ' ', r'\s?') for w in _ALL)}|\p{{L}}|\d{{1,2}}|no|U\.S|U\.K|U\.N|E\.U)\.$")
 #: Rules look back over an abbreviation and one word before it; longer than the longest abbreviation by that.
@@ -236,6 +236,14 @@ def _line_ends(line: str) -> list[int]:
         if end > BACK:
             text = "\u0001" + text  # keeps ^ off the cut
         short = ABBREVIATED.search(text) if text[-1] == "." else None
+        if not short and nxt == " " and m.group() in (".", "!", "?"):
+            # what the default tables decide for a plain mark before a word
+            c = line[end + 1 : end + 2]
+            if c.isalnum():
+                if not c.islower():
+                    ends.append(end)
+                    begin = end
+                continue
         rules = TABLES[_local(line, ends, end, short.group())] if short else PLAIN
         for rule in rules:
             if rule.before.search(text) and rule.after.match(line, end):
