@@ -47,12 +47,16 @@ ROLE = regex.compile(r"\s*[(\[][^()\[\]]*[)\]]\s*$")
 NAME_TOKEN = regex.compile(r"[\p{L}][\p{L}\p{M}'’.\-]*$")
 
 
+BRACKETED = regex.compile(rf"\[?\(?(?<!\d){TIME}(?!\d)\)?\]?")
+SPECIAL = regex.compile(r"[\[(<*♪♫♬#{]|\d:\d")
+
+
 def has_speech(text: str | None) -> bool:
     """Whether something remains besides notes, times and hesitation sounds."""
     if not text:
         return False
-    rest = NOTE.sub(" ", pat(rf"\[?\(?(?<!\d){TIME}(?!\d)\)?\]?").sub(" ", text)) if text.strip() else ""
-    return any(w.casefold().strip("'’-") not in HESITATIONS for w in WORD.findall(rest))
+    rest = NOTE.sub(" ", BRACKETED.sub(" ", text)) if SPECIAL.search(text) else text
+    return any(m.group().casefold().strip("'’-") not in HESITATIONS for m in WORD.finditer(rest))
 
 
 def fold(name: str) -> str:
@@ -534,14 +538,14 @@ def fold_turns(rows: DataFrame) -> DataFrame:
 
 
 def cue_turns(cues: DataFrame) -> DataFrame:
-    labelled = label_cues(cues)
+    labelled = cut(label_cues(cues))  # read for the spellings and for the turns
     who = speaker_map(labelled).drop("name")
     return fold_turns(labelled.join(who, ["meeting_id", "label"], "left").select("meeting_id", "at", "pos", "who"))
 
 
 def spoken_cue_turns(cues: DataFrame) -> DataFrame:
     """cues -> turns(meeting_id, first_no, last_no, begins, speaker, said)."""
-    labelled = label_cues(cues, True)
+    labelled = cut(label_cues(cues, True))
     who = cut(speaker_map(labelled))
     turns = fold_turns(labelled.join(who.drop("name"), ["meeting_id", "label"], "left").select("meeting_id", "at", "pos", "who", "said"))
     names = who.select("meeting_id", "who", F.col("name").alias("speaker")).distinct()
