@@ -97,8 +97,11 @@ TITLE = regex.compile(
     rf"(?<![{CASED}])(?:{'|'.join(regex.escape(x) for x in sorted(TITLE_WORDS, key=len, reverse=True))})\.?\s"
     rf"((?:\p{{Lu}}\.\s)?{CAP}(?:\s(?:\p{{Lu}}\.\s)?{CAP})?){EDGE_R}"
 )
+LATIN_CAP = _cap("Latin")
+OTHER_CASED = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 UNIT = regex.compile(rf"{CAP}|\p{{Lu}}\.")
 RUN = regex.compile(rf"{EDGE_L}(?<!P\.)(?:{CAP}|\p{{Lu}}\.)(?:\s(?:{CAP}|\p{{Lu}}\.)|(?<=\.){CAP})*{EDGE_R}")
+LATIN_RUN = regex.compile(rf"{EDGE_L}(?<!P\.)(?:{LATIN_CAP}|\p{{Lu}}\.)(?:\s(?:{LATIN_CAP}|\p{{Lu}}\.)|(?<=\.){LATIN_CAP})*{EDGE_R}")
 NO_FAMILY = {"Box", "Apt", "Street", "Avenue", "Road", "Lane"}
 # Capitalised words that may follow a given name without being a family name.
 STOP = set("""The A An I It We You He She They Is Are Was Will Can Could Should Has Have And Or But So If In On At For From To Of With Who What When
@@ -111,6 +114,8 @@ def _strip_accents(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).replace("ø", "o").replace("Ø", "O")
 
 
+SPELLED = regex.compile(rf"(?<![a-z])(?:{DIGITS})[ \-,]+(?:{DIGITS})[ \-,]+(?:{DIGITS})")
+FRENCH_STREET = regex.compile(r"\d(?:\s(?:bis|ter))?,?\s(?:rue|av|boul|bd|place|chem|all|quai|imp|cours)")
 STREET = regex.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)\s\d")
 
 
@@ -193,7 +198,7 @@ def _names(text: str, taken: bytearray, out: list, given: frozenset) -> None:
             continue
         add(a, a + len(words[0]) if len(words) > 1 and words[-1] in STOP else b)
     low: set[str] | None = None
-    for run in RUN.finditer(text):
+    for run in (RUN if OTHER_CASED.search(text) else LATIN_RUN).finditer(text):
         g = run.group()
         if g not in given and (g in STOP or g in NO_PERSON):
             continue
@@ -324,13 +329,13 @@ def find(text: str | None, is_name_field: bool = False, given: frozenset = froze
     taken, out = bytearray(len(text)), []
     low = text.lower()
     digits = pat(r"\d").search(text) is not None
-    spelled = pat(rf"(?:(?:{DIGITS})[ \-,]+){{2}}").search(low) is not None
+    spelled = SPELLED.search(low) is not None
     # each detector runs where what it cannot do without is there
     for rx, needs in zip(EMAIL, ("@" in text, pat(r"[\[({]\s?at\s?[\])}]").search(low), " dot " in low), strict=True):
         if needs:
             _take(rx, text, taken, out, "email")
     if digits:
-        for rx, needs in zip(ADDRESS, ("box" in low, True, True, STREET.search(low), True, "." in low or "ул" in low), strict=True):
+        for rx, needs in zip(ADDRESS, ("box" in low, True, FRENCH_STREET.search(low), STREET.search(low), True, "." in low or "ул" in low), strict=True):
             if needs:
                 _take(rx, text, taken, out, "address", given)
         for rx in ID:
