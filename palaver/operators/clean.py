@@ -49,44 +49,52 @@ class CleaningConfig:
         return replace(self, **changes)
 
 
+def steps(cfg: CleaningConfig, anchor: Column | str | None = None) -> list[tuple[str, object, str | None, object]]:
+    """The rewrites that are on, in order: (name, rewrite, counter's name, counter). Dates need an anchor to be read against."""
+    every = [
+        ("timestamps", cfg.remove_timestamps, T.clean_timestamps, "timestamps_removed", lambda x: T.count_removed(x, R.TIMESTAMPS)),
+        ("noise", cfg.remove_diarization_noise, T.clean_noise, "diarization_noise_removed", lambda x: T.count_removed(x, R.NOISE)),
+        ("artifacts", cfg.fix_speech_artifacts, T.clean_artifacts, "artifacts_removed", lambda x: T.count_removed(x, R.ARTIFACTS)),
+        ("fillers", cfg.remove_filler_words, T.clean_fillers, "filler_words_removed", lambda x: T.count_removed(x, [T.FILLER])),
+        ("repetitions", cfg.remove_repetitions, T.collapse_repetitions, "repetitions_fixed", T.count_repetitions),
+        ("numbers", cfg.normalize_numbers, T.spelled_numbers, None, None),
+        ("ordinals", cfg.normalize_numbers, T.ordinals, None, None),
+        ("dates", cfg.normalize_dates and anchor is not None, lambda x: D.normalize_in_text(x, anchor), None, None),
+        ("punctuation", cfg.standardize_punctuation, T.punctuation_spacing, None, None),
+        ("ascii", cfg.remove_non_ascii, T.ascii_cleanup, None, None),
+    ]
+    return [(name, step, counter, count) for name, on, step, counter, count in every if on]
+
+
+COUNTERS = ["timestamps_removed", "diarization_noise_removed", "artifacts_removed", "filler_words_removed", "repetitions_fixed"]
+
+
 def clean_text(c: Column | str, cfg: CleaningConfig = CleaningConfig(), anchor: Column | str | None = None) -> Column:
     """The cleaned text alone. Dates are normalised where an anchor is given to read them against."""
     x = T.col(c)
-    for on, step in (
-        (cfg.remove_timestamps, T.clean_timestamps),
-        (cfg.remove_diarization_noise, T.clean_noise),
-        (cfg.fix_speech_artifacts, T.clean_artifacts),
-        (cfg.remove_filler_words, T.clean_fillers),
-        (cfg.remove_repetitions, T.collapse_repetitions),
-        (cfg.normalize_numbers, T.spelled_numbers),
-        (cfg.normalize_numbers, T.ordinals),
-        (cfg.normalize_dates and anchor is not None, lambda x: D.normalize_in_text(x, anchor)),
-        (cfg.standardize_punctuation, T.punctuation_spacing),
-        (cfg.remove_non_ascii, T.ascii_cleanup),
-    ):
-        x = step(x) if on else x
+    for _, step, *_ in steps(cfg, anchor):
+        x = step(x)
     return T.trim_ws(F.regexp_replace(x, rf"{R.WS}+", " "))
 
 
-def clean(df: DataFrame, text_col: str, cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
-    """df plus cleaned_text, sentence_list, original_length, cleaned_length, compression_ratio, removal counts and notes."""
+def clean(df: DataFrame, text_col: str, cfg: CleaningConfig = CleaningConfig(), anchor: Column | str | None = None) -> DataFrame:
+    """df plus cleaned_text, sentence_list, original_length, cleaned_length, compression_ratio, removal counts and notes.
+
+    Every rewrite is a projection of its own, so that the text before it serves both the rewrite and its counter.
+    """
     t = F.col(text_col)
-    a = T.clean_timestamps(t) if cfg.remove_timestamps else t
-    b = T.clean_noise(a) if cfg.remove_diarization_noise else a
-    c = T.clean_artifacts(b) if cfg.fix_speech_artifacts else b
-    d = T.clean_fillers(c) if cfg.remove_filler_words else c
-    zero = F.lit(0)
-    out = df.withColumns(
+    out, counted = df.withColumn("_text", t), {}
+    for _, step, counter, count in steps(cfg, anchor):
+        if counter:
+            out, counted[counter] = out.withColumn(counter, count(F.col("_text"))), True
+        out = out.withColumn("_text", step(F.col("_text")))
+    out = out.withColumns(
         {
-            "cleaned_text": F.when(T.trim_ws(t) == "", "").otherwise(clean_text(t, cfg)),
+            "cleaned_text": F.when(T.trim_ws(t) == "", "").otherwise(T.trim_ws(F.regexp_replace("_text", rf"{R.WS}+", " "))),
             "original_length": F.length(t),
-            "timestamps_removed": T.count_removed(t, R.TIMESTAMPS) if cfg.remove_timestamps else zero,
-            "diarization_noise_removed": T.count_removed(a, R.NOISE) if cfg.remove_diarization_noise else zero,
-            "artifacts_removed": T.count_removed(b, R.ARTIFACTS) if cfg.fix_speech_artifacts else zero,
-            "filler_words_removed": T.count_removed(c, [T.FILLER]) if cfg.remove_filler_words else zero,
-            "repetitions_fixed": T.count_repetitions(d) if cfg.remove_repetitions else zero,
+            **{c: F.lit(0) for c in COUNTERS if c not in counted},
         }
-    )
+    ).drop("_text")
     out = out.withColumns(
         {
             "sentence_list": T.long_sentences("cleaned_text", cfg.min_sentence_length),
@@ -108,11 +116,11 @@ def notes(text_col: str) -> Column:
     )
 
 
-def output(df: DataFrame, text_col: str, fmt: str = "structured", cfg: CleaningConfig = CleaningConfig()) -> DataFrame:
+def output(df: DataFrame, text_col: str, fmt: str = "structured", cfg: CleaningConfig = CleaningConfig(), anchor: Column | str | None = None) -> DataFrame:
     """One of OUTPUT_FORMATS; an unknown one means structured."""
     from palaver.operators.sentences import speaker_segments
 
-    done = clean(df, text_col, cfg)
+    done = clean(df, text_col, cfg, anchor)
     if fmt == "raw_text":
         return done.select(*df.columns, "cleaned_text")
     if fmt == "sentence_list":

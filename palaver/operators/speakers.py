@@ -24,10 +24,14 @@ def contributions(segments: DataFrame, keys: list[str] | None = None, order: str
     per = segments.groupBy(*keys, "speaker").agg(
         F.sum(F.coalesce(T.word_count("text"), F.lit(0))).alias("word_count"), F.count("*").alias("segment_count"), *first
     )
-    total = F.sum("word_count").over(Window.partitionBy(*keys))
+    if keys:
+        total = F.sum("word_count").over(Window.partitionBy(*keys))
+    else:  # one row, joined to every speaker; a window without keys would hold them all in one task
+        one = segments.agg(F.sum(F.coalesce(T.word_count("text"), F.lit(0))).alias("_total"), F.lit(1).alias("_one"))
+        per, total = per.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one"), F.col("_total")
     return per.withColumn("avg_words_per_segment", F.round(F.col("word_count") / F.col("segment_count"), 4)).withColumn(
         "contribution_percentage", F.round(100.0 * F.col("word_count") / F.greatest(total, F.lit(1)), 4)
-    )
+    ).drop("_total")
 
 
 def most_active(segments: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -155,11 +159,18 @@ def words_to_speakers(words: DataFrame, turns: DataFrame, keys: list[str], bin_s
 
 
 def summary_lines(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, summary: a header and one ranked line per speaker."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("talk_time_seconds"), "speaker_id")
-    share = 100.0 * F.col("word_count") / F.sum("word_count").over(Window.partitionBy(*keys))
-    line = F.format_string("%s: %d words (%.1f%%), %.1f seconds", "speaker_id", "word_count", share, F.col("talk_time_seconds").cast("double"))
-    lines = stats.withColumn("rank", F.row_number().over(w)).withColumn("line", line)
+    """stats(keys, speaker_id, word_count, talk_time_seconds) -> keys, summary: a header and one line per speaker, by talk time.
+
+    Share and seconds have one decimal, rounded half up from whole words and milliseconds, so that they are exact.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc("_ms"), "speaker_id")
+    s = stats.withColumn("_ms", F.round(F.coalesce("talk_time_seconds", F.lit(0.0)) * 1000).cast("long"))
+    total = F.sum("word_count").over(Window.partitionBy(*keys))
+    tenths = F.floor((2000 * F.col("word_count") + total) / F.nullif(2 * total, F.lit(0))).cast("long")
+    one = lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+    seconds = F.floor((F.col("_ms") + 50) / 100).cast("long")
+    line = F.concat("speaker_id", F.lit(": "), F.col("word_count").cast("string"), F.lit(" words ("), one(F.coalesce(tenths, F.lit(0))), F.lit("%), "), one(seconds), F.lit(" seconds"))
+    lines = s.withColumn("rank", F.row_number().over(w)).withColumn("line", line)
     return lines.groupBy(*keys).agg(
         F.concat(
             F.lit("Speaker summary\n"),

@@ -32,28 +32,41 @@ TOKEN = rf"({R.WORD}{{2,}})"
 
 
 def sentence_scores(sents: DataFrame, keys: list[str]) -> DataFrame:
-    """sents(keys, sent_no, sentence) -> keys, sent_no, sentence, n (sentences of the text), score (0 without tokens)."""
+    """sents(keys, sent_no, sentence) -> keys, sent_no, sentence, n (sentences of the text), score (0 without tokens).
+
+    One shuffle brings the sentences of a text together; counts, norms and the centroid are windows within it.
+    """
     stop = F.array(*[F.lit(w) for w in R.STOP_WORDS])
     toks = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit(TOKEN), F.lit(1)), lambda t: ~F.array_contains(stop, t))
-    sizes = sents.groupBy(*keys).agg(F.count("*").alias("n"))
-    tf = sents.select(*keys, "sent_no", F.explode(toks).alias("tok")).groupBy(*keys, "sent_no", "tok").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*keys, "tok").agg(F.count("*").alias("df"))
-    w = (
-        tf.join(df, [*keys, "tok"])
-        .join(sizes, keys)
-        .withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0))
-    )
-    norm = w.groupBy(*keys, "sent_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = w.join(norm, [*keys, "sent_no"]).withColumn("u", F.col("w") / F.col("norm"))
-    centroid = unit.groupBy(*keys, "tok").agg(F.sum("u").alias("c"))
-    score = (
-        unit.join(centroid, [*keys, "tok"])
-        .groupBy(*keys, "sent_no")
-        .agg((F.sum(F.col("u") * F.col("c")) / F.max("n")).alias("s"))
-    )
-    return sents.join(sizes, keys).join(score, [*keys, "sent_no"], "left").select(
-        *keys, "sent_no", "sentence", "n", F.round(F.coalesce("s", F.lit(0.0)), 10).alias("score")
+    own = sents.repartition(*keys).select(*keys, "sent_no", "sentence", F.count("*").over(Window.partitionBy(*keys)).alias("n"), toks.alias("_toks"))
+    # the sentence stays on the row of its first token
+    rows = own.select(*keys, "sent_no", "n", "sentence", F.posexplode_outer("_toks").alias("_at", "tok")).withColumn("sentence", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("sentence")))
+    tf = rows.groupBy(*keys, "sent_no", "tok").agg(F.count("tok").alias("tf"), F.max("sentence").alias("sentence"), F.max("n").alias("n"))
+    by_tok, by_sent = Window.partitionBy(*keys, "tok"), Window.partitionBy(*keys, "sent_no")
+    w = tf.withColumn("_df", F.count("*").over(by_tok)).withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("_df"))) + 1.0))
+    unit = w.withColumn("u", F.col("w") / F.nullif(F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_sent)), F.lit(0.0))).withColumn("c", F.sum("u").over(by_tok))
+    score = unit.groupBy(*keys, "sent_no").agg(
+        F.max("sentence").alias("sentence"), F.max("n").alias("n"), (F.sum(F.when(F.col("tok").isNotNull(), F.col("u") * F.col("c"))) / F.max("n")).alias("s")
     )
+    return score.select(*keys, "sent_no", "sentence", "n", F.round(F.coalesce("s", F.lit(0.0)), 10).alias("score"))
+
+
+def centrality(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """vectors plus centrality: mean cosine of a row's vector with all of its group, v . sum(v) / n for unit vectors.
+
+    The sums of a group are made before the shuffle (as many rows as a vector has places); rows only meet their group's
+    centroid. A null, empty or zero vector has centrality null and counts for nothing.
+    """
+    v = F.col(vector).cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = vectors.withColumn("_u", F.when(norm > 0, F.transform(v, lambda x: x / norm)))
+    c = (
+        unit.where("_u is not null").select(*keys, F.posexplode("_u").alias("_i", "_x"))
+        .groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.count("*").alias("_k"))
+        .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("_c"), F.max("_k").alias("_k"))
+    )
+    dot = F.aggregate(F.zip_with("_u", "_c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return unit.join(c, keys, "left").withColumn("centrality", dot / F.col("_k")).drop("_u", "_c", "_k")
 
 
 def key_sentences(scored: DataFrame, keys: list[str], ratio: float = 0.3) -> DataFrame:

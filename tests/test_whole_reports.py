@@ -73,7 +73,7 @@ def test_json_has_analytics_and_segments(spark):
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_speaker_lines_hold_their_figures(spark):
-    for r in catalog.QUERIES["speaker_summary_full"](spark, DIR).collect():
+    for r in catalog.QUERIES["speaker_summary"](spark, DIR).collect():
         lines = r.summary.split("\n")
         assert lines[0] == "Speaker summary" and len(lines) > 1
         assert all(re.search(r": [0-9]+ words \([0-9.]+%\), [0-9.]+ seconds$", x) for x in lines[1:])
