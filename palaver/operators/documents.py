@@ -117,9 +117,53 @@ def bar_chart(rows: DataFrame, keys: list[str], label: str, value: str, title: s
     )
 
 
+# Colours of slices in turn, per visual style.
+PALETTES = {
+    "professional": ["#2e86ab", "#a23b72", "#f18f01", "#c73e1d", "#5c8001"],
+    "modern": ["#264653", "#2a9d8f", "#e9c46a", "#f4a261", "#e76f51"],
+    "colorful": ["#e63946", "#f1a208", "#06a77d", "#005377", "#8e44ad"],
+}
+
+
+def visual_styles() -> list[str]:
+    return list(PALETTES)
+
+
+def pie_chart(rows: DataFrame, keys: list[str], label: str, value: str, title: str, style: str = "professional") -> DataFrame:
+    """keys, svg: a slice for every row with a value above zero, the largest first, with its share; none gives no row. An unknown style means professional."""
+    colours = F.array(*[F.lit(c) for c in PALETTES.get(style, PALETTES["professional"])])
+    w = Window.partitionBy(*keys).orderBy(F.desc(value), label)
+    some = rows.where(F.col(value) > 0).select(*keys, F.coalesce(F.col(label), F.lit("Unknown")).alias("_l"), F.col(value).cast("double").alias("_v"), F.row_number().over(w).alias("_r"))
+    every = Window.partitionBy(*keys)
+    some = some.withColumn("_share", F.col("_v") / F.sum("_v").over(every))
+    some = some.withColumn("_to", F.sum("_share").over(every.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda share, f: F.round(f(share * 2 * 3.141592653589793) * 100, 2).cast("string")
+    begin = F.col("_to") - F.col("_share")
+    colour = F.element_at(colours, ((F.col("_r") - 1) % F.size(colours) + 1).cast("int"))
+    slice_ = F.when(
+        F.col("_share") > 0.99999, F.concat(F.lit('<circle cx="0" cy="0" r="100" fill="'), colour, F.lit('"/>'))
+    ).otherwise(
+        F.concat(
+            F.lit('<path d="M0 0 L'), at(begin, F.cos), F.lit(" "), at(begin, F.sin), F.lit(" A100 100 0 "), F.when(F.col("_share") > 0.5, "1").otherwise("0"),
+            F.lit(" 1 "), at(F.col("_to"), F.cos), F.lit(" "), at(F.col("_to"), F.sin), F.lit(' Z" fill="'), colour, F.lit('"/>'),
+        )
+    )
+    y = (22 * F.col("_r") - 110).cast("string")
+    note = F.concat(F.lit('<text x="120" y="'), y, F.lit('">'), report.escape(F.col("_l")), F.format_string(" %.1f%%", 100.0 * F.col("_share")), F.lit("</text>"))
+    g = some.withColumn("_x", F.concat(slice_, note)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "_x"))).alias("b"))
+    return g.select(
+        *keys,
+        F.concat(
+            F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="-110 -130 420 240"><text x="-100" y="-112">{escape(title)}</text>'),
+            F.array_join(F.transform("b", lambda x: x["_x"]), ""), F.lit("</svg>"),
+        ).alias("svg"),
+    )
+
+
 def dashboard(segments: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, html: speakers and priorities as bars, and the first ten actions, each cut for display."""
+    """keys, html: speakers as bars and slices, priorities as bars, and the first ten actions, each cut for display."""
     a = bar_chart(speakers.contributions(segments, keys), keys, "speaker", "word_count", "Words by speaker").withColumnRenamed("svg", "_s")
+    pie = pie_chart(speakers.contributions(segments, keys), keys, "speaker", "word_count", "Speaker Contribution Distribution").withColumnRenamed("svg", "_pie")
     p = actions.groupBy(*keys, F.coalesce("priority", F.lit("unspecified")).alias("priority")).agg(F.count("*").alias("n"))
     b = bar_chart(p, keys, "priority", "n", "Actions by priority").withColumnRenamed("svg", "_p")
     top = actions.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where("_r <= 10")
@@ -127,7 +171,7 @@ def dashboard(segments: DataFrame, actions: DataFrame, keys: list[str]) -> DataF
     t = top.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", row.alias("x")))), lambda x: x["x"]), "").alias("_t"))
     empty = lambda c: F.coalesce(c, F.lit(""))
     return (
-        a.join(b, keys, "full").join(t, keys, "full").select(*keys, F.concat(empty("_s"), empty("_p"), F.lit("<table>"), empty("_t"), F.lit("</table>")).alias("html"))
+        a.join(pie, keys, "left").join(b, keys, "full").join(t, keys, "full").select(*keys, F.concat(empty("_s"), empty("_pie"), empty("_p"), F.lit("<table>"), empty("_t"), F.lit("</table>")).alias("html"))
     )
 
 

@@ -15,7 +15,8 @@ from palaver.operators import speakers
 
 RULE = "-" * 50
 SYMBOLS = {"high": "🔴", "medium": "🟡", "low": "🟢", "unspecified": "⚪"}
-EXTENSIONS = {"txt": "text/plain", "json": "application/json", "html": "text/html", "parquet": "application/octet-stream"}
+EXTENSIONS = {"txt": "text/plain", "json": "application/json", "html": "text/html", "parquet": "application/octet-stream", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
+FORMATS = ["txt", "json", "html", "docx", "pdf"]
 TRANSCRIPT_CAP = 50_000
 
 
@@ -223,7 +224,7 @@ def file_name(at: Column, ext: str) -> Column:
 
 def write_reports(reports: DataFrame, path: str, fmt: str = "txt") -> None:
     """One row per meeting into the folder; txt and html as text lines of JSON-free content, json as text, parquet as is."""
-    if fmt not in EXTENSIONS:
+    if fmt not in ("txt", "json", "html", "parquet"):
         raise ValueError(f"unknown format {fmt!r}")
     if fmt == "parquet":
         reports.write.mode("errorifexists").parquet(path)
@@ -253,13 +254,20 @@ def document_lines(reports: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def generate_report(joined: DataFrame, keys: list[str], fmt: str, at: Column) -> DataFrame:
-    """keys, success, format, content, filename, mime_type; an unknown format means txt, a null content no success."""
-    fmt = fmt if fmt in ("txt", "json", "html") else "txt"
+    """keys, success, format, content, filename, mime_type; an unknown format means txt, a null content no success.
+
+    The bytes of docx and pdf are in base64.
+    """
+    from palaver.operators import documents
+
+    fmt = fmt if fmt in FORMATS else "txt"
     if fmt == "json":
         r = json_report(joined, keys, at)
     else:
         r = text_report(joined, keys, at)
         r = html_report(r, keys) if fmt == "html" else r
+    if fmt in ("docx", "pdf"):
+        r = documents.render(r, keys, fmt).select(*keys, F.base64("content").alias("report"))
     return r.select(
         *keys,
         F.col("report").isNotNull().alias("success"),
@@ -268,3 +276,7 @@ def generate_report(joined: DataFrame, keys: list[str], fmt: str, at: Column) ->
         file_name(at, fmt).alias("filename"),
         F.lit(EXTENSIONS[fmt]).alias("mime_type"),
     )
+
+
+def available_formats() -> list[str]:
+    return list(FORMATS)

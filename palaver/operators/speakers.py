@@ -177,3 +177,29 @@ def summary_lines(stats: DataFrame, keys: list[str]) -> DataFrame:
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n"),
         ).alias("summary")
     )
+
+
+def diarized(recordings: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """recordings(keys, error), words(keys, pos, speaker, text) -> keys, segments (speaker, text by first word), total_words, num_speakers, note.
+
+    A recording without words has one segment of "Unknown" saying so; one with an error has one saying that. A null speaker is "Unknown".
+    """
+    some = words.where(F.trim("text") != "").withColumn("speaker", F.coalesce("speaker", F.lit("Unknown")))
+    per = some.groupBy(*keys, "speaker").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"), F.min("pos").alias("first"), F.count("*").alias("n")
+    )
+    auto = F.startswith("speaker", F.lit("SPEAKER_"))
+    number = F.row_number().over(Window.partitionBy(*keys, "auto").orderBy("first", "speaker"))
+    shown = per.withColumn("auto", auto).withColumn("speaker", F.when(F.col("auto"), F.concat(F.lit("Speaker "), number)).otherwise(F.col("speaker")))
+    got = shown.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("first", "speaker", "text"))), lambda x: x.dropFields("first")).alias("segments"), F.sum("n").alias("total_words"), F.count("*").alias("num_speakers")
+    )
+    said = F.when(F.col("error").isNotNull(), "Diarization failed").when(F.col("segments").isNull(), "No speech detected")
+    j = recordings.select(*keys, "error").join(got, keys, "left").withColumn("note", said)
+    only = F.array(F.struct(F.lit("Unknown").alias("speaker"), F.col("note").alias("text")))
+    return j.select(
+        *keys,
+        F.when(F.col("note").isNotNull(), only).otherwise(F.col("segments")).alias("segments"),
+        *[F.when(F.col("note").isNotNull(), 0).otherwise(F.col(c)).alias(c) for c in ("total_words", "num_speakers")],
+        "note",
+    )

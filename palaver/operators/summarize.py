@@ -166,10 +166,63 @@ def summarize(df: DataFrame, keys: list[str], sents_col: str, cfg: SummaryConfig
     """Strategy dispatch, the model serving map_reduce and abstractive; results with success under 0.3 or 20 characters or less fall back to the extract at ratio 0.3."""
     sents = df.select(*keys, F.posexplode(sents_col).alias("sent_no", "sentence"))
     if cfg.strategy == "hybrid":
-        return hybrid(sents, keys, cfg.extractive_ratio)
+        return hybrid(sents, keys, cfg.extractive_ratio, model=model)
     if cfg.strategy in ("map_reduce", "abstractive"):
         got = map_reduce(df, keys, sents_col, cfg, model)
         back = extractive(sents, keys).select(*keys, F.col("summary").alias("_s"))
         weak = (F.col("success_rate") < 0.3) | (F.length("summary") <= 20)
         return got.join(back, keys, "left").withColumn("summary", F.when(weak, F.col("_s")).otherwise(F.col("summary"))).drop("_s")
     return extractive(sents, keys, cfg.extractive_ratio)
+
+
+def joined_chunks(c: Column | str) -> Column:
+    """The chunks that are not blank, one a line."""
+    return F.array_join(F.filter(T.col(c), lambda x: F.trim(x) != ""), "\n")
+
+
+def enhanced(texts: DataFrame, keys: list[str], strategy: str = "map_reduce", cfg: SummaryConfig = SummaryConfig(), model=None) -> DataFrame:
+    """texts(keys, text) -> keys, summary, strategy_used, model_used, chunk_count, success_rate, quality_score, key_sentences.
+
+    An unknown strategy means map_reduce, which also serves abstractive. A blank text says so with strategy "none"; a null one counts
+    as blank. A summary of success under 0.3 or of 20 characters or less is replaced by the extract at ratio 0.3.
+    """
+    strategy = strategy if strategy in STRATEGIES else "map_reduce"
+    fields = ["summary", "strategy_used", "model_used", "chunk_count", "success_rate", "quality_score", "key_sentences"]
+    some = texts.where(T.trim_ws("text") != "")
+    sents = cut(some.select(*keys, F.posexplode(T.sentences("text")).alias("sent_no", "sentence")))
+    own = cut(extractive(sents, keys).select(*keys, *fields))
+    if strategy == "extractive":
+        got = own if cfg.extractive_ratio == 0.3 else extractive(sents, keys, cfg.extractive_ratio).select(*keys, *fields)
+    elif strategy == "hybrid":
+        got = hybrid(sents, keys, cfg.extractive_ratio, model=model).select(*keys, *fields)
+    else:
+        lists = some.select(*keys, T.sentences("text").alias("_l"), F.col("text").alias("_t"))
+        got = map_reduce(lists, keys, "_l", cfg, model).join(lists.select(*keys, "_t"), keys).select(
+            *keys, "summary", F.lit("map_reduce").alias("strategy_used"), F.lit("extractive_tfidf" if model is None else "model").alias("model_used"),
+            "chunk_count", "success_rate", quality("_t", "summary").alias("quality_score"), F.array().cast("array<string>").alias("key_sentences"),
+        )
+    weak = F.col("g.success_rate").isNull() | (F.col("g.success_rate") < 0.3) | (F.length("g.summary") <= 20)
+    both = own.select(*keys, F.struct(*fields).alias("o")).join(got.select(*keys, F.struct(*fields).alias("g")), keys, "left")
+    best = both.select(*keys, *[F.when(weak, F.col(f"o.{f}")).otherwise(F.col(f"g.{f}")).alias(f) for f in fields])
+    nothing = {"summary": "No content to summarize", "strategy_used": "none", "model_used": "none", "chunk_count": 0, "success_rate": 0.0, "quality_score": 0.0}
+    return texts.select(*keys).join(best, keys, "left").select(
+        *keys, *[F.coalesce(f, F.lit(v)).alias(f) for f, v in nothing.items()], F.coalesce("key_sentences", F.array().cast("array<string>")).alias("key_sentences")
+    )
+
+
+def of_chunks(df: DataFrame, keys: list[str], chunks: str, strategy: str = "map_reduce", cfg: SummaryConfig = SummaryConfig(), model=None) -> DataFrame:
+    """keys, summary of the chunks of a row taken as one text; no chunks say "No content to summarize."."""
+    got = enhanced(df.select(*keys, joined_chunks(chunks).alias("text")), keys, strategy, cfg, model)
+    return got.select(*keys, F.when(F.col("strategy_used") == "none", "No content to summarize.").otherwise(F.col("summary")).alias("summary"))
+
+
+# The models a provider may be asked for.
+MODELS = ["sshleifer/distilbart-cnn-12-6", "facebook/bart-large-cnn", "google/pegasus-xsum", "t5-small", "google/flan-t5-base"]
+
+
+def available_models() -> list[str]:
+    return list(MODELS)
+
+
+def available_strategies() -> list[str]:
+    return list(STRATEGIES)

@@ -14,6 +14,7 @@ from palaver.functions import dates as D
 from palaver.functions import rules as R
 from palaver.functions import text as T
 from palaver.operators import clean, entities, report, sentences, skew, speakers, summarize
+from palaver.plans import pipeline
 from palaver.sources import captions
 from palaver.sources.tables import read_once, table
 
@@ -106,7 +107,35 @@ A = (
     "a AS (SELECT meeting_id, ord, max(text) AS text, max(priority) AS priority, max(assignee) AS assignee, max(deadline) AS deadline,"
     " max(deadline_ts) AS deadline_ts, max(extraction_method) AS extraction_method FROM action_item GROUP BY meeting_id, ord)"
 )
-SENT = f"s AS (SELECT meeting_id, unnest(range(len(l))) AS sent_no, unnest(l) AS sentence FROM (SELECT meeting_id, {split_sentences('raw_text')} AS l FROM m WHERE ext NOT IN ('srt','vtt') AND raw_text IS NOT NULL))"
+def _detect_sql(x: str) -> str:
+    t = trim_(x)
+    hit = [f"regexp_matches({t}, {q('(?i)' + p)})" for p in T.LABELS]
+    one = [trim_(f"regexp_extract({t}, {q('(?i)' + p)}, 1)") for p in T.LABELS]
+    two = [trim_(f"regexp_extract({t}, {q('(?i)' + p)}, 2)") for p in T.LABELS]
+    case = lambda vals, last: "CASE " + " ".join(f"WHEN {h} THEN {v}" for h, v in zip(hit, vals, strict=True)) + f" ELSE {last} END"
+    return f"{case(one, 'NULL')} AS found, {case(two, x)} AS said"
+
+
+_TIMING_RE2 = captions.TIMING
+_CUES_SQL = f"""blocks AS (SELECT meeting_id, unnest(range(len(l))) AS b, unnest(l) AS block FROM
+ (SELECT meeting_id, string_split({sub(sub('raw_text', chr(13) + chr(10) + '?', 'chr(10)'), r'\n[ \t]*\n+', 'chr(4)')}, chr(4)) AS l FROM m WHERE ext IN ('srt','vtt') AND raw_text IS NOT NULL)),
+at_ AS (SELECT meeting_id, b, string_split(block, chr(10)) AS l, CASE WHEN regexp_matches(string_split(block, chr(10))[1], {q(_TIMING_RE2)}) THEN 1
+ WHEN regexp_matches(string_split(block, chr(10))[2], {q(_TIMING_RE2)}) THEN 2 END AS a FROM blocks),
+raw AS (SELECT meeting_id, b, regexp_extract(l[a], {q(_TIMING_RE2)}, 1) AS s, regexp_extract(l[a], {q(_TIMING_RE2)}, 2) AS e,
+ trim({sub("array_to_string(list_filter(list_transform(l[a+1:], lambda x: trim(x)), lambda x: x <> ''), ' ')", '<[^>]+>')}) AS t FROM at_ WHERE a IS NOT NULL),
+cues AS (SELECT meeting_id, (row_number() OVER (PARTITION BY meeting_id ORDER BY b) - 1)::INT AS pos,
+ CASE WHEN len(string_split(s, ':')) = 2 THEN '00:' || s ELSE s END AS start_time, CASE WHEN len(string_split(e, ':')) = 2 THEN '00:' || e ELSE e END AS end_time, t FROM raw WHERE t <> '')"""
+
+
+def _secs(x: str) -> str:
+    p = f"string_split(replace({x}, ',', '.'), ':')"
+    return f"({p}[1]::DOUBLE * 3600 + {p}[2]::DOUBLE * 60 + {p}[3]::DOUBLE)"
+
+
+#: The spoken text of every meeting, captions parsed, and its sentences.
+PLAIN = f"""{_CUES_SQL}, said_ AS (SELECT meeting_id, pos, {_detect_sql('t')} FROM cues), joined_ AS (SELECT meeting_id, string_agg(said, ' ' ORDER BY pos) AS said FROM said_ GROUP BY meeting_id),
+pt AS (SELECT m.meeting_id, m.anchor_ts, CASE WHEN ext IN ('srt', 'vtt') THEN joined_.said ELSE raw_text END AS t FROM m LEFT JOIN joined_ ON m.meeting_id = joined_.meeting_id)"""
+SENT = f"{PLAIN}, s AS (SELECT meeting_id, unnest(range(len(l))) AS sent_no, unnest(l) AS sentence FROM (SELECT meeting_id, {split_sentences('t')} AS l FROM pt WHERE t IS NOT NULL))"
 
 
 # --- inputs --------------------------------------------------------------------------------------------------------
@@ -127,9 +156,13 @@ def actions(spark, d):
     return table(spark, d, "action_item").groupBy("meeting_id", "ord").agg(*[F.max(c).alias(c) for c in cols])
 
 
+def plain(spark, d):
+    """Every meeting with its spoken text: captions are parsed, other texts stay as they are."""
+    return pipeline.plain_texts(meetings(spark, d)).where("plain_text is not null")
+
+
 def spoken(spark, d):
-    m = meetings(spark, d).where("ext not in ('srt', 'vtt') and raw_text is not null")
-    return sentences.explode_sentences(m, ["meeting_id"], "raw_text")
+    return sentences.explode_sentences(plain(spark, d), ["meeting_id"], "plain_text")
 
 
 def persons(spark, d):
@@ -246,6 +279,31 @@ def word_speaker_interval_join(spark, d):
     return speakers.words_to_speakers(words, turns, ["meeting_id"])
 
 
+@query(f"""WITH {M}, {C}, w AS (SELECT meeting_id, coalesce(speaker, 'Unknown') AS speaker, pos, text, coalesce(start_seconds, 0) AS st, coalesce(end_seconds, 0) AS en FROM c WHERE trim(text) <> ''),
+g AS (SELECT meeting_id, speaker, string_agg(text, ' ' ORDER BY pos) AS said, min(pos) AS first, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT *, CASE WHEN starts_with(speaker, 'SPEAKER_') THEN 'Speaker ' || row_number() OVER (PARTITION BY meeting_id, starts_with(speaker, 'SPEAKER_') ORDER BY first, speaker) ELSE speaker END AS shown FROM g),
+x AS (SELECT meeting_id, string_agg(shown || ': ' || said, chr(10) ORDER BY first, shown) AS segments, sum(n)::BIGINT AS total_words, count(*) AS num_speakers FROM h GROUP BY meeting_id)
+SELECT m.meeting_id, coalesce(segments, 'Unknown: No speech detected') AS segments, coalesce(total_words, 0) AS total_words, coalesce(num_speakers, 0) AS num_speakers,
+CASE WHEN segments IS NULL THEN 'No speech detected' END AS note FROM m LEFT JOIN x ON x.meeting_id = m.meeting_id""")
+def diarized_audio(spark, d):
+    """Cues as words with speakers: what a recording's words give for every meeting, those without any included."""
+    words = cue_table(spark, d).select("meeting_id", "pos", "speaker", "text")
+    x = speakers.diarized(meetings(spark, d).select("meeting_id", F.lit(None).cast("string").alias("error")), words, ["meeting_id"])
+    lines = F.transform("segments", lambda e: F.concat(e["speaker"], F.lit(": "), e["text"]))
+    return x.select("meeting_id", F.array_join(lines, "\n").alias("segments"), "total_words", "num_speakers", "note")
+
+
+@query(f"""WITH t AS (SELECT transcription_id, max(duration) AS duration FROM transcription GROUP BY transcription_id), k AS (SELECT transcription_id, unnest(range(greatest(0, ceil(duration / 25)::INT - 1) + 1)) AS k FROM t WHERE duration > 0)
+SELECT transcription_id, k::INT AS chunk_no, k * 25.0::DOUBLE + 1.5 AS start, k * 25.0::DOUBLE + 2.5 AS "end", 'x' AS text FROM k""")
+def shifted_chunks(spark, d):
+    """A segment of every chunk, in the time of its chunk, moved to the time of the whole recording."""
+    from palaver import providers
+
+    t = speakers.tumbling_windows(read_once(spark, d, "transcription", ["transcription_id", "duration"]), 25.0)
+    own = t.select("transcription_id", "chunk_no", F.lit(1.5).alias("start"), F.lit(2.5).alias("end"), F.lit(" x ").alias("text"))
+    return providers.shift_chunks(own, t, ["transcription_id"])
+
+
 # --- captions and labels -------------------------------------------------------------------------------------------
 
 
@@ -255,43 +313,28 @@ def time_to_seconds(spark, d):
     return cue_table(spark, d).select("meeting_id", "pos", "start_time", T.time_to_seconds("start_time").alias("seconds"))
 
 
-def _detect_sql(x: str) -> str:
-    t = trim_(x)
-    hit = [f"regexp_matches({t}, {q('(?i)' + p)})" for p in T.LABELS]
-    one = [trim_(f"regexp_extract({t}, {q('(?i)' + p)}, 1)") for p in T.LABELS]
-    two = [trim_(f"regexp_extract({t}, {q('(?i)' + p)}, 2)") for p in T.LABELS]
-    case = lambda vals, last: "CASE " + " ".join(f"WHEN {h} THEN {v}" for h, v in zip(hit, vals, strict=True)) + f" ELSE {last} END"
-    return f"{case(one, 'NULL')} AS found, {case(two, x)} AS said"
-
-
 @query(f"WITH {C} SELECT meeting_id, pos, {_detect_sql('text')} FROM c WHERE text IS NOT NULL")
 def detect_speaker(spark, d):
     found, said = T.detect_speaker("text")
     return cue_table(spark, d).where("text is not null").select("meeting_id", "pos", found.alias("found"), said.alias("said"))
 
 
-_TIMING_RE2 = captions.TIMING
-_CUES_SQL = f"""blocks AS (SELECT meeting_id, unnest(range(len(l))) AS b, unnest(l) AS block FROM
- (SELECT meeting_id, string_split({sub(sub('raw_text', chr(13) + chr(10) + '?', 'chr(10)'), r'\n[ \t]*\n+', 'chr(4)')}, chr(4)) AS l FROM m WHERE ext IN ('srt','vtt') AND raw_text IS NOT NULL)),
-at_ AS (SELECT meeting_id, b, string_split(block, chr(10)) AS l, CASE WHEN regexp_matches(string_split(block, chr(10))[1], {q(_TIMING_RE2)}) THEN 1
- WHEN regexp_matches(string_split(block, chr(10))[2], {q(_TIMING_RE2)}) THEN 2 END AS a FROM blocks),
-raw AS (SELECT meeting_id, b, regexp_extract(l[a], {q(_TIMING_RE2)}, 1) AS s, regexp_extract(l[a], {q(_TIMING_RE2)}, 2) AS e,
- trim({sub("array_to_string(list_filter(list_transform(l[a+1:], lambda x: trim(x)), lambda x: x <> ''), ' ')", '<[^>]+>')}) AS t FROM at_ WHERE a IS NOT NULL),
-cues AS (SELECT meeting_id, (row_number() OVER (PARTITION BY meeting_id ORDER BY b) - 1)::INT AS pos,
- CASE WHEN len(string_split(s, ':')) = 2 THEN '00:' || s ELSE s END AS start_time, CASE WHEN len(string_split(e, ':')) = 2 THEN '00:' || e ELSE e END AS end_time, t FROM raw WHERE t <> '')"""
-
-
-def _secs(x: str) -> str:
-    p = f"string_split(replace({x}, ',', '.'), ':')"
-    return f"({p}[1]::DOUBLE * 3600 + {p}[2]::DOUBLE * 60 + {p}[3]::DOUBLE)"
-
-
 @query(f"""WITH {M}, {_CUES_SQL}, d AS (SELECT meeting_id, pos, start_time, end_time, {_secs('start_time')} AS start_seconds, {_secs('end_time')} AS end_seconds, {_detect_sql('t')} FROM cues)
 SELECT meeting_id, pos, start_time, end_time, start_seconds, end_seconds, found AS speaker, said AS text FROM d""")
 def parse_captions(spark, d):
     return captions.cues(meetings(spark, d).where("ext in ('srt', 'vtt')"), ["meeting_id"], "raw_text")
 
 
+_TAGGED_SQL = _CUES_SQL.replace(", '<[^>]+>', '', 'g')", ", '(?:$)(?:x)', '', 'g')")
+
+
+@query(f"""WITH {M}, {_TAGGED_SQL}, d AS (SELECT meeting_id, pos, {_detect_sql('t')} FROM cues) SELECT meeting_id, pos, found AS speaker, said AS text FROM d""")
+def tagged_captions(spark, d):
+    """Captions with their tags kept."""
+    c = captions.cues(meetings(spark, d).where("ext in ('srt', 'vtt')"), ["meeting_id"], "raw_text", strip_tags=False)
+    return c.select("meeting_id", "pos", "speaker", "text")
+
+
 @query(f"""WITH {M}, {_CUES_SQL}, d AS (SELECT meeting_id, pos, {_secs('end_time')} AS es, {_detect_sql('t')} FROM cues)
 SELECT meeting_id, string_agg(said, ' ' ORDER BY pos) AS plain_text, arg_max(es, pos) AS total_duration, count(*) AS entry_count,
 array_to_string(list_sort(list(DISTINCT found) FILTER (found IS NOT NULL)), '|') AS detected_speakers FROM d GROUP BY meeting_id""")
@@ -400,13 +443,31 @@ def cleaning_stats(spark, d):
     return m.select("meeting_id", "original_length", "cleaned_length", F.round("compression_ratio", 6).alias("compression_ratio"), F.size("sentence_list").alias("n_sentences"), "repetitions_fixed", F.array_join("processing_notes", "|").alias("notes"))
 
 
+_CLEAN_STEPS = f"""x1 AS (SELECT meeting_id, raw_text, {chain('raw_text', R.TIMESTAMPS)} AS a FROM m WHERE raw_text IS NOT NULL), x2 AS (SELECT *, {chain('a', R.NOISE)} AS b FROM x1), x3 AS (SELECT *, {chain('b', R.ARTIFACTS)} AS c FROM x2),
+x4 AS (SELECT *, {unmarked(sub(marked('c'), FILLER_MARKED))} AS d FROM x3), x5 AS (SELECT *, {_words_sql('d', R.NUMBERS)} AS e FROM x4), x6 AS (SELECT *, {_words_sql('e', R.ORDINALS)} AS f FROM x5),
+x7 AS (SELECT *, {_punctuation_sql('f')} AS g FROM x6), x8 AS (SELECT *, {_ascii_sql('g')} AS h FROM x7), x9 AS (SELECT *, CASE WHEN {trim_('raw_text')} = '' THEN '' ELSE {trim_(sub('h', WS + '+', "' '"))} END AS cleaned_text FROM x8),
+y AS (SELECT *, list_filter({split_sentences('cleaned_text')}, lambda z: {wc('z')} >= 3) AS l, length(cleaned_text)::DOUBLE / greatest(length(raw_text), 1) AS ratio FROM x9)"""
+
+
+@query(f"""WITH {M}, {_CLEAN_STEPS} SELECT meeting_id, cleaned_text, {chain_count('raw_text', R.TIMESTAMPS)} AS timestamps_removed, {chain_count('a', R.NOISE)} AS diarization_noise_removed,
+{chain_count('b', R.ARTIFACTS)} AS artifacts_removed, len(regexp_extract_all({marked('c')}, {q(FILLER_MARKED)})) AS filler_words_removed, length(raw_text)::INT AS original_length, length(cleaned_text)::INT AS cleaned_length,
+round(ratio, 6) AS compression_ratio, len(l)::INT AS n_sentences, CASE WHEN {trim_('raw_text')} = '' THEN 'Empty input text' ELSE concat_ws('|', CASE WHEN ratio < 0.5 THEN 'Significant compression - possible over-cleaning' END, CASE WHEN len(l) < 3 THEN 'Very few sentences extracted' END) END AS notes FROM y""")
+def clean_stage(spark, d):
+    """The whole cleaning stage but for repetitions, whose back-references SQL lacks; cleaning_stats has them."""
+    cfg = clean.CleaningConfig(remove_repetitions=False)
+    m = clean.clean(meetings(spark, d).where("raw_text is not null").select("meeting_id", "raw_text"), "raw_text", cfg)
+    return m.select(
+        "meeting_id", "cleaned_text", *clean.COUNTERS[:4], "original_length", "cleaned_length", F.round("compression_ratio", 6).alias("compression_ratio"),
+        F.size("sentence_list").alias("n_sentences"), F.array_join("processing_notes", "|").alias("notes"),
+    )
+
+
 # --- sentences and chunks ------------------------------------------------------------------------------------------
 
 
 @query(f"WITH {M}, {SENT} SELECT meeting_id, sent_no::INT AS sent_no, sentence FROM s WHERE {wc('sentence')} >= 3")
 def sentence_units(spark, d):
-    m = meetings(spark, d).where("ext not in ('srt', 'vtt') and raw_text is not null")
-    return sentences.explode_sentences(m, ["meeting_id"], "raw_text", 3)
+    return sentences.explode_sentences(plain(spark, d), ["meeting_id"], "plain_text", 3)
 
 
 _PROC = "pr AS (SELECT proc_id, max(sentence_list) AS l FROM processing WHERE sentence_list IS NOT NULL GROUP BY proc_id)"
@@ -424,7 +485,14 @@ def greedy_chunks(spark, d):
     return processed(spark, d).select("proc_id", F.posexplode(sentences.greedy_chunks(F.col("sentence_list"), 60)).alias("chunk_no", "chunk"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PROC}, e AS (SELECT proc_id, i, l[i] AS s, {wc('l[i]')} * 1.3::DOUBLE AS est, len(l) AS n FROM (SELECT proc_id, l, unnest(range(1, len(l) + 1)) AS i FROM pr)),
+c AS (SELECT *, sum(est) OVER (PARTITION BY proc_id ORDER BY i) AS upto FROM e),
+f AS (SELECT proc_id, i, upto, 1::BIGINT AS first, est AS cur, 0 AS chunk FROM c WHERE i = 1
+ UNION ALL SELECT c.proc_id, c.i, c.upto, CASE WHEN f.cur + c.est > 60 THEN greatest(f.first, c.i - 2) ELSE f.first END,
+ CASE WHEN f.cur + c.est > 60 THEN c.upto - (SELECT x.upto - x.est FROM c x WHERE x.proc_id = c.proc_id AND x.i = greatest(f.first, c.i - 2)) ELSE f.cur + c.est END,
+ CASE WHEN f.cur + c.est > 60 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN c ON c.proc_id = f.proc_id AND c.i = f.i + 1),
+g AS (SELECT proc_id, chunk, max(first) AS first, max(i) AS last FROM f GROUP BY ALL)
+SELECT g.proc_id, g.chunk AS chunk_no, string_agg(e.s, ' ' ORDER BY e.i) AS chunk FROM g JOIN e ON e.proc_id = g.proc_id AND e.i BETWEEN g.first AND g.last GROUP BY ALL""")
 def overlap_chunks(spark, d):
     return processed(spark, d).select("proc_id", F.posexplode(sentences.overlapping_chunks(F.col("sentence_list"), 60, 2)).alias("chunk_no", "chunk"))
 
@@ -499,18 +567,13 @@ _ROLE_CASES = ", ".join(
 )
 
 
-_ROLE_WORDS = ["manager", "senior engineer", "ux designer", "data scientist", "office assistant", "tax expert", "guest"]
-
-
 def _speech(spark, d):
-    """Sentences of texts and cues, and one made of each name and a word by its id: the tables name few roles themselves."""
+    """Sentences of texts and cues."""
     c = cue_table(spark, d).select("meeting_id", F.col("pos").alias("sent_no"), F.col("text").alias("sentence"))
-    word = F.element_at(F.array(*[F.lit(w) for w in _ROLE_WORDS]), (F.col("person_id") % len(_ROLE_WORDS) + 1).cast("int"))
-    made = persons(spark, d).select("meeting_id", F.col("person_id").cast("int").alias("sent_no"), F.concat("name", F.lit(" is our "), word, F.lit(".")).alias("sentence"))
-    return spoken(spark, d).unionByName(c).unionByName(made)
+    return spoken(spark, d).unionByName(c)
 
 
-@query(f"""WITH {M}, {SENT}, {P}, {C}, x AS (SELECT meeting_id, sentence FROM s UNION ALL SELECT meeting_id, text FROM c UNION ALL SELECT meeting_id, name || ' is our ' || [{', '.join(q(w) for w in _ROLE_WORDS)}][(person_id % {len(_ROLE_WORDS)} + 1)::INT] || '.' FROM p), y AS (SELECT meeting_id, sentence, unnest(list_filter([{_ROLE_CASES}], lambda z: z IS NOT NULL)) AS role FROM x),
+@query(f"""WITH {M}, {SENT}, {P}, {C}, x AS (SELECT meeting_id, sentence FROM s UNION ALL SELECT meeting_id, text FROM c), y AS (SELECT meeting_id, sentence, unnest(list_filter([{_ROLE_CASES}], lambda z: z IS NOT NULL)) AS role FROM x),
 n AS (SELECT DISTINCT meeting_id, name FROM p WHERE length(name) >= 2)
 SELECT n.meeting_id, n.name, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM n JOIN y ON n.meeting_id = y.meeting_id AND contains(lower(y.sentence), lower(n.name)) GROUP BY ALL""")
 def person_roles(spark, d):
@@ -606,10 +669,22 @@ def date_extract(spark, d):
     return spoken(spark, d).select("meeting_id", "sent_no", F.posexplode(D.find_dates("sentence")).alias("pos", "text")).withColumn("text", F.regexp_replace("text", r"\s+", " "))
 
 
-@query()
+def _phrases(x: str) -> str:
+    """All date phrases of a text as a list, white space within them single."""
+    rx = _FIND_RE2
+    for w in ("this morning", "next week", "next month", "end of week"):
+        rx = rx.replace(w, w.replace(" ", r"\s+"))
+    return f"list_transform(regexp_extract_all(regexp_replace({x}, '\\s', '\\0\\0', 'g'), {q(rx)}, 1), lambda z: regexp_replace(z, '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {M}, {SENT}, ph AS (SELECT meeting_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS text FROM (SELECT meeting_id, {_phrases('t')} AS l FROM pt)),
+c AS (SELECT ph.meeting_id, pos, arg_min(sentence, sent_no) AS context FROM ph JOIN s ON s.meeting_id = ph.meeting_id AND contains(lower(regexp_replace(sentence, '\\s+', ' ', 'g')), lower(text)) GROUP BY ALL)
+SELECT ph.meeting_id, ph.pos, text, coalesce(regexp_replace(context, '\\s+', ' ', 'g'), '') AS context FROM ph LEFT JOIN c ON c.meeting_id = ph.meeting_id AND c.pos = ph.pos""")
 def date_context(spark, d):
-    m = meetings(spark, d).where("ext not in ('srt', 'vtt') and raw_text is not null")
-    return entities.date_context(entities.date_entities(m, ["meeting_id"], "raw_text", "anchor_ts"), spoken(spark, d), ["meeting_id"])
+    one = lambda c: F.regexp_replace(c, r"\s+", " ").alias(c)
+    sents = spoken(spark, d).select("meeting_id", "sent_no", one("sentence"))
+    found = entities.date_entities(plain(spark, d), ["meeting_id"], "plain_text", "anchor_ts").withColumn("text", one("text"))
+    return entities.date_context(found, sents, ["meeting_id"])
 
 
 @query(f"WITH {_DL} SELECT meeting_id, ord, coalesce(strftime(dt, '%Y-%m-%d'), '') AS iso FROM y WHERE regexp_matches(deadline, {q('(?i)^(?:' + D.PHRASE + ')$')})")
@@ -619,11 +694,19 @@ def dates_in_place(spark, d):
     return x.select("meeting_id", "ord", F.when(F.col("dt").isNull(), "").otherwise(iso).alias("iso"))
 
 
-@query()
+@query(f"""WITH {M}, {SENT}, {P}, {_METHODS}, r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, text ORDER BY method_rank, sent_no) AS k FROM o), u AS (SELECT * FROM r WHERE k = 1),
+n AS (SELECT DISTINCT meeting_id, trim(name) AS name FROM p WHERE length(trim(name)) > 1),
+h AS (SELECT u.meeting_id, u.sent_no, name, row_number() OVER (PARTITION BY u.meeting_id, u.sent_no ORDER BY strpos(text, name), -length(name), name) AS r FROM u JOIN n ON u.meeting_id = n.meeting_id AND contains(text, name) WHERE length(name) >= 2),
+v AS (SELECT u.meeting_id, u.sent_no, concat_ws('|', u.sent_no, {priority_sql('u.text')}, coalesce(h.name, ''), coalesce(verb, ''), coalesce({_phrases('u.text')}[1], ''), extraction_method, confidence, u.text) AS line
+ FROM u LEFT JOIN h ON u.meeting_id = h.meeting_id AND u.sent_no = h.sent_no AND h.r = 1)
+SELECT pt.meeting_id, (SELECT count(*) FROM n WHERE n.meeting_id = pt.meeting_id)::INT AS n_people, len({_phrases('t')})::INT AS n_dates,
+(SELECT count(*) FROM v WHERE v.meeting_id = pt.meeting_id)::INT AS n_actions, coalesce((SELECT string_agg(line, chr(10) ORDER BY sent_no, line) FROM v WHERE v.meeting_id = pt.meeting_id), '') AS action_items FROM pt WHERE t IS NOT NULL""")
 def extracted_entities(spark, d):
-    m = meetings(spark, d).where("ext not in ('srt', 'vtt') and raw_text is not null")
-    e = entities.extract_entities(m, persons(spark, d), spoken(spark, d), ["meeting_id"], "raw_text", "anchor_ts")
-    return e.select("meeting_id", F.size("people").alias("n_people"), F.size("dates").alias("n_dates"), F.size("action_items").alias("n_actions"), F.to_json("action_items").alias("action_items"))
+    """Numbers of people, dates and actions of every meeting, and a line for each action."""
+    e = entities.extract_entities(plain(spark, d), persons(spark, d), spoken(spark, d), ["meeting_id"], "plain_text", "anchor_ts")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    line = lambda a: F.concat_ws("|", a["sent_no"], a["priority"], text(a["assignee"]), text(a["verb"]), text(F.regexp_replace(a["deadline"], r"\s+", " ")), a["extraction_method"], a["confidence"], a["text"])
+    return e.select("meeting_id", F.size("people").alias("n_people"), F.size("dates").alias("n_dates"), F.size("action_items").alias("n_actions"), F.array_join(F.transform("action_items", line), "\n").alias("action_items"))
 
 
 # --- summaries -----------------------------------------------------------------------------------------------------
@@ -673,6 +756,30 @@ def summary_quality(spark, d):
     return ex.join(full, "proc_id").select("proc_id", summarize.quality("orig", "summary").alias("quality"))
 
 
+_CHUNK_TEXT = "ct AS (SELECT proc_id, array_to_string(list_filter(max(chunks), lambda z: trim(z) <> ''), chr(10)) AS t FROM processing WHERE chunks IS NOT NULL GROUP BY proc_id)"
+_CHUNK_SCORES = _SCORES.replace(_PROC, f"{_CHUNK_TEXT}, pr AS (SELECT proc_id, {split_sentences('t')} AS l FROM ct)")
+
+
+def chunk_texts(spark, d):
+    return read_once(spark, d, "processing", ["proc_id", "chunks"]).where("chunks is not null")
+
+
+@query(f"""WITH {_CHUNK_SCORES}, x AS (SELECT proc_id, string_agg(sentence, ' ' ORDER BY sent_no) AS summary FROM top GROUP BY proc_id)
+SELECT ct.proc_id, CASE WHEN {trim_('t')} = '' THEN 'No content to summarize.' ELSE summary END AS summary FROM ct LEFT JOIN x ON x.proc_id = ct.proc_id""")
+def summarize_chunks(spark, d):
+    return summarize.of_chunks(chunk_texts(spark, d), ["proc_id"], "chunks", "extractive")
+
+
+@query(f"""WITH {_CHUNK_SCORES}, x AS (SELECT proc_id, string_agg(sentence, ' ' ORDER BY sent_no) AS summary, string_agg(sentence, '|' ORDER BY sent_no) AS ks FROM top GROUP BY proc_id)
+SELECT ct.proc_id, CASE WHEN {trim_('t')} = '' THEN 'No content to summarize' ELSE summary END AS summary, CASE WHEN {trim_('t')} = '' THEN 'none' WHEN length(summary) > 20 THEN 'hybrid' ELSE 'extractive' END AS strategy_used,
+CASE WHEN {trim_('t')} = '' THEN 'none' ELSE 'extractive_tfidf' END AS model_used, CASE WHEN {trim_('t')} = '' THEN 0 ELSE 1 END AS chunk_count, CASE WHEN {trim_('t')} = '' THEN 0::DOUBLE ELSE 1::DOUBLE END AS success_rate,
+CASE WHEN {trim_('t')} = '' THEN 0::DOUBLE WHEN length(summary) > 20 AND {wc('summary')} < 100 THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS quality_score, CASE WHEN {trim_('t')} = '' THEN '' ELSE ks END AS key_sentences
+FROM ct LEFT JOIN x ON x.proc_id = ct.proc_id""")
+def enhanced_summary(spark, d):
+    texts = chunk_texts(spark, d).select("proc_id", summarize.joined_chunks("chunks").alias("text"))
+    return summarize.enhanced(texts, ["proc_id"], "hybrid").withColumn("key_sentences", F.array_join("key_sentences", "|"))
+
+
 @query()
 def map_reduce_summary(spark, d):
     return summarize.map_reduce(processed(spark, d), ["proc_id"], "sentence_list", summarize.SummaryConfig(max_chunk_tokens=60))
@@ -697,6 +804,66 @@ def report_action_lines(spark, d):
     return report.action_lines(actions(spark, d), ["meeting_id"])
 
 
+@query("""WITH p AS (SELECT person_id, max(struct_pack(a := meeting_id, b := name, c := mentions, d := roles)) AS x FROM person GROUP BY person_id), l AS (SELECT x.a AS meeting_id, '• ' || coalesce(x.b, 'Unknown')
+ || CASE WHEN len(x.d) > 0 THEN ' (' || array_to_string(x.d, ', ') || ')' ELSE '' END || ' - ' || coalesce(x.c, 0) || ' mentions' AS line FROM p)
+SELECT meeting_id, string_agg(line, chr(10) ORDER BY line) AS participants FROM l GROUP BY meeting_id""")
+def report_participants(spark, d):
+    return report.participants(read_once(spark, d, "person", ["person_id", "meeting_id", "name", "mentions", "roles"]), ["meeting_id"])
+
+
+_SPEAKER_STATS = f"""{C}, k AS (SELECT meeting_id, pos, CASE WHEN trim(speaker) <> '' THEN speaker ELSE 'Unknown' END AS speaker, coalesce({wc('text')}, 0) AS w FROM c),
+sp AS (SELECT meeting_id, speaker, sum(w)::BIGINT AS word_count, count(*) AS segment_count, min(pos) AS first FROM k GROUP BY ALL),
+sa AS (SELECT meeting_id, count(*) AS total_speakers, sum(word_count)::BIGINT AS total_words, arg_max(speaker, word_count * 1000000 - first) AS most_active FROM sp GROUP BY meeting_id)"""
+_PRIORITY_STATS = f"""{A}, ap AS (SELECT meeting_id, ord, CASE WHEN priority IN ('high', 'medium', 'low', 'unspecified') THEN priority ELSE 'unspecified' END AS p, CASE WHEN trim(assignee) <> '' THEN assignee ELSE 'Unassigned' END AS who,
+ coalesce(extraction_method, 'unknown') AS how FROM a),
+pa AS (SELECT meeting_id, count(*) AS total_actions, count(*) FILTER (who <> 'Unassigned') AS assigned_actions, count(*) FILTER (p = 'high') AS high, count(*) FILTER (p = 'medium') AS medium,
+ count(*) FILTER (p = 'low') AS low, count(*) FILTER (p = 'unspecified') AS unspecified FROM ap GROUP BY meeting_id)"""
+
+
+@query(f"""WITH {_SPEAKER_STATS} SELECT sp.meeting_id, speaker, word_count, segment_count, round(word_count::DOUBLE / segment_count, 4) AS avg_words_per_segment,
+round(100.0 * word_count::DOUBLE / greatest(total_words, 1), 4) AS contribution_percentage, total_speakers, total_words, most_active FROM sp JOIN sa ON sa.meeting_id = sp.meeting_id""")
+def report_speaker_analysis(spark, d):
+    c = cue_table(spark, d).select("meeting_id", F.col("pos").alias("ord"), "speaker", "text")
+    x = report.speaker_analysis(c, ["meeting_id"]).select("meeting_id", "speaker_analysis.*")
+    return x.select("meeting_id", "total_speakers", "total_words", "most_active", F.inline("speaker_stats"))
+
+
+@query(f"""WITH {_PRIORITY_STATS}, w AS (SELECT meeting_id, who, count(*) AS n, min(ord) AS first FROM ap GROUP BY ALL), h AS (SELECT meeting_id, how, count(*) AS n FROM ap GROUP BY ALL)
+SELECT pa.meeting_id, total_actions, assigned_actions, high, medium, low, unspecified, (SELECT string_agg(who || ':' || n, '|' ORDER BY first) FROM w WHERE w.meeting_id = pa.meeting_id) AS assignees,
+(SELECT string_agg(how || ':' || n, '|' ORDER BY how) FROM h WHERE h.meeting_id = pa.meeting_id) AS methods FROM pa""")
+def report_priority_analysis(spark, d):
+    x = report.priority_analysis(actions(spark, d), ["meeting_id"]).select("meeting_id", "priority_analysis.*")
+    pairs = lambda m: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return x.select(
+        "meeting_id", "total_actions", "assigned_actions", *[F.col("priority_distribution")[p].alias(p) for p in R.PRIORITY_LEVELS],
+        F.array_join(pairs("assignee_distribution"), "|").alias("assignees"), F.array_join(F.array_sort(pairs("extraction_methods")), "|").alias("methods"),
+    )
+
+
+@query(f"""WITH {_SPEAKER_STATS}, {_PRIORITY_STATS} SELECT coalesce(sa.meeting_id, pa.meeting_id) AS meeting_id, concat_ws(chr(10), '• Total Participants: ' || total_speakers, '• Most Active Speaker: ' || most_active,
+'• Total Action Items: ' || total_actions, '• High Priority Actions: ' || high, '• Assigned Actions: ' || assigned_actions) AS lines FROM sa FULL JOIN pa ON sa.meeting_id = pa.meeting_id""")
+def report_executive(spark, d):
+    c = cue_table(spark, d).select("meeting_id", F.col("pos").alias("ord"), "speaker", "text")
+    key = ["meeting_id"]
+    both = report.speaker_analysis(c, key).join(report.priority_analysis(actions(spark, d), key), key, "full")
+    return both.select("meeting_id", report.executive_lines().alias("lines"))
+
+
+@query(f"WITH {_DL} SELECT meeting_id, string_agg(DISTINCT '• ' || dt::VARCHAR, chr(10) ORDER BY '• ' || dt::VARCHAR) AS date_lines FROM y WHERE dt IS NOT NULL GROUP BY meeting_id")
+def report_date_lines(spark, d):
+    return due_lines(spark, d)
+
+
+def due_lines(spark, d):
+    due = deadlines(spark, d).where("dt is not null")
+    return due.groupBy("meeting_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("• "), F.col("dt").cast("string")))), "\n").alias("date_lines"))
+
+
+@query(f"""WITH {M} SELECT meeting_id, concat_ws(chr(10), '• File type: ' || ext, '• Date: ' || strftime(anchor_ts AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M')) AS lines FROM m""")
+def report_details(spark, d):
+    return meetings(spark, d).withColumn("metadata", pipeline.details()).select("meeting_id", report.detail_lines().alias("lines"))
+
+
 def report_time():
     """Queries repeat, so their reports bear a fixed time."""
     return F.lit("2026-01-02 03:04:05").cast("timestamp")
@@ -704,17 +871,13 @@ def report_time():
 
 def report_segments(spark, d):
     """Stored cues of a meeting, or the segments of its text where there are none."""
-    from palaver.plans.pipeline import spoken_segments
-
     stored = cue_table(spark, d).select("meeting_id", F.col("pos").alias("ord"), "speaker", "text")
-    own = spoken_segments(meetings(spark, d))
+    own = pipeline.spoken_segments(meetings(spark, d))
     return stored.unionByName(own.join(stored.select("meeting_id").distinct(), "meeting_id", "left_anti"))
 
 
 def report_parts(spark, d, lists=False):
     """One row per meeting; with lists also what the JSON report holds as arrays."""
-    from palaver.plans.pipeline import details
-
     key = ["meeting_id"]
     m = meetings(spark, d)
     acts, segments = actions(spark, d), report_segments(spark, d)
@@ -722,12 +885,12 @@ def report_parts(spark, d, lists=False):
     part = report.participants(people, key)
     lines = report.action_lines(acts, key)
     due = deadlines(spark, d).where("dt is not null")
-    dates = due.groupBy("meeting_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("• "), F.col("dt").cast("string")))), "\n").alias("date_lines"))
+    dates = due_lines(spark, d)
     proc = read_once(spark, d, "processing", ["proc_id", "meeting_id", "sentence_list"]).where("sentence_list is not null")
     first = proc.groupBy("meeting_id").agg(F.min_by("sentence_list", "proc_id").alias("sentence_list"))
     sums = summarize.extractive(first.select("meeting_id", F.posexplode("sentence_list").alias("sent_no", "sentence")), ["meeting_id"]).select("meeting_id", "summary")
     joined = (
-        m.select("meeting_id", F.concat(F.lit("Meeting "), "meeting_id").alias("title"), F.col("raw_text").alias("transcript"), details().alias("metadata"))
+        m.select("meeting_id", F.concat(F.lit("Meeting "), "meeting_id").alias("title"), F.col("raw_text").alias("transcript"), pipeline.details().alias("metadata"))
         .join(part, "meeting_id", "left")
         .join(lines, "meeting_id", "left")
         .join(dates, "meeting_id", "left")
@@ -784,9 +947,7 @@ def generated_reports(spark, d):
 
 @query()
 def pipeline_report(spark, d):
-    from palaver.plans.pipeline import run_pipeline
-
-    return run_pipeline(meetings(spark, d), persons(spark, d), at=report_time())
+    return pipeline.run_pipeline(meetings(spark, d), persons(spark, d), at=report_time())
 
 
 @query()
@@ -796,6 +957,19 @@ def report_pdf(spark, d):
     return documents.render(report.text_report(report_parts(spark, d), ["meeting_id"], report_time()), ["meeting_id"], "pdf")
 
 
+@query()
+def report_docx(spark, d):
+    return report.generate_report(report_parts(spark, d), ["meeting_id"], "docx", report_time())
+
+
+@query()
+def pie_charts(spark, d):
+    from palaver.operators import documents
+
+    per = speakers.contributions(cue_table(spark, d), ["meeting_id"])
+    return documents.pie_chart(per, ["meeting_id"], "speaker", "word_count", "Speaker Contribution Distribution")
+
+
 @query()
 def dashboards(spark, d):
     from palaver.operators import documents
@@ -803,12 +977,31 @@ def dashboards(spark, d):
     return documents.dashboard(cue_table(spark, d), actions(spark, d), ["meeting_id"])
 
 
+def _sheets(spark, d):
+    from palaver.operators import documents
+
+    people = entities.people(persons(spark, d), ["meeting_id"])
+    sums = meetings(spark, d).select("meeting_id", F.col("raw_text").alias("summary"))
+    return documents.workbook(sums, actions(spark, d), people, cue_table(spark, d), ["meeting_id"])
+
+
 @query(f"""WITH {C}, g AS (SELECT meeting_id, speaker, sum(coalesce({wc('text')}, 0))::BIGINT AS word_count, count(*) AS segment_count FROM c GROUP BY ALL)
 SELECT meeting_id, speaker, word_count, segment_count, round(round(word_count::DOUBLE / segment_count, 4), 1) AS avg_words_per_segment,
 round(round(100.0 * word_count::DOUBLE / greatest(sum(word_count) OVER (PARTITION BY meeting_id), 1), 4), 1) AS contribution_percentage FROM g""")
 def workbook_speakers(spark, d):
-    from palaver.operators import documents
+    return _sheets(spark, d)["speaker_analysis"]
 
-    people = entities.people(persons(spark, d), ["meeting_id"])
-    sums = meetings(spark, d).select("meeting_id", F.col("raw_text").alias("summary"))
-    return documents.workbook(sums, actions(spark, d), people, cue_table(spark, d), ["meeting_id"])["speaker_analysis"]
+
+@query(f"WITH {A} SELECT meeting_id, ord, text, priority, assignee, deadline FROM a")
+def workbook_actions(spark, d):
+    return _sheets(spark, d)["action_items"]
+
+
+@query(f"WITH {P} SELECT meeting_id, trim(name) AS name, count(*) AS mentions FROM p WHERE length(trim(name)) > 1 GROUP BY 1, 2")
+def workbook_participants(spark, d):
+    return _sheets(spark, d)["participants"]
+
+
+@query(f"WITH {M} SELECT meeting_id, raw_text AS summary FROM m")
+def workbook_summary(spark, d):
+    return _sheets(spark, d)["summary"]

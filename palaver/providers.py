@@ -6,6 +6,8 @@ rules of this engine are used; nothing here imports a model library. An error of
 
 from __future__ import annotations
 
+import io
+import wave
 from collections.abc import Callable
 
 import pandas as pd
@@ -82,3 +84,55 @@ def shift_chunks(segments: DataFrame, chunks: DataFrame, keys: list[str]) -> Dat
     return segments.join(c, [*keys, "chunk_no"]).select(
         *keys, "chunk_no", (F.col("start") + F.col("start_time")).alias("start"), (F.col("end") + F.col("start_time")).alias("end"), F.trim("text").alias("text")
     )
+
+
+# Sizes of the recognition models in MB, their speed and accuracy as labels.
+RECOGNITION_MODELS = {
+    "tiny": (39, "fastest", "lowest"), "base": (74, "fast", "good"), "small": (244, "medium", "better"), "medium": (769, "slow", "very good"),
+    "large": (1550, "slowest", "best"), "large-v2": (1550, "slowest", "best"), "large-v3": (1550, "slowest", "best"),
+}
+
+
+def model_info() -> dict[str, tuple[int, str, str]]:
+    """A copy, so that callers may change theirs."""
+    return dict(RECOGNITION_MODELS)
+
+
+def durations(audio: DataFrame) -> DataFrame:
+    """audio(path, content) -> path, duration: seconds of WAV contents by their header; null for other kinds and broken ones."""
+
+    @F.pandas_udf("double")
+    def seconds(contents: pd.Series) -> pd.Series:
+        out = []
+        for b in contents:
+            try:
+                with wave.open(io.BytesIO(bytes(b))) as w:
+                    out.append(w.getnframes() / w.getframerate() if w.getframerate() else None)
+            except Exception:  # no WAV file
+                out.append(None)
+        return pd.Series(out, dtype="float64")
+
+    return audio.select("path", seconds("content").alias("duration"))
+
+
+def diarize(audio: DataFrame, load: Callable[[], Callable[[bytes, str], list[dict]]], key: str = "diarize") -> DataFrame:
+    """audio(path, content, ext) -> path, segments, total_words, num_speakers, note (see speakers.diarized).
+
+    The model gives the words of a recording with speaker; what it raises is told as a failed recording, the job goes on.
+    """
+    from palaver.operators import speakers
+    from palaver.sources.checkpoints import cut
+
+    said = transcripts(audio, lambda: _words_as_segments(load()), key)
+    said = cut(said)  # the model runs once
+    recordings = said.groupBy("path").agg(F.max(F.when(F.col("error") != "no speech", F.col("error"))).alias("error"))
+    words = said.where("text is not null").select("path", "pos", F.nullif(F.split_part("text", F.lit("\u0001"), F.lit(1)), F.lit("")).alias("speaker"), F.split_part("text", F.lit("\u0001"), F.lit(2)).alias("text"))
+    return speakers.diarized(recordings, words, ["path"])
+
+
+def _words_as_segments(model: Callable[[bytes, str], list[dict]]) -> Callable[[bytes, str], list[dict]]:
+    def run(content: bytes, ext: str) -> list[dict]:
+        words = model(content, ext)
+        return [{"start": w.get("start") or 0.0, "end": w.get("end") or 0.0, "text": f"{w.get('speaker') or ''}\u0001{(w.get('word') or '').strip()}"} for w in words]
+
+    return run
