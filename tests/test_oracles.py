@@ -21,6 +21,10 @@ def duck():
     return c
 
 
+#: No sentence of the tables names a role beside a name; test_operators has sentences that do.
+EMPTY = {"person_roles"}
+
+
 def cell(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return ""
@@ -38,7 +42,7 @@ def test_same_rows(name, spark, duck):
     order = sorted(range(len(names)), key=lambda i: names[i])
     want = sorted(tuple(cell(r[i]) for i in order) for r in res.fetchall())
     assert got == want
-    assert got
+    assert got or name in EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
