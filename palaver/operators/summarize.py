@@ -58,8 +58,9 @@ def centrality(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
     centroid. A null, empty or zero vector has centrality null and counts for nothing.
     """
     v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = vectors.withColumn("_u", F.when(norm > 0, F.transform(v, lambda x: x / norm)))
+    # the norm is a column of its own, else it would be taken anew for every place of the vector
+    with_norm = vectors.withColumn("_n", F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)))
+    unit = with_norm.withColumn("_u", F.when(F.col("_n") > 0, F.transform(v, lambda x: x / F.col("_n")))).drop("_n")
     c = (
         unit.where("_u is not null").select(*keys, F.posexplode("_u").alias("_i", "_x"))
         .groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.count("*").alias("_k"))
