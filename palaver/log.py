@@ -35,6 +35,11 @@ def log_error(error: Exception, context: str | None = None, **more) -> None:
     get_logger("palaver.errors", "errors.log").error(_joined(type(error).__name__, error, context, **more))
 
 
+def log_performance(operation: str, seconds: float, **more) -> None:
+    """The seconds of an operation that was timed elsewhere."""
+    get_logger().info(_joined(operation, f"{seconds:.3f}s", **more))
+
+
 class LogPerformance:
     """with LogPerformance("step"): ... writes the seconds and whether it ended well; errors pass through."""
 

@@ -24,6 +24,18 @@ def people(names: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def text_mentions(persons: DataFrame, sents: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, name, mentions: how often each person's name stands in the sentences of the meeting, whole and as typed.
+
+    A part of a longer word is no mention; a name that stands nowhere has 0. Names of one character or less are left out.
+    """
+    names = persons.where(F.length(F.trim("name")) > 1).select(*keys, F.trim("name").alias("name")).distinct()
+    hit = containing(sents.select(*keys, "sentence"), names, keys, "sentence", "name")
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace("name", F.lit("\\E"), F.lit("")), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    n = hit.groupBy(*keys, "name").agg(F.sum(F.regexp_count("sentence", whole)).alias("mentions"))
+    return names.join(n, [*keys, "name"], "left").select(*keys, "name", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+
+
 def roles_in(c):
     low = F.lower(T.col(c))
     found = F.array(*[F.when(F.regexp_like(low, F.lit(T.ascii_words(p))), F.lit(r)) for r, p in sorted(R.ROLES.items())])

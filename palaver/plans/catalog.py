@@ -562,6 +562,19 @@ def people_mentions(spark, d):
     return entities.people(persons(spark, d), ["meeting_id"])
 
 
+@query(f"""WITH {M}, {SENT}, {P}, n AS (SELECT DISTINCT meeting_id, trim(name) AS name FROM p WHERE length(trim(name)) > 1),
+h AS (SELECT n.meeting_id, name, sum(len(regexp_extract_all(regexp_replace(' ' || sentence || ' ', '([^\\pL\\pN_])', '\\1\\1', 'g'), '[^\\pL\\pN_]' || regexp_escape(regexp_replace(name, '([^\\pL\\pN_])', '\\1\\1', 'g')) || '[^\\pL\\pN_]'))) AS k
+ FROM n JOIN s ON s.meeting_id = n.meeting_id AND contains(sentence, name) GROUP BY ALL)
+SELECT n.meeting_id, n.name, coalesce(k, 0)::BIGINT AS mentions FROM n LEFT JOIN h ON h.meeting_id = n.meeting_id AND h.name = n.name""")
+def text_mentions(spark, d):
+    return entities.text_mentions(persons(spark, d), spoken(spark, d), ["meeting_id"])
+
+
+@query(f"WITH {A} SELECT meeting_id, ord, upper(priority) AS heading, upper(left(priority, 1)) || lower(substr(priority, 2)) AS label FROM a WHERE priority IS NOT NULL")
+def priority_labels(spark, d):
+    return actions(spark, d).where("priority is not null").select("meeting_id", "ord", F.upper("priority").alias("heading"), F.initcap("priority").alias("label"))
+
+
 _ROLE_CASES = ", ".join(
     f"CASE WHEN regexp_matches({marked('lower(sentence)')}, {q('(?:' + '|'.join(as_marked(x) for x in p[3:-3].split('|')) + ')')}) THEN '{r}' END" for r, p in sorted(R.ROLES.items())
 )
