@@ -51,20 +51,32 @@ def run_starts(df: DataFrame, keys: list[str], order: str, breaks: Column, new:
 
 
 GRAMS = (6, 4, 2)
+#: Keys with so many needles or fewer bring them to each of their texts as one list; others look them up by n-grams.
+NEEDLES = 64
 
 
 def containing(texts: DataFrame, needles: DataFrame, keys: list[str], text: str, needle: str) -> DataFrame:
     """texts joined with the needles (of two characters or more) that they contain, within equal keys.
 
-    The first characters of a needle are looked up among the character n-grams of the texts, an equi-join on
-    (keys, n-gram); only what shares them is tested, so a key with many texts and many needles makes no product of both.
+    A key with few needles brings them to its texts as a list of at most NEEDLES, tested in the row. For a key with more,
+    the first characters of a needle are looked up among the character n-grams of the texts, an equi-join on
+    (keys, n-gram), so a key with many texts and many needles makes no product of both. Both ways give the same rows.
     """
+    few = needles.where(F.length(needle) >= 2).select(*keys, needle).distinct()
+    n = few.groupBy(*keys).agg(F.count("*").alias("_n"))
+    listed = few.join(n.where(F.col("_n") <= NEEDLES).select(*keys), keys).groupBy(*keys).agg(F.collect_list(needle).alias("_l"))
+    some = texts.where(F.length(text) >= 2)
+    t = F.col(text)
+    direct = some.join(listed, keys).select("*", F.explode(F.filter("_l", lambda x: F.contains(t, x))).alias(needle)).drop("_l")
+    many = n.where(F.col("_n") > NEEDLES).select(*keys)
+    return direct.unionByName(_by_grams(some.join(many, keys, "left_semi"), few.join(many, keys), keys, text, needle))
 
+
+def _by_grams(texts: DataFrame, few: DataFrame, keys: list[str], text: str, needle: str) -> DataFrame:
     def size_of(c: Column) -> Column:
         n = F.length(c)
         return F.when(n >= GRAMS[0], GRAMS[0]).when(n >= GRAMS[1], GRAMS[1]).otherwise(GRAMS[2])
 
-    few = needles.where(F.length(needle) >= 2).select(*keys, needle).distinct()
     few = few.withColumn("_g", F.substr(F.col(needle), F.lit(1), size_of(F.col(needle))))
     t = F.col(text)
 
@@ -74,5 +86,4 @@ def containing(texts: DataFrame, needles: DataFrame, keys: list[str], text: str,
         return F.when(F.length(t) >= g, all_).otherwise(F.array().cast("array<string>"))
 
     grams = F.array_distinct(F.flatten(F.array(*[of_length(g) for g in GRAMS])))
-    spread = texts.where(F.length(text) >= 2).withColumn("_g", F.explode(grams))
-    return spread.join(few, [*keys, "_g"]).where(F.contains(F.col(text), F.col(needle))).drop("_g")
+    return texts.withColumn("_g", F.explode(grams)).join(few, [*keys, "_g"]).where(F.contains(t, F.col(needle))).drop("_g")

@@ -49,3 +49,14 @@ def test_containing(spark):
     n = spark.createDataFrame(needles, "k string, n string")
     got = [(r.k, r.i, r.n) for r in skew.containing(t, n, ["k"], "t", "n").collect()]
     assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_lists_and_grams_find_the_same(spark, monkeypatch):
+    rows = [("a", i, f"say w{i} and w{i + 1}, {'ab' * (i % 3)}") for i in range(40)] + [("b", 0, None), ("b", 1, ""), ("b", 2, "abab")]
+    texts = spark.createDataFrame(rows, "k string, i int, t string")
+    needles = spark.createDataFrame([("a", f"w{i}") for i in range(50)] + [("a", "abab"), ("b", "ab"), ("b", "x"), ("b", None), ("c", "say"), ("a", "w1")], "k string, w string")
+    want = {(k, i, w) for k, i, t in rows for q, w in [("a", f"w{j}") for j in range(50)] + [("a", "abab"), ("b", "ab")] if k == q and t and w in t}
+    for most in (0, 10, 1000):
+        monkeypatch.setattr(skew, "NEEDLES", most)
+        got = [(r.k, r.i, r.w) for r in skew.containing(texts, needles, ["k"], "t", "w").collect()]
+        assert set(got) == want and len(got) == len(want)
