@@ -15,6 +15,7 @@ from palaver.functions import dates as D
 from palaver.functions import rules as R
 from palaver.functions import text as T
 from palaver.operators.skew import containing
+from palaver.sources.checkpoints import cut
 
 
 def people(names: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,7 +169,7 @@ def extract_entities(meetings: DataFrame, persons: DataFrame, sents: DataFrame,
     dts = date_entities(meetings, keys, text_col, anchor).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("pos", "text", "ts", "normalized", "confidence"))).alias("dates")
     )
-    acts = with_assignee(action_items(sents, keys), named, keys)
+    acts = with_assignee(cut(action_items(sents, keys)), named, keys)
     acts = with_deadline(acts.join(meetings.select(*keys, F.col(anchor).alias("_anchor")), keys), "_anchor").groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("sent_no", "text", "priority", "assignee", "verb", "deadline", "confidence", "extraction_method"))).alias("action_items")
     )

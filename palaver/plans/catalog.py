@@ -16,6 +16,7 @@ from palaver.functions import text as T
 from palaver.operators import clean, entities, report, sentences, skew, speakers, summarize
 from palaver.plans import pipeline
 from palaver.sources import captions
+from palaver.sources.checkpoints import cut
 from palaver.sources.tables import read_once, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,8 +98,8 @@ def contained(x: str, terms: list[str]) -> str:
 
 
 def split_sentences(x: str) -> str:
-    cut = sub(x, rf"([.!?]){WS}+", r"'\1' || chr(3)")
-    return f"list_filter(list_transform(string_split({cut}, chr(3)), lambda s: {trim_('s')}), lambda s: s <> '')"
+    broken = sub(x, rf"([.!?]){WS}+", r"'\1' || chr(3)")
+    return f"list_filter(list_transform(string_split({broken}, chr(3)), lambda s: {trim_('s')}), lambda s: s <> '')"
 
 
 M = "m AS (SELECT meeting_id, max(ext) AS ext, max(raw_text) AS raw_text, max(anchor_ts) AS anchor_ts, max(ingested_at) AS ingested_at FROM meeting GROUP BY meeting_id)"
@@ -695,8 +696,9 @@ c AS (SELECT ph.meeting_id, pos, arg_min(sentence, sent_no) AS context FROM ph J
 SELECT ph.meeting_id, ph.pos, text, coalesce(regexp_replace(context, '\\s+', ' ', 'g'), '') AS context FROM ph LEFT JOIN c ON c.meeting_id = ph.meeting_id AND c.pos = ph.pos""")
 def date_context(spark, d):
     one = lambda c: F.regexp_replace(c, r"\s+", " ").alias(c)
-    sents = spoken(spark, d).select("meeting_id", "sent_no", one("sentence"))
-    found = entities.date_entities(plain(spark, d), ["meeting_id"], "plain_text", "anchor_ts").withColumn("text", one("text"))
+    m = cut(plain(spark, d).drop("raw_text"))
+    sents = sentences.explode_sentences(m, ["meeting_id"], "plain_text").select("meeting_id", "sent_no", one("sentence"))
+    found = entities.date_entities(m, ["meeting_id"], "plain_text", "anchor_ts").withColumn("text", one("text"))
     return entities.date_context(found, sents, ["meeting_id"])
 
 
@@ -716,7 +718,9 @@ SELECT pt.meeting_id, (SELECT count(*) FROM n WHERE n.meeting_id = pt.meeting_id
 (SELECT count(*) FROM v WHERE v.meeting_id = pt.meeting_id)::INT AS n_actions, coalesce((SELECT string_agg(line, chr(10) ORDER BY sent_no, line) FROM v WHERE v.meeting_id = pt.meeting_id), '') AS action_items FROM pt WHERE t IS NOT NULL""")
 def extracted_entities(spark, d):
     """Numbers of people, dates and actions of every meeting, and a line for each action."""
-    e = entities.extract_entities(plain(spark, d), persons(spark, d), spoken(spark, d), ["meeting_id"], "plain_text", "anchor_ts")
+    m = cut(plain(spark, d).drop("raw_text"))  # texts and sentences are read several times
+    sents = cut(sentences.explode_sentences(m, ["meeting_id"], "plain_text"))
+    e = entities.extract_entities(m, persons(spark, d), sents, ["meeting_id"], "plain_text", "anchor_ts")
     text = lambda c: F.coalesce(c, F.lit(""))
     line = lambda a: F.concat_ws("|", a["sent_no"], a["priority"], text(a["assignee"]), text(a["verb"]), text(F.regexp_replace(a["deadline"], r"\s+", " ")), a["extraction_method"], a["confidence"], a["text"])
     return e.select("meeting_id", F.size("people").alias("n_people"), F.size("dates").alias("n_dates"), F.size("action_items").alias("n_actions"), F.array_join(F.transform("action_items", line), "\n").alias("action_items"))
