@@ -43,8 +43,8 @@ def run_pipeline(meetings: DataFrame, persons: DataFrame, ratio: float = 0.3, at
     """
     key = ["meeting_id"]
     known = meetings.where(F.col("ext").isin(R.TEXT_EXTENSIONS + R.AUDIO_EXTENSIONS))
-    m = plain_texts(known)
-    # sentences and actions are read many times below: cut, so that the plan fits the driver
+    # texts, sentences and actions are read many times below: cut, so that captions are parsed once and the plan fits the driver
+    m = cut(plain_texts(known).drop("raw_text"))
     sents = cut(sentences.explode_sentences(m, key, "plain_text"))
     people = entities.people(persons, key)
     acts = entities.with_assignee(entities.action_items(sents, key), people, key).join(m.select(*key, "anchor_ts"), key)
