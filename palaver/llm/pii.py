@@ -119,9 +119,13 @@ FRENCH_STREET = regex.compile(r"\d(?:\s(?:bis|ter))?,?\s(?:rue|av|boul|bd|place|
 STREET = regex.compile(r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer)\s\d")
 
 
-def _take(rx, text, taken, out, kind, given=frozenset()):
+def _take(rx, text, taken, out, kind, given=frozenset(), is_name_field=False):
     for m in rx.finditer(text):
         a, b = m.span()
+        if is_name_field and kind == "address" and not text[:a].strip():
+            # an address that opens a name field leaves the field's last two words, unless a postcode ends it
+            tail = pat(r"(?<=,\s)\p{Lu}[\p{L}'’\-]+(?:\s\p{Lu}[\p{L}'’\-]+)*?(?=\s\p{Lu}[\p{L}'’.\-]*\s\p{Lu}[\p{L}'’\-]+\s*$)").search(text, text.rfind(",", a) - 1)
+            b = min(b, tail.end()) if tail else b
         if kind == "address" and given:  # a town does not go on into a person's name
             for w in pat(r"(?<=[\s\-])\p{Lu}[\p{L}'’]+").finditer(text, text.rfind(",", a, b) + 1 or b, b):
                 if w.group() in given and text[w.start() - 2] != ",":
@@ -337,7 +341,7 @@ def find(text: str | None, is_name_field: bool = False, given: frozenset = froze
     if digits:
         for rx, needs in zip(ADDRESS, ("box" in low, True, FRENCH_STREET.search(low), STREET.search(low), True, "." in low or "ул" in low), strict=True):
             if needs:
-                _take(rx, text, taken, out, "address", given)
+                _take(rx, text, taken, out, "address", given, is_name_field)
         for rx in ID:
             _take(rx, text, taken, out, "id_number")
     for rx, needs in zip(PHONE, (*[digits] * (len(PHONE) - 1), spelled), strict=True):

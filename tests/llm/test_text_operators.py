@@ -197,6 +197,8 @@ def test_given_names_by_evidence(spark):
 def test_name_field():
     assert values("Vane, R. (07700 900501)", True) == [("name", "Vane, R."), ("phone", "07700 900501")]
     assert values("Prof. Iris Vane (HR)", True) == [("name", "Iris Vane")]
+    assert values("12 Salt Lane, Puerto Alba Iris Vane", True) == [("address", "12 Salt Lane, Puerto Alba"), ("name", "Iris Vane")]
+    assert values("12 Salt Lane, Tarn Iris Vane", True)[1] == ("name", "Iris Vane") and values("Iris Vane, 12 Salt Lane, Puerto Alba", True)[0] == ("name", "Iris Vane")
     assert values("Vane Foods AG", True) == [] and values("Speaker 2", True) == [] and values("everyone", True) == []
     assert pii.find(None) == [] and pii.find("") == []
 
