@@ -36,7 +36,7 @@ Q = 4
 PREFIX = Q + 2
 THRESHOLD = 0.72
 #: Similarity of a short form in the table, of one by rule, and of an initial, to the full given name.
-SHORT_SIM, RULE_SIM, INITIAL_SIM = 0.8, 0.7, 0.5
+SHORT_SIM, RULE_SIM, INITIAL_SIM = 0.8, 0.7, 0.55
 
 # Short forms that no rule derives from the full given name.
 IRREGULAR = {
@@ -110,28 +110,31 @@ def parsed_values(values: DataFrame) -> DataFrame:
 
 
 def near_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens(kind, token), distinct -> (kind, token, near, sim) for tokens one edit or swap apart, both ways round."""
+    """tokens(kind, token, df), distinct -> (kind, token, near, sim) for tokens one edit or swap apart, near in more forms (ties: smaller).
+
+    So a frequent token has few near ones, whatever the number of its misspellings.
+    """
     padded = F.concat(F.lit("##"), F.col("token"), F.lit("$$"))
     grams = tokens.where(F.length("token") >= 4).select(
-        "kind", "token", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q)))).alias("at", "gram")
+        "kind", "token", F.col("df").alias("k"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q)))).alias("at", "gram")
     )
     rarity = grams.groupBy("kind", "gram").agg(F.count("*").alias("df"))
     prefix = cut(
         grams.join(rarity, ["kind", "gram"])
-        .groupBy("kind", "token")
+        .groupBy("kind", "token", "k")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram", "at"))), 1, PREFIX).alias("g"))  # as many as the token has letters
-        .select("kind", "token", F.length("token").alias("n"), F.explode("g").alias("g"))
-        .select("kind", "token", "n", "g.gram", "g.at")
+        .select("kind", "token", "k", F.length("token").alias("n"), F.explode("g").alias("g"))
+        .select("kind", "token", "k", "n", "g.gram", "g.at")
     )
     around = lambda c: F.sequence(F.col(c) - 1, F.col(c) + 1)
-    b = prefix.select("kind", F.col("token").alias("near"), "gram", F.explode(around("n")).alias("n"), "at")
-    b = b.select("kind", "near", "gram", "n", F.explode(around("at")).alias("at"))
+    b = prefix.select("kind", F.col("token").alias("near"), F.col("k").alias("kb"), "gram", F.explode(around("n")).alias("n"), "at")
+    b = b.select("kind", "near", "kb", "gram", "n", F.explode(around("at")).alias("at"))
     letters = lambda c: F.array_sort(F.split(c, ""))
     lev = F.levenshtein("token", "near", 2)
     swap = (lev == 2) & (F.length("token") == F.length("near")) & (letters("token") == letters("near"))
     return (
         prefix.join(b, ["kind", "gram", "n", "at"])
-        .where("token <> near")
+        .where("kb > k or (kb = k and near < token)")
         .where((lev == 1) | swap)
         .select("kind", "token", "near", (1 - 1 / F.greatest(F.length("token"), F.length("near"))).alias("sim"))
         .distinct()
@@ -157,8 +160,8 @@ for _full, _shorts in IRREGULAR.items():
 def candidates(forms: DataFrame, near: DataFrame) -> DataFrame:
     """forms(id, kind, t1, t2, n), near(kind, token, near, sim) -> (a, b, how, ...): pairs whose tokens fit, not yet verified.
 
-    how: edit (both better supported or smaller than a), short or initial (b full). Every key of a side holds one form
-    on the asking side, so no group is squared.
+    how: edit (a has the rarer spelling), short or initial (b full). Every key of a side holds one form on the asking
+    side, so no group is squared.
     """
     h = _halves(forms)
 
@@ -178,7 +181,7 @@ def candidates(forms: DataFrame, near: DataFrame) -> DataFrame:
             F.transform(F.coalesce(F.try_element_at(_table(), F.col("other")), F.array()), lambda f: ask(F.concat(F.lit("="), f), "short", SHORT_SIM)),
         )
     )
-    a = lasts.select("kind", F.col("id").alias("a"), F.col("n").alias("na"), "anchor", "other", "at", "sa", F.inline(asks))
+    a = lasts.select("kind", F.col("id").alias("a"), "anchor", "other", "at", "sa", F.inline(asks))
     offers = F.when(one, F.array(F.concat(F.lit("="), "other"))).otherwise(
         F.when(
             F.col("kind") == "p",
@@ -189,8 +192,7 @@ def candidates(forms: DataFrame, near: DataFrame) -> DataFrame:
         ).otherwise(F.array(F.concat(F.lit("="), "other")))
     )
     b = h.where("length(anchor) > 1").select("kind", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("anchor").alias("at"), F.col("other").alias("to"), F.explode(offers).alias("key"))
-    better = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    fits = F.when(F.col("how") == "edit", (F.col("sa") < 1) & better).when(F.col("how") == "short", F.length("to") > F.length("other")).otherwise(True)
+    fits = F.when(F.col("how") == "edit", F.col("sa") < 1).when(F.col("how") == "short", F.length("to") > F.length("other")).otherwise(True)
     return a.join(b, ["kind", "at", "key"]).where((F.col("a") != F.col("b")) & fits).select("kind", "a", "b", "nb", "how", "at", "to", "sa", "so")
 
 
@@ -230,7 +232,7 @@ def classes(values: DataFrame) -> DataFrame:
         values = values.withColumn("n", F.lit(1))
     v = cut(parsed_values(values.select("value")).withColumn("id", F.concat_ws("\u0001", "kind", "t1", "t2")).join(values.select("value", "n"), "value"))
     forms = cut(v.groupBy("id", "kind", "t1", "t2").agg(F.sum("n").alias("n"), F.min("glued").alias("glued")))
-    tokens = _halves(forms).where("length(anchor) > 1").select("kind", F.col("anchor").alias("token")).distinct()
+    tokens = _halves(forms).where("length(anchor) > 1").groupBy("kind", F.col("anchor").alias("token")).agg(F.count("*").alias("df"))
     ok = cut(verified(candidates(forms, near_tokens(tokens)), forms))
     best = Window.partitionBy("a").orderBy(F.desc("score"), F.desc(F.length("to")), F.desc("nb"), "b")
     short = ok.where("how = 'short'").withColumn("r", F.row_number().over(best)).where("r = 1")

@@ -31,8 +31,9 @@ def test_near_tokens_lose_no_pair(spark):
         i = rnd.randrange(1, len(w) - 1)
         for v in (w[:i] + w[i + 1 :], w[:i] + "z" + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :]):
             toks.setdefault(v, 1)
-    got = {(r.token, r.near) for r in names.near_tokens(spark.createDataFrame([("p", x) for x in toks], "kind string, token string")).collect()}
-    want = {(a, b) for a, b in itertools.permutations(toks, 2) if one_edit(a, b) and min(len(a), len(b)) >= 4}
+    rows = [("p", x, n) for x, n in toks.items()]
+    got = {(r.token, r.near) for r in names.near_tokens(spark.createDataFrame(rows, "kind string, token string, df long")).collect()}
+    want = {(a, b) for a, b in itertools.permutations(toks, 2) if one_edit(a, b) and min(len(a), len(b)) >= 4 and (toks[b] > toks[a] or (toks[b] == toks[a] and b < a))}
     adjacent = {(a, b) for a, b in want if len(a) != len(b) or sum(x != y for x, y in zip(a, b, strict=True)) == 1 or any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))}
     assert adjacent <= got <= want
 
