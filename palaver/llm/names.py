@@ -96,7 +96,7 @@ def stem(short: str) -> str:
 
 
 def parsed_values(values: DataFrame) -> DataFrame:
-    """values(value) -> value, kind, t1 <= t2, glued (rows of nobody are left out)."""
+    """values(value, ...) -> the same plus kind, t1 <= t2, glued (rows of nobody are left out)."""
 
     @F.pandas_udf("kind string, t1 string, t2 string, glued boolean")
     def read(v: pd.Series) -> pd.DataFrame:
@@ -106,7 +106,7 @@ def parsed_values(values: DataFrame) -> DataFrame:
             out.append((p[0], *sorted(p[1:3]), p[3]) if p else (None, None, None, None))
         return pd.DataFrame(out, columns=["kind", "t1", "t2", "glued"])
 
-    return values.withColumn("_p", read("value")).where("_p.kind is not null").select("value", "_p.kind", "_p.t1", "_p.t2", "_p.glued")
+    return values.withColumn("_p", read("value")).where("_p.kind is not null").select(*values.columns, "_p.kind", "_p.t1", "_p.t2", "_p.glued")
 
 
 def near_tokens(tokens: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def classes(values: DataFrame) -> DataFrame:
     """values(value[, n]), distinct, n how often -> value, class (the first of its forms)."""
     if "n" not in values.columns:
         values = values.withColumn("n", F.lit(1))
-    v = cut(parsed_values(values.select("value")).withColumn("id", F.concat_ws("\u0001", "kind", "t1", "t2")).join(values.select("value", "n"), "value"))
+    v = cut(parsed_values(values.select("value", "n")).withColumn("id", F.concat_ws("\u0001", "kind", "t1", "t2")))
     forms = cut(v.groupBy("id", "kind", "t1", "t2").agg(F.sum("n").alias("n"), F.min("glued").alias("glued")))
     tokens = _halves(forms).where("length(anchor) > 1").groupBy("kind", F.col("anchor").alias("token")).agg(F.count("*").alias("df"))
     ok = cut(verified(candidates(forms, near_tokens(tokens)), forms))
