@@ -136,6 +136,7 @@ def trim_ws(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"^{R.WS}+|{R.WS}+$", "")
 
 
+# Label patterns in the order in which they are tried, case ignored; white space by this engine's class.
 LABELS = [rf"^([A-Z][A-Z\s]+):{R.WS}*(.+)$", rf"^\[([^\]]+)\]:{R.WS}*(.+)$", rf"^([^:]+):{R.WS}*(.+)$"]
 
 

@@ -18,9 +18,10 @@ def explode_sentences(df: DataFrame, keys: list[str], text_col: str, min_words:
     return out.where(T.word_count("sentence") >= min_words) if min_words else out
 
 
+# Label patterns in the order in which they are tried, case ignored; digits and white space by this engine's classes.
 SEGMENT_LABELS = [
-    rf"^([A-Za-z][a-zA-Z\s]+):{R.WS}*(.+)$",
-    rf"^([A-Za-z]+):{R.WS}*(.+)$",
+    rf"^([A-Z][a-zA-Z\s]+):{R.WS}*(.+)$",
+    rf"^([A-Z]+):{R.WS}*(.+)$",
     rf"^({R.WORD}+):{R.WS}*(.+)$",
     rf"^(Speaker{R.WS}*[0-9]+):{R.WS}*(.+)",
     rf"^(Male|Female|Voice{R.WS}*[0-9]+):{R.WS}*(.+)",

@@ -62,9 +62,10 @@ def centrality(vectors: DataFrame, keys: list[str], vector: str) -> DataFrame:
     with_norm = vectors.withColumn("_n", F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)))
     unit = with_norm.withColumn("_u", F.when(F.col("_n") > 0, F.transform(v, lambda x: x / F.col("_n")))).drop("_n")
     c = (
-        unit.where("_u is not null").select(*keys, F.posexplode("_u").alias("_i", "_x"))
-        .groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.count("*").alias("_k"))
-        .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("_c"), F.max("_k").alias("_k"))
+        # an outer explode: a filter on the vector would be pushed below it and take the norm anew for every place
+        unit.select(*keys, F.posexplode_outer("_u").alias("_i", "_x"))
+        .groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.count("_x").alias("_k"))
+        .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_x")))), lambda e: e["_x"]).alias("_c"), F.max("_k").alias("_k"))
     )
     dot = F.aggregate(F.zip_with("_u", "_c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return unit.join(c, keys, "left").withColumn("centrality", dot / F.col("_k")).drop("_u", "_c", "_k")
